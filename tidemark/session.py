@@ -31,7 +31,9 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def broadcast_within(df: DataFrame, max_rows: int) -> DataFrame:
-    """Marks `df` for broadcast only if it has at most `max_rows` rows; counted,
-    reading no more than that. Otherwise the join stays with the planner."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+def broadcast_within(df: DataFrame, max_rows: int, bound: DataFrame | None = None) -> DataFrame:
+    """Marks `df` for broadcast only if it has at most `max_rows` rows; otherwise
+    the join stays with the planner. Counted is `bound` if given, a table that
+    is cheaper to count and can't have fewer rows; never more than `max_rows` + 1 are read."""
+    counted = df if bound is None else bound
+    return F.broadcast(df) if counted.limit(max_rows + 1).count() <= max_rows else df
