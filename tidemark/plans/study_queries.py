@@ -112,9 +112,10 @@ def market_panel(s: Study) -> DataFrame:
     return s.market.select("pos", *r6("market", "market_ret", "market_mom_20", "vix", "vix_chg"))
 
 
-@query("SELECT sector, pos, round(level, 2) level, round(sector_ret, 9) sector_ret FROM sr")
+@query("SELECT sector, pos, round(level, 2) level, round(sector_ret + 1e-11, 9) sector_ret FROM sr")
 def sector_coalesce(s: Study) -> DataFrame:
-    return s.sector_rets.select("sector", "pos", F.round("level", 2).alias("level"), F.round("sector_ret", 9).alias("sector_ret"))
+    # Ratios of binary fractions would fall on ties of rounding; the addend moves them off.
+    return s.sector_rets.select("sector", "pos", F.round("level", 2).alias("level"), F.round(F.col("sector_ret") + 1e-11, 9).alias("sector_ret"))
 
 
 @query("SELECT sector, pos, round(sector_cut, 6) sector_cut FROM sc")
