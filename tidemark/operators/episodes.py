@@ -38,10 +38,12 @@ def candidates(panel: DataFrame, windows: DataFrame, threshold: float, start, en
     return eligible(hit, windows)
 
 
-def cooldown(cands: DataFrame, k: int, keys: Sequence[str] = ("ticker",)) -> DataFrame:
+def cooldown(cands: DataFrame, k: int | str, keys: Sequence[str] = ("ticker",)) -> DataFrame:
     """Greedy: a candidate starts an event if it lies `k` or more positions after
     the event before; others are absorbed. Adds `episode_length` (1 + absorbed).
-    A fold over each key's candidates in order of pos; at most one a day."""
+    A fold over each key's candidates in order of pos; at most one a day. `k`
+    may name one of the keys."""
+    k = F.col(k) if isinstance(k, str) else F.lit(k)
     cols = [c for c in cands.columns if c not in keys]
     row = F.struct(F.col("pos").alias("_p"), *cols)
     kept = f"array<struct<x:{cands.select(row.alias('r')).schema['r'].dataType.simpleString()},n:int>>"

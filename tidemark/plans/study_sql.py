@@ -87,6 +87,6 @@ ev AS (SELECT e3.*, vix_high_cut, CASE WHEN vix >= vix_high_cut THEN 'high_vix'
 path AS (SELECT e0.event_id, tau, (p.close / e0.close - 1) - (mt.market / m0.market - 1) car FROM e0 CROSS JOIN (SELECT unnest(range(0, {g("outcomes.max_tau") + 1}))::INT tau)
   LEFT JOIN px p ON p.ticker = e0.ticker AND p.pos = e0.pos + tau LEFT JOIN mk m0 ON m0.pos = e0.pos LEFT JOIN mk mt ON mt.pos = e0.pos + tau),
 grp AS (SELECT ev.*, unnest(list_filter([ 'all_events', CASE WHEN crash_type IN ('broad_market', 'sector', 'idiosyncratic') THEN crash_type END,
-  CASE avol_quartile WHEN 'Q4' THEN 'avol_q4_highest' WHEN 'Q1' THEN 'avol_q1_lowest' END, vix_regime], x -> x IS NOT NULL)) grp FROM ev),
+  CASE avol_quartile WHEN 'Q4' THEN 'avol_q4_highest' WHEN 'Q1' THEN 'avol_q1_lowest' END, vix_regime], lambda x: x IS NOT NULL)) grp FROM ev),
 sp0 AS (SELECT *, row_number() OVER (ORDER BY event_date, event_id) - 1 r, count(*) OVER () n FROM (SELECT *, d event_date FROM ev WHERE complete_{H}))
 """
