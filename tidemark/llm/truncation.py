@@ -44,11 +44,13 @@ def _sizes(text: str = "text"):
 def length_limits(docs: DataFrame, source: str = "source", text: str = "text", around: int = 150, excess: float = 5.0, least: int = 8) -> DataFrame:
     """`source, measure, n, limit_gap, chance, limit`: the lengths, in characters
     or bytes, that lie at most SLACK below a limit of their source, the
-    distance, and the share of texts expected there anyway. A limit has at least
+    distance, and the share of texts expected there anyway. Counted are different
+    texts, so a page delivered often is no limit. A limit has at least
     `least` texts at it or up to SLACK below, more than `excess` times as many
     as the lengths up to `around` away suggest, and more than any length near it."""
     counts = (
-        docs.where(F.length(text) > 0).select(F.coalesce(F.col(source), F.lit("")).alias("source"), F.explode(_sizes(text)).alias("x"))
+        docs.where(F.length(text) > 0).select(F.coalesce(F.col(source), F.lit("")).alias("source"), F.xxhash64(text).alias("h"), _sizes(text).alias("sizes"))
+        .dropDuplicates(["source", "h"]).select("source", F.explode("sizes").alias("x"))
         .groupBy("source", "x.measure", "x.n").agg(F.count(F.lit(1)).cast("double").alias("c"))
     )
     by_n = Window.partitionBy("source", "measure").orderBy("n")
