@@ -70,11 +70,19 @@ def _versions(before_first: Callable[[str], tuple[int, str] | None], open_end: i
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out: list[tuple] = []
         key = held = since = None  # the version that now holds
+        begun = False
         time = value = None  # the update not yet settled: the last one of an instant counts
 
         def settle():
-            nonlocal held, since
-            if time is None or value == held:
+            nonlocal held, since, begun
+            if time is None:
+                return
+            if not begun:
+                begun = True
+                first = before_first(value)
+                if first is not None and first[0] < time:
+                    since, held = first
+            if value == held:
                 return
             if held is not None and since < time:
                 out.append((key, held, since, time))
@@ -89,10 +97,7 @@ def _versions(before_first: Callable[[str], tuple[int, str] | None], open_end: i
             if k != key:
                 if key is not None:
                     finish()
-                key, held, since, time = k, None, None, None
-                first = before_first(v)
-                if first is not None and first[0] < t:
-                    since, held = first
+                key, held, since, time, begun = k, None, None, None, False
             elif t != time:
                 settle()
             time, value = t, v
@@ -119,7 +124,7 @@ def version_history(
     starting another. An update that states what already holds starts no
     version. Of updates to one key at one time only the last counts, by order
     `o`, then by the later stream in the list. `before_first` may give (time,
-    payload) of what held before a key's first update. Rows without key or time
+    payload) of what held before a key's first update that counts. Rows without key or time
     are left out. Streams should hold at most one row per key, time and payload
     (aggregate before), so a key's rows are bounded by its distinct times.
     """

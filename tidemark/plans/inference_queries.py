@@ -300,6 +300,7 @@ def shap_importance(s: Study) -> DataFrame:
 
 def grid_events(s: Study) -> DataFrame:
     """Events of all specifications, with outcomes, features and crash types, written once."""
+    s.stored = True
     g = s.config.get
     thresholds, windows, cooldowns = g("robustness.z_thresholds"), g("robustness.vol_windows"), g("robustness.cooldowns")
     by = {}

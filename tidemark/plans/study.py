@@ -17,10 +17,19 @@ from tidemark.sources import read_table
 
 
 class Study:
-    """Builds the panel once; events for any overridden specification."""
+    """Builds the panel once; events for any overridden specification.
+
+    With `stored` (set by the first call for features) the prices as last
+    delivered, the market and the sector series are written to the shared folder
+    and read from there: the event table needs them several times over.
+    """
 
     def __init__(self, spark: SparkSession, folder: str, config: Config | None = None):
         self.spark, self.folder, self.config = spark, folder, config or Config()
+        self.stored = False
+
+    def _kept(self, df: DataFrame, name: str) -> DataFrame:
+        return written(df, name) if self.stored else df
 
     def table(self, name: str) -> DataFrame:
         return read_table(self.spark, self.folder, name)
@@ -31,7 +40,7 @@ class Study:
 
     @cached_property
     def _split(self) -> tuple[DataFrame, DataFrame]:
-        return pn.split_market(pn.observed(self.table("prices"), self.calendar), self.config.get("benchmarks.market"))
+        return pn.split_market(self._kept(pn.observed(self.table("prices"), self.calendar), "observed"), self.config.get("benchmarks.market"))
 
     @cached_property
     def prices(self) -> DataFrame:
@@ -43,7 +52,7 @@ class Study:
 
     @cached_property
     def market(self) -> DataFrame:
-        return pn.market_series(self._split[1], self.calendar, self.config.get("benchmarks.fill_limit"), self.config.get("benchmarks.vol_days"))
+        return self._kept(pn.market_series(self._split[1], self.calendar, self.config.get("benchmarks.fill_limit"), self.config.get("benchmarks.vol_days")), "market")
 
     @cached_property
     def windows(self) -> DataFrame:
@@ -63,7 +72,7 @@ class Study:
 
     @cached_property
     def sector_rets(self) -> DataFrame:
-        return pn.sector_series(self.panel, self.sectors, self.market)
+        return self._kept(pn.sector_series(self.panel, self.sectors, self.market), "sectors")
 
     @cached_property
     def cuts(self) -> tuple[DataFrame, DataFrame]:
@@ -94,6 +103,7 @@ class Study:
         return ep.with_outcomes(self.episodes(**spec), self.market, self.calendar, self.config.get("outcomes.horizons"), self.config.get("outcomes.primary"))
 
     def features(self, **spec) -> DataFrame:
+        self.stored = True
         return ep.with_features(self.outcomes(**spec), self.market, self.calendar, self.sectors, self.sector_rets, *self.cuts, spec.get("window") or self.config.get("events.vol_window"))
 
     def events(self, **spec) -> DataFrame:
