@@ -142,15 +142,15 @@ def damaged_columns(deltas: DataFrame, store: DataFrame, by: str, z: float = 6.0
     values = deltas.where("value IS NOT NULL").join(store.select("column_name", "value", F.col("n").alias("sn")), ["column_name", "value"])
     weighed = values.join(base.select(*key, "np", "tnp"), key)
     limit, diff = apart(F.col("n") / F.col("np"), (F.col("sn") - F.col("n")) / F.nullif(onp, F.lit(0)), F.col("np"))
-    coded = weighed.where((onp > 0) & (F.col("np") >= 20) & (diff > limit)).groupBy(*key).agg(F.lit("coded").alias("r2"))
-
-    forms = (
-        weighed.withColumn("form", form(F.col("value"))).groupBy(*key, "np", "tnp", "form").agg(F.sum("n").alias("n"))
-        .withColumn("all", F.sum("n").over(Window.partitionBy("column_name", "form")))
+    # One pass over the joined counts serves both: per form its count, and whether one of its values is too frequent.
+    coded = F.coalesce((onp > 0) & (F.col("np") >= 20) & (diff > limit), F.lit(False))
+    shaped = weighed.groupBy(*key, "np", "tnp", form(F.col("value")).alias("form")).agg(F.sum("n").alias("n"), F.bool_or(coded).alias("coded"))
+    both = (
+        shaped.withColumn("all", F.sum("n").over(Window.partitionBy("column_name", "form")))
         .withColumn("d", F.col("n") / F.col("np") - (F.col("all") - F.col("n")) / F.nullif(onp, F.lit(0)))
         # Total variation is the sum of the positive differences; forms the load lacks are negative ones.
-        .groupBy(*key, "np").agg(F.sum(F.greatest("d", F.lit(0.0))).alias("tv"))
-        .where((F.col("np") >= 20) & (F.col("tv") > form_floor)).select(*key, F.lit("form").alias("r3"))
+        .groupBy(*key, "np").agg(F.sum(F.greatest("d", F.lit(0.0))).alias("tv"), F.bool_or("coded").alias("coded"))
+        .select(*key, F.when(F.col("coded"), "coded").alias("r2"), F.when((F.col("np") >= 20) & (F.col("tv") > form_floor), "form").alias("r3"))
     )
 
     numbers = deltas.select(*key, number(F.col("value")).alias("x"), "n").where("x IS NOT NULL")
@@ -171,7 +171,7 @@ def damaged_columns(deltas: DataFrame, store: DataFrame, by: str, z: float = 6.0
         .where(F.col("d") * F.sqrt("cn") > ks).select(*key, F.lit("distribution").alias("r4"))
     )
     return (
-        first.join(coded, key, "left").join(forms, key, "left").join(gaps, key, "left")
+        first.join(both, key, "left").join(gaps, key, "left")
         .select(*key, F.concat("r1", F.array_compact(F.array("r2", "r3", "r4"))).alias("reasons"))
         .where(F.size("reasons") > 0)
     )
