@@ -248,7 +248,7 @@ def brier_skill(s: Study) -> DataFrame:
 FROM (SELECT *, least(len(list_filter(e[2:-2], lambda x: x < score)), len(e) - 2) bin FROM dn CROSS JOIN (SELECT list_sort(list_distinct(quantile_cont(score, [0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]))) e FROM dn)) GROUP BY bin)""")
 def calibration_bins(s: Study) -> DataFrame:
     # Means of rounded scores can fall on ties of rounding; the addend moves them off.
-    return va.calibration_bins(done(s), REC, "score").withColumn("mean_pred", F.col("mean_pred") + 1e-9).select("bin", "n", *r6("mean_pred", "observed_freq", "ece"))
+    return va.calibration_bins(done(s), REC, "score").withColumn("bin", F.col("bin").cast("long")).withColumn("mean_pred", F.col("mean_pred") + 1e-9).select("bin", "n", *r6("mean_pred", "observed_freq", "ece"))
 
 
 @query(_SPLIT + f"SELECT round(avg({REC}), 6) base_rate FROM spl WHERE split IN ('train', 'val')")

@@ -76,8 +76,8 @@ e2 AS (SELECT e1.* EXCLUDE (volume), {legs}, hi_ahead / close - 1 mfe_{H}, lo_ah
   (SELECT min(p.pos) FROM px p WHERE p.ticker = e1.ticker AND p.pos BETWEEN e1.pos + 1 AND e1.pos + {H} AND p.close >= e1.precrash_close) - e1.pos days_to_recovery,
   abs(raw_return) abs_decline, (high - low) / prev_close hl_range, CASE WHEN volume > 0 THEN volume END volume, CASE WHEN nv >= {max(20, w // 3)} THEN mv END med_volume_60, {moms}
   FROM e1 LEFT JOIN sc ON sc.sector = e1.sector AND sc.pos = e1.pos),
-e3 AS (SELECT *, CASE WHEN car_{H} IS NOT NULL THEN CASE WHEN coalesce(hi_ahead >= precrash_close, FALSE) THEN 1.0 ELSE 0.0 END END regained_precrash_{H},
-  CASE WHEN car_{H} IS NOT NULL THEN CASE WHEN car_{H} > 0 THEN 1.0 ELSE 0.0 END END recovered_{H}d, car_{H} IS NOT NULL complete_{H}, ln(volume) log_volume, ln(volume) - ln(med_volume_60) avol, rv_20 / nullif(rv_60, 0) rv_ratio,
+e3 AS (SELECT *, CASE WHEN car_{H} IS NOT NULL THEN CASE WHEN coalesce(hi_ahead >= precrash_close, FALSE) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END END regained_precrash_{H},
+  CASE WHEN car_{H} IS NOT NULL THEN CASE WHEN car_{H} > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END END recovered_{H}d, car_{H} IS NOT NULL complete_{H}, ln(volume) log_volume, ln(volume) - ln(med_volume_60) avol, rv_20 / nullif(rv_60, 0) rv_ratio,
   CASE WHEN coalesce(spy_ret_event <= market_cut, FALSE) THEN 'broad_market' WHEN coalesce(sector_ret_event <= sector_cut, FALSE) THEN 'sector'
     WHEN market_cut IS NULL OR sector_cut IS NULL OR sector_ret_event IS NULL THEN 'unclassified' ELSE 'idiosyncratic' END crash_type FROM e2),
 qs AS (SELECT quantile_cont(vix, {g("regimes.vix_high_quantile")}) vix_high_cut, quantile_cont(avol, [0.25, 0.5, 0.75]) qa, quantile_cont(crash_z, [0.25, 0.5, 0.75]) qz FROM e3),
