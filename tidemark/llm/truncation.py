@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.session import broadcast_within
+from tidemark.session import broadcast_within, written
 
 #: Closing characters of a text that the features are made of.
 TAIL = 240
@@ -259,8 +259,12 @@ def training_records(docs: DataFrame, limits: DataFrame, sample_rows: int) -> Da
     def closing(t):
         return F.right(t, F.lit(TAIL))
 
+    def record(tail, n, gap, y):
+        return F.struct(tail.alias("tail"), n.cast("int").alias("n"), gap.cast("int").alias("limit_gap"), F.lit(y).alias("y"))
+
     # By chance an intact text is as long as a limit; as often as the counts around limits say.
-    as_is = intact.select(closing(F.col("text")).alias("tail"), "n", F.when(u("chance") < F.col("chance") * 0.2, F.floor(u("gap") * (SLACK + 1)).cast("int")).otherwise(-1).alias("limit_gap"), F.lit(0).alias("y"), _fold().alias("fold"))
+    chance = F.when(u("chance") < F.col("chance") * 0.2, F.floor(u("gap") * (SLACK + 1))).otherwise(F.lit(-1))
+    as_is = record(closing(F.col("text")), F.col("n"), chance, 0)
 
     def cut(at, style, gap_known: bool):
         body = F.substring("text", F.greatest(at - TAIL, F.lit(0)) + 1, F.least(at, F.lit(TAIL)))
@@ -270,11 +274,11 @@ def training_records(docs: DataFrame, limits: DataFrame, sample_rows: int) -> Da
         s = u(style)
         tail = F.when(s < 0.45, body).when(s < 0.75, F.rtrim(body)).when(s < 0.85, word).otherwise(F.concat(F.rtrim(body), dots))
         gap = F.when(s < 0.85, F.least(F.length(body) - F.length(tail), F.lit(SLACK))).otherwise(F.lit(0)) if gap_known else F.lit(-1)
-        return intact.where(at < F.col("n")).select(tail.alias("tail"), at.alias("n"), gap.cast("int").alias("limit_gap"), F.lit(1).alias("y"), _fold().alias("fold"))
+        return F.when(at < F.col("n"), record(tail, at, gap, 1))
 
-    somewhere = lambda s: (F.col("n") * (0.1 + 0.85 * u(s))).cast("int")
-    made = as_is.unionByName(cut(somewhere("p1"), "s1", False)).unionByName(cut(F.col("limit").cast("int"), "s3", True))
-    return made.where(F.length(F.trim("tail")) > 0)
+    somewhere = (F.col("n") * (0.1 + 0.85 * u("p1"))).cast("int")
+    made = F.explode(F.array_compact(F.array(as_is, cut(somewhere, "s1", False), cut(F.col("limit").cast("int"), "s3", True))))
+    return intact.select(made.alias("x"), _fold().alias("fold")).select("x.*", "fold").where(F.length(F.trim("tail")) > 0)
 
 
 def truncated(docs: DataFrame, sample_rows: int = 12_000, threshold: float = 0.5, alone: float = 0.9) -> DataFrame:
@@ -290,7 +294,7 @@ def truncated(docs: DataFrame, sample_rows: int = 12_000, threshold: float = 0.5
     scored); limits are counted over all records. Without any intact record to
     learn from every score is 0.
     """
-    limits = length_limits(docs)
+    limits = written(length_limits(docs), "length-limits")  # a few rows a limit, asked for several times
     made = training_records(docs, limits, sample_rows).toPandas()
     shared = docs.sparkSession.sparkContext.broadcast(fit_folds(made))
 
