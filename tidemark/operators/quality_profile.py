@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from tidemark.session import shared_folder
 
 #: Inner edges of the grid on which distributions are compared: 1/GRID steps of the pooled values.
-GRID = 100
+GRID, STEP = 100, 10
 ACCURACY = 10_000
 
 
@@ -155,11 +155,15 @@ def damaged_columns(deltas: DataFrame, store: DataFrame, by: str, z: float = 6.0
 
     numbers = deltas.select(*key, number(F.col("value")).alias("x"), "n").where("x IS NOT NULL")
     pooled = store.select("column_name", number(F.col("value")).alias("x"), "n").where("x IS NOT NULL")
-    # Values are few rows each in the store; the sketch takes them once per occurrence class, weighted by repetition.
+    # Quantiles of the distinct values; they only place the grid, shares are counted exactly.
     edges = pooled.groupBy("column_name").agg(F.percentile_approx("x", [i / GRID for i in range(GRID + 1)], ACCURACY).alias("edges"))
-    cell = F.size(F.filter("edges", lambda e: e < F.col("x")))
+    edges = edges.withColumn("coarse", F.transform(F.sequence(F.lit(0), F.lit(GRID), F.lit(STEP)), lambda i: F.get("edges", i)))
+    # How many edges lie below a value: found among every tenth edge, then among the ten behind it.
+    below = lambda a: F.size(F.filter(a, lambda e: e < F.col("x")))
+    at = (F.col("i") - 1) * STEP
+    cell = F.when(F.col("i") == 0, F.lit(0)).otherwise(at + below(F.slice("edges", F.greatest(at, F.lit(0)) + 1, STEP)))
     share = (
-        numbers.join(edges, "column_name").groupBy(*key, cell.alias("cell")).agg(F.sum("n").alias("c"))
+        numbers.join(edges, "column_name").withColumn("i", below("coarse")).groupBy(*key, cell.alias("cell")).agg(F.sum("n").alias("c"))
         .groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("cell", "c"))).alias("cells"), F.sum("c").alias("c"))
         .select(*key, F.col("c").alias("cn"), F.transform(F.sequence(F.lit(0), F.lit(GRID + 1)), lambda i: F.coalesce(F.col("cells")[i], F.lit(0))).alias("h"))
     )
