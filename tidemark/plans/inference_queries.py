@@ -16,6 +16,7 @@ from tidemark.operators import models as ml
 from tidemark.operators import panel as pn
 from tidemark.operators import splits as sp
 from tidemark.plans.study import Study
+from tidemark.plans.study_sql import grid_chain
 from tidemark.plans.study_queries import CONFIG, HORIZONS, QUERIES, SQL, H, day, query, r6, s6
 from tidemark.session import written
 
@@ -320,9 +321,18 @@ def _grid(s: Study) -> DataFrame:
     return gr.robustness_grid(grid_events(s), g("robustness.horizons"), g("robustness.vix_high_quantiles"), g("robustness.min_events"))
 
 
-@query()
+_CELL = ["mean_car", "se_clustered", "recovery_rate", "median_car", "mean_car_broad", "mean_car_sector", "mean_car_idio", "diff_broad_minus_idio", "mean_car_avol_q4",
+         "mean_car_avol_q1", "diff_avol_q4_minus_q1", "mean_car_high_vix", "mean_car_low_vix", "diff_high_minus_low_vix"]
+
+
+@query(f"SELECT z_threshold, vol_window, cooldown, horizon, vix_high_quantile, n_events, n_dates, {s6(*_CELL)} FROM cl", grid_chain)
 def robustness_grid(s: Study) -> DataFrame:
-    return _grid(s)
+    return _grid(s).select(*gr.SPEC, "horizon", "vix_high_quantile", "n_events", "n_dates", *r6(*_CELL))
+
+
+@query()
+def grid_intervals(s: Study) -> DataFrame:
+    return _grid(s).select(*gr.SPEC, "horizon", "vix_high_quantile", "mean_car", "ci_lo", "ci_hi", "p_value")
 
 
 @query()
@@ -331,25 +341,37 @@ def grid_regressions(s: Study) -> DataFrame:
     return gr.grid_regressions(gr.long_by_horizon(grid_events(s), g("robustness.horizons")), PRIMARY, ("crash_z", "avol", "rv_20"), g("robustness.min_events"))
 
 
-@query()
+@query(f"""SELECT count(*) n, round(min(mean_car), 6) min_mean, round(max(mean_car), 6) max_mean, round(median(mean_car), 6) median_mean, round(avg(CASE WHEN mean_car < 0 THEN 1.0 ELSE 0.0 END), 6) share_negative,
+  round(min(recovery_rate), 6) min_recovery, round(max(recovery_rate), 6) max_recovery, round(median(recovery_rate), 6) median_recovery, round(avg(CASE WHEN recovery_rate < 0.5 THEN 1.0 ELSE 0.0 END), 6) share_below_half FROM c1 WHERE horizon = {H}""", grid_chain)
 def grid_summary(s: Study) -> DataFrame:
-    return gr.grid_summary(_grid(s), H)
+    t = gr.grid_summary(_grid(s), H).drop("share_negative_significant", "share_positive_significant")
+    return t.select("n", *r6(*[c for c in t.columns if c != "n"]))
 
 
 @query()
+def grid_significance(s: Study) -> DataFrame:
+    return gr.grid_summary(_grid(s), H).select("n", "share_negative_significant", "share_positive_significant")
+
+
+@query("SELECT round(avg(CASE WHEN diff_avol_q4_minus_q1 > 0 THEN 1.0 ELSE 0.0 END), 6) avol_effect, round(avg(CASE WHEN diff_broad_minus_idio < 0 THEN 1.0 ELSE 0.0 END), 6) broad_vs_idio FROM cl", grid_chain)
 def sign_consistency(s: Study) -> DataFrame:
-    return gr.sign_consistency(_grid(s))
+    return gr.sign_consistency(_grid(s)).select(*r6("avol_effect", "broad_vs_idio"))
 
 
-@query()
+@query(f"SELECT z_threshold, round(median(mean_car), 6) median_mean_car FROM c1 WHERE horizon = {H} GROUP BY z_threshold", grid_chain)
 def severity_gradient(s: Study) -> DataFrame:
-    return _grid(s).where(F.col("horizon") == H).groupBy("z_threshold").agg(F.percentile("mean_car", F.lit(0.5)).alias("median_mean_car"))
+    one = _grid(s).where(F.col("horizon") == H).dropDuplicates(list(gr.SPEC))
+    return one.groupBy("z_threshold").agg(F.round(F.percentile("mean_car", F.lit(0.5)), 6).alias("median_mean_car"))
 
 
-@query()
+_CDS = CONFIG.get("robustness.cooldowns")
+
+
+@query("SELECT z_threshold, " + ", ".join(f"round(max(CASE WHEN cooldown = {k} THEN mean_car END), 6) cooldown_{k}" for k in _CDS) + f" FROM c1 WHERE horizon = {H} AND vol_window = 60 GROUP BY z_threshold", grid_chain)
 def grid_pivot(s: Study) -> DataFrame:
     one = _grid(s).where((F.col("horizon") == H) & (F.col("vol_window") == 60)).dropDuplicates(list(gr.SPEC))
-    return one.groupBy("z_threshold").pivot("cooldown", CONFIG.get("robustness.cooldowns")).agg(F.first("mean_car"))
+    wide = one.groupBy("z_threshold").pivot("cooldown", _CDS).agg(F.first("mean_car"))
+    return wide.select("z_threshold", *[F.round(str(k), 6).alias(f"cooldown_{k}") for k in _CDS])
 
 
 # --- tables behind figures ----------------------------------------------------------

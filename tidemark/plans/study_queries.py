@@ -23,13 +23,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
-def query(sql: str | None = None):
+def query(sql: str | None = None, tables: Callable[[Config], str] = chain):
     """Registers a function of a Study as the query of its name, with the SQL that selects the same from the chain."""
 
     def register(f: Callable[[Study], DataFrame]):
         QUERIES[f.__name__] = lambda spark, d: f(Study(spark, d, CONFIG))
         if sql is not None:
-            SQL[f.__name__] = chain(CONFIG) + sql
+            SQL[f.__name__] = tables(CONFIG) + sql
         return f
 
     return register

@@ -90,3 +90,41 @@ grp AS (SELECT ev.*, unnest(list_filter([ 'all_events', CASE WHEN crash_type IN
   CASE avol_quartile WHEN 'Q4' THEN 'avol_q4_highest' WHEN 'Q1' THEN 'avol_q1_lowest' END, vix_regime], lambda x: x IS NOT NULL)) grp FROM ev),
 sp0 AS (SELECT *, row_number() OVER (ORDER BY event_date, event_id) - 1 r, count(*) OVER () n FROM (SELECT *, d event_date FROM ev WHERE complete_{H}))
 """
+
+
+def grid_chain(c: Config) -> str:
+    """The chain, and every specification's cells: `cl` with one row per specification, horizon and volatility quantile."""
+    g = c.get
+    ths, ws, cds, hs, vqs = (g(f"robustness.{n}") for n in ("z_thresholds", "vol_windows", "cooldowns", "horizons", "vix_high_quantiles"))
+    parts, picks = [], []
+    for w in ws:
+        enough = f"{_prior('count(ret)', w)} >= {w}"
+        parts.append(f"""g{w} AS (SELECT *, CASE WHEN {enough} THEN {_prior('avg(ret)', w)} END mu, CASE WHEN {enough} THEN {_prior('stddev_samp(ret)', w)} END sigma, {', '.join(f"{_at('close', h)} close_p{h}" for h in hs)},
+  count(CASE WHEN volume > 0 THEN 1 END) OVER ({W} RANGE BETWEEN {w} PRECEDING AND 1 PRECEDING) nv, quantile_cont(CASE WHEN volume > 0 THEN volume END, 0.5) OVER ({W} RANGE BETWEEN {w} PRECEDING AND 1 PRECEDING) mv FROM pn)""")
+        picks.append(f"SELECT {w} vol_window, ticker, d, pos, close, ret, (ret - mu) / sigma z, CASE WHEN volume > 0 AND nv >= {max(20, w // 3)} THEN ln(volume) - ln(mv) END avol, {', '.join(f'close_p{h}' for h in hs)} FROM g{w} WHERE sigma > 0")
+    spec = "z_threshold, vol_window, cooldown"
+    legs = ", ".join(f"(close_p{h} / close - 1) - (b{h} / market - 1)" for h in hs)
+    mean = lambda cond: f"avg(CASE WHEN {cond} THEN car END)"
+    return chain(c).rstrip() + ",\n" + ",\n".join(parts) + f""",
+gc AS (SELECT * FROM ({' UNION ALL '.join(picks)}) x WHERE z <= {max(ths)} AND d BETWEEN DATE '{g("study.start")}' AND DATE '{g("study.end")}'
+  AND EXISTS (SELECT 1 FROM mw WHERE mw.ticker = x.ticker AND x.d >= mw.s AND x.d < mw.e)),
+gx AS (SELECT *, row_number() OVER (PARTITION BY {spec}, ticker ORDER BY pos) i FROM gc JOIN (SELECT unnest({ths})::DOUBLE z_threshold) ON z <= z_threshold CROSS JOIN (SELECT unnest({cds}) cooldown)),
+gd AS (SELECT {spec}, ticker, i, pos, pos anchor FROM gx WHERE i = 1
+  UNION ALL SELECT x.z_threshold, x.vol_window, x.cooldown, x.ticker, x.i, x.pos, CASE WHEN x.pos - gd.anchor >= x.cooldown THEN x.pos ELSE gd.anchor END
+  FROM gd JOIN gx x ON x.z_threshold = gd.z_threshold AND x.vol_window = gd.vol_window AND x.cooldown = gd.cooldown AND x.ticker = gd.ticker AND x.i = gd.i + 1),
+ge AS (SELECT gx.*, mk.vix, CASE WHEN coalesce(mk.market_ret <= mk.market_cut, FALSE) THEN 'broad_market' WHEN coalesce(sc.sector_ret <= sc.sector_cut, FALSE) THEN 'sector'
+    WHEN mk.market_cut IS NULL OR sc.sector_cut IS NULL OR sc.sector_ret IS NULL THEN 'unclassified' ELSE 'idiosyncratic' END crash_type, unnest({hs}) horizon, unnest([{legs}]) car
+  FROM gx JOIN gd ON gd.z_threshold = gx.z_threshold AND gd.vol_window = gx.vol_window AND gd.cooldown = gx.cooldown AND gd.ticker = gx.ticker AND gd.pos = gx.pos AND gd.anchor = gd.pos
+  JOIN mk ON mk.pos = gx.pos LEFT JOIN sec ON sec.ticker = gx.ticker LEFT JOIN sc ON sc.sector = sec.sector AND sc.pos = gx.pos),
+gq AS (SELECT {spec}, quantile_cont(avol, [0.25, 0.75]) q FROM ge WHERE horizon = {hs[0]} GROUP BY ALL),
+gl AS (SELECT ge.*, avol <= q[1] q1, avol > q[2] q4 FROM ge JOIN gq USING ({spec}) WHERE car IS NOT NULL),
+gs AS (SELECT {spec}, horizon, d, sum(car) s, count(*) n FROM gl GROUP BY ALL),
+gt AS (SELECT {spec}, horizon, sum(n)::BIGINT n_events, count(*) n_dates, sum(s) / sum(n) mean_car, sqrt(sum(s * s) - 2 * sum(s) / sum(n) * sum(s * n) + power(sum(s) / sum(n), 2) * sum(n * n)) / sum(n) * sqrt(count(*) / greatest(count(*) - 1, 1)) se_clustered
+  FROM gs GROUP BY ALL HAVING sum(n) >= {g("robustness.min_events")}),
+gm AS (SELECT {spec}, horizon, avg(CASE WHEN car > 0 THEN 1.0 ELSE 0.0 END) recovery_rate, median(car) median_car, {mean("crash_type = 'broad_market'")} mean_car_broad, {mean("crash_type = 'sector'")} mean_car_sector, {mean("crash_type = 'idiosyncratic'")} mean_car_idio,
+  {mean("q4")} mean_car_avol_q4, {mean("q1")} mean_car_avol_q1, unnest({vqs})::DOUBLE vix_high_quantile, unnest(quantile_cont(vix, {vqs})) cut FROM gl GROUP BY {spec}, horizon),
+gv AS (SELECT gl.z_threshold, gl.vol_window, gl.cooldown, gl.horizon, vix_high_quantile, {mean("vix >= cut")} mean_car_high_vix, {mean("vix < cut")} mean_car_low_vix FROM gl JOIN gm USING ({spec}, horizon) GROUP BY ALL),
+cl AS (SELECT *, mean_car_broad - mean_car_idio diff_broad_minus_idio, mean_car_avol_q4 - mean_car_avol_q1 diff_avol_q4_minus_q1, mean_car_high_vix - mean_car_low_vix diff_high_minus_low_vix
+  FROM gt JOIN gm USING ({spec}, horizon) JOIN gv USING ({spec}, horizon, vix_high_quantile)),
+c1 AS (SELECT DISTINCT z_threshold, vol_window, cooldown, horizon, mean_car, recovery_rate FROM cl)
+"""
