@@ -67,7 +67,7 @@ def fit(rows: DataFrame, y: str, names: Sequence[str], kind: str, params: dict,
         filled = [F.coalesce(_finite(n), F.lit(m)) for n, m in zip(xs, medians, strict=True)]
         s = rows.agg(*[F.avg(f).alias(f"m{i}") for i, f in enumerate(filled)], *[F.stddev_pop(f).alias(f"s{i}") for i, f in enumerate(filled)]).first()
         means, scales = [float(s[f"m{i}"]) for i in range(len(xs))], [float(s[f"s{i}"]) or 1.0 for i in range(len(xs))]
-        learner = LogisticRegression(featuresCol="_v", labelCol="_y", regParam=1 / (params["c"] * max(n_rows, 1)), elasticNetParam=0.0, standardization=False, maxIter=200, tol=1e-9)
+        learner = LogisticRegression(featuresCol="_v", labelCol="_y", regParam=1 / (params["c"] * max(n_rows, 1)), elasticNetParam=0.0, standardization=False, maxIter=100, tol=1e-6)
     elif kind == "random_forest":
         learner = RandomForestClassifier(featuresCol="_v", labelCol="_y", numTrees=trees, minInstancesPerNode=params["leaf"], featureSubsetStrategy="sqrt", maxDepth=12, seed=seed)
     else:

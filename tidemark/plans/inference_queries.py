@@ -439,3 +439,25 @@ def top_abs_returns(s: Study) -> DataFrame:
 def crash_type_share(s: Study) -> DataFrame:
     x = s.features().groupBy("crash_type").agg(F.count(F.lit(1)).alias("n"))
     return x.crossJoin(F.broadcast(x.agg(F.sum("n").alias("t")))).select("crash_type", "n", F.round(F.col("n") / F.col("t"), 6).alias("share"))  # one row
+
+
+@query("SELECT z_threshold, round(median(mean_car), 6) median_mean, round(min(mean_car), 6) min_mean, round(max(mean_car), 6) max_mean, count(*) n FROM c1 GROUP BY z_threshold", grid_chain)
+def threshold_stats(s: Study) -> DataFrame:
+    one = _grid(s).dropDuplicates([*gr.SPEC, "horizon"])
+    return one.groupBy("z_threshold").agg(
+        F.round(F.percentile("mean_car", F.lit(0.5)), 6).alias("median_mean"), F.round(F.min("mean_car"), 6).alias("min_mean"), F.round(F.max("mean_car"), 6).alias("max_mean"), F.count(F.lit(1)).alias("n"))
+
+
+@query(_DONE + f""", e12 AS (SELECT quantile_cont(avol, [{', '.join(f'{i}/12::DOUBLE' for i in range(1, 12))}]) e FROM dn)
+SELECT (len(list_filter(e, lambda x: x < avol)))::INT bin, count(*) n, round(median(avol), 6) mid, round(median({CAR}), 6) median_car FROM dn CROSS JOIN e12 WHERE avol IS NOT NULL GROUP BY 1""")
+def dependence_bins(s: Study) -> DataFrame:
+    x = ep.quantile_bins(done(s), {"bin": ("avol", [str(i) for i in range(12)])}).where("bin IS NOT NULL")
+    return x.groupBy(F.col("bin").cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.round(F.percentile("avol", F.lit(0.5)), 6).alias("mid"), F.round(F.percentile(CAR, F.lit(0.5)), 6).alias("median_car"))
+
+
+@query()
+def fold_auc_pivot(s: Study) -> DataFrame:
+    x = written(done(s), "fold-events")
+    folds = _folds(x)
+    tables = [ml.expanding_evaluation(x, REC, ep.FEATURES, "event_date", folds, "logistic", {"c": c}).assign(model=f"logistic_{c:g}") for c in (0.01, 1.0)]
+    return inf.as_frame(s.spark, pd.concat(tables, ignore_index=True)[["fold", "model", "roc_auc"]]).groupBy("fold").pivot("model", ["logistic_0.01", "logistic_1"]).agg(F.first("roc_auc"))

@@ -41,7 +41,7 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_grid(spark: SparkSession, d: str) -> DataFrame:
-    return _grid(spark, d).select("ticker", _day("session"), F.round("y", 9).alias("close"), "status")
+    return _grid(spark, d).select("ticker", _day("session"), F.round("y", 4).alias("close"), "status")
 
 
 LOAD, ARRIVAL = "load_id", "loaded_at"
@@ -100,4 +100,28 @@ r AS (SELECT ticker, s.pos, max(has) has FROM d JOIN s ON d.d >= s.d AND d.d < s
 b AS (SELECT ticker, min(pos) lo, max(pos) hi FROM r GROUP BY 1)
 SELECT b.ticker, strftime(s.d, '%Y-%m-%d') session FROM b JOIN s ON s.pos BETWEEN b.lo AND b.hi
 WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.ticker = b.ticker AND r.pos = s.pos AND r.has = 1)""",
+    "p3_grid": f"""
+WITH d AS (SELECT {_TICKER.format('ticker')} ticker, "date" d, arg_max(CASE WHEN isnan(close) THEN NULL ELSE close END, loaded_at) y0, arg_max(CASE WHEN close IS NULL OR isnan(close) THEN 0 ELSE 1 END, loaded_at) has FROM prices GROUP BY 1, 2),
+s AS (SELECT "date" d, pos, coalesce(lead("date") OVER (ORDER BY "date"), "date" + 11) nxt FROM trading_days),
+j AS (SELECT d.ticker, s.pos, CASE WHEN has = 1 THEN y0 END y, d.d = s.d own, d.d FROM d JOIN s ON d.d >= s.d AND d.d < s.nxt),
+r AS (SELECT ticker, pos, y FROM j QUALIFY row_number() OVER (PARTITION BY ticker, pos ORDER BY y IS NOT NULL DESC, own DESC, d DESC) = 1),
+b AS (SELECT ticker, min(pos) lo, max(pos) hi FROM r GROUP BY 1),
+o AS (SELECT ticker, pos x, y, lag(pos) OVER w xa, lag(y) OVER w ya, lead(pos) OVER w xc, lead(y) OVER w yc, lead(pos, 2) OVER w xd, lead(y, 2) OVER w yd FROM r WHERE y IS NOT NULL WINDOW w AS (PARTITION BY ticker ORDER BY pos)),
+h AS (SELECT *, (xc - x)::DOUBLE h, (yc - y) / (xc - x) s, CASE WHEN x - xa <= 11 THEN (x - xa)::DOUBLE END hl, CASE WHEN x - xa <= 11 THEN (y - ya) / (x - xa) END sl, CASE WHEN xd - xc <= 11 THEN (xd - xc)::DOUBLE END hr, CASE WHEN xd - xc <= 11 THEN (yd - yc) / (xd - xc) END sr FROM o WHERE xc - x > 1),
+e AS (SELECT *, ((2 * h + hr) * s - h * sr) / (h + hr) eb, ((2 * h + hl) * s - h * sl) / (h + hl) ec FROM h),
+m AS (SELECT *, CASE WHEN hl IS NOT NULL THEN CASE WHEN sl * s <= 0 THEN 0 ELSE (3 * h + 3 * hl) / ((2 * h + hl) / sl + (h + 2 * hl) / s) END
+    WHEN hr IS NOT NULL THEN CASE WHEN sign(eb) <> sign(s) THEN 0 WHEN sign(s) <> sign(sr) AND abs(eb) > 3 * abs(s) THEN 3 * s ELSE eb END ELSE s END mb,
+  CASE WHEN hr IS NOT NULL THEN CASE WHEN s * sr <= 0 THEN 0 ELSE (3 * h + 3 * hr) / ((2 * hr + h) / s + (hr + 2 * h) / sr) END
+    WHEN hl IS NOT NULL THEN CASE WHEN sign(ec) <> sign(s) THEN 0 WHEN sign(s) <> sign(sl) AND abs(ec) > 3 * abs(s) THEN 3 * s ELSE ec END ELSE s END mc FROM e),
+f AS (SELECT m.*, s.pos p, (s.pos - x) / h t FROM m JOIN s ON s.pos > x AND s.pos < xc),
+g AS (SELECT ticker, p pos, CASE WHEN h <= 11 THEN y * (1 + 2 * t) * (1 - t) * (1 - t) + h * mb * t * (1 - t) * (1 - t) + yc * t * t * (3 - 2 * t) + h * mc * t * t * (t - 1) END y, CASE WHEN h <= 11 THEN 'filled' ELSE 'marked' END status FROM f),
+a AS (SELECT ticker, pos, y, 'observed' status FROM r WHERE y IS NOT NULL UNION ALL SELECT * FROM g)
+SELECT b.ticker, strftime(s.d, '%Y-%m-%d') session, round(a.y, 4) "close", coalesce(a.status, 'marked') status FROM b JOIN s ON s.pos BETWEEN lo AND hi LEFT JOIN a ON a.ticker = b.ticker AND a.pos = s.pos""",
+    "p4_profile": """
+WITH u AS (UNPIVOT (SELECT load_id, COLUMNS(lambda c: c NOT IN ('load_id', 'loaded_at'))::VARCHAR FROM crash_events) ON COLUMNS(* EXCLUDE (load_id)) INTO NAME column_name VALUE v0),
+k AS (SELECT load_id, count(*) n FROM crash_events GROUP BY 1),
+v AS (SELECT load_id, column_name, v0 v, count(*) n FROM u WHERE trim(v0) <> '' AND v0 <> 'nan' GROUP BY ALL),
+p AS (SELECT load_id, column_name, sum(n) np, count(*) nd, log2(sum(n)) - sum(n * log2(n)) / sum(n) h FROM v GROUP BY ALL),
+c AS (SELECT k.load_id, n, column_name FROM k CROSS JOIN (SELECT column_name FROM (DESCRIBE crash_events) WHERE column_name NOT IN ('load_id', 'loaded_at')))
+SELECT load_id, column_name, c.n n_rows, (c.n - coalesce(np, 0))::BIGINT n_missing, coalesce(nd, 0) n_distinct, round(h, 6) entropy FROM c LEFT JOIN p USING (load_id, column_name)""",
 }
