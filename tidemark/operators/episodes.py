@@ -32,6 +32,12 @@ def check_features(names: Sequence[str]) -> None:
         raise ValueError(f"not event-time features: {bad}")
 
 
+def feature_matrix(events: DataFrame, columns: Sequence[str] = FEATURES) -> DataFrame:
+    """The predictors of each event, and its id; refuses anything measured later."""
+    check_features(columns)
+    return events.select("event_id", *columns)
+
+
 def candidates(panel: DataFrame, windows: DataFrame, threshold: float, start, end, z: str = "z") -> DataFrame:
     """Rows of the panel at or below the threshold, in a membership window and the study's days (both ends in)."""
     hit = panel.where((F.col(z) <= threshold) & F.col("date").between(F.lit(start).cast("date"), F.lit(end).cast("date")))

@@ -461,3 +461,22 @@ def fold_auc_pivot(s: Study) -> DataFrame:
     folds = _folds(x)
     tables = [ml.expanding_evaluation(x, REC, ep.FEATURES, "event_date", folds, "logistic", {"c": c}).assign(model=f"logistic_{c:g}") for c in (0.01, 1.0)]
     return inf.as_frame(s.spark, pd.concat(tables, ignore_index=True)[["fold", "model", "roc_auc"]]).groupBy("fold").pivot("model", ["logistic_0.01", "logistic_1"]).agg(F.first("roc_auc"))
+
+
+@query("SELECT b bin, count(*) n FROM (SELECT CASE WHEN x >= 0 THEN 61 ELSE (floor((x + 0.5::DOUBLE) / (0.5::DOUBLE / 60)) + 1)::INT END b FROM (SELECT greatest(least(round(raw_return, 6), 0.0::DOUBLE), -0.5::DOUBLE) + 1e-9 x FROM e0)) GROUP BY b")
+def return_histogram(s: Study) -> DataFrame:
+    x = F.greatest(F.least(F.round("raw_return", 6), F.lit(0.0)), F.lit(-0.5)) + 1e-9
+    b = F.when(x >= 0, F.lit(61)).otherwise((F.floor((x + 0.5) / (0.5 / 60)) + 1).cast("int"))
+    return s.episodes(wide=False).groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def recovery_quintile_intervals(s: Study) -> DataFrame:
+    x = ep.quantile_bins(s.events().where(f"{REC} IS NOT NULL"), {"quintile": ("vix", [f"V{i}" for i in range(1, 6)])}).where("quintile IS NOT NULL")
+    return inf.bootstrap_mean(x, "quintile", ["event_id"], REC, seed=SEED)
+
+
+@query("""SELECT strftime(date_trunc('quarter', d), '%Y-%m-%d') "quarter", count(*) n FROM e0 WHERE d BETWEEN DATE '2020-03-16' - 200 AND DATE '2020-03-16' + 200 GROUP BY 1 ORDER BY n DESC, "quarter" LIMIT 1""")
+def local_peak(s: Study) -> DataFrame:
+    near = s.episodes(wide=False).where("event_date BETWEEN date_sub(DATE '2020-03-16', 200) AND date_add(DATE '2020-03-16', 200)")
+    return near.groupBy(F.date_format(F.trunc("event_date", "quarter"), "yyyy-MM-dd").alias("quarter")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "quarter").limit(1)

@@ -307,3 +307,13 @@ def avol_quartile(s: Study) -> DataFrame:
 @query("SELECT event_id, severity_quartile FROM ev")
 def severity_quartile(s: Study) -> DataFrame:
     return s.events().select("event_id", "severity_quartile")
+
+
+@query(f"SELECT event_id, {s6(*ep.FEATURES)} FROM e3")
+def feature_matrix(s: Study) -> DataFrame:
+    return ep.feature_matrix(s.features()).select("event_id", *r6(*ep.FEATURES))
+
+
+@query(f"SELECT {KEY}, p.close close_back_5, n.close close_ahead_5 FROM pn JOIN (SELECT ticker, pos FROM pn) k USING (ticker, pos) LEFT JOIN (SELECT ticker, pos + 5 pos, close FROM pn) p USING (ticker, pos) LEFT JOIN (SELECT ticker, pos - 5 pos, close FROM pn) n USING (ticker, pos)")
+def positional_gather(s: Study) -> DataFrame:
+    return s.prices.select("ticker", "pos", pn.at_offset("close", -5).alias("close_back_5"), pn.at_offset("close", 5).alias("close_ahead_5"))
