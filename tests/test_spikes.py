@@ -54,6 +54,9 @@ def test_genuine_moves_are_kept(spark):
         rows[200 + k][2] *= f  # a squeeze that fades
     for k, f in ((-1, 3), (0, 9), (1, 4), (2, 2)):
         rows[300 + k][3] *= f  # builds up and ebbs
+    for k in range(3):
+        rows[250 + k][2] *= 0.8  # a crash that was traded, and bought back
+    rows[250][3] = 1.5e7
     rows[350][3] = 0.0
     rows[351][3] = None
     assert run(spark, rows) == {}

@@ -7,7 +7,8 @@ large only where the level is left and found again. A generalised Pareto tail
 fitted to a source's own departures beyond a high threshold gives the cutoff
 that a reading exceeds with a fixed small risk. Runs of a few readings are held
 against the same cutoff as one. Further rules: impossible values, stuck runs;
-high volume on the day of a price move is trade.
+high volume on the
+day of a price move is trade, and so is the move.
 """
 
 from __future__ import annotations
@@ -27,6 +28,9 @@ LEAST_CLOSE, LEAST_VOLUME = 0.10, 2.1
 BEYOND_TRADE = 3.0
 #: A price move, in median absolute moves, that explains high volume.
 MOVE = 6.0
+#: Volume this far above its level (in logs, and in robust deviations) on the first day
+#: shows that a move was traded, unless the close leaves its level by a factor of three.
+TRADED, TRADED_DEVIATIONS, BEYOND_MOVE = 1.4, 3.5, 1.1
 
 
 def tail_cutoff(departures: np.ndarray, risk: float, threshold: float = 0.90, shape: tuple[float, float] = (0.0, 0.1)) -> float:
@@ -110,6 +114,25 @@ def _spikes(x: np.ndarray, risk: float, shape: tuple[float, float], least: float
     return hit, size, cut
 
 
+def _surges(x: np.ndarray) -> np.ndarray:
+    """Readings far above the levels before and after them."""
+    b, a = _medians(x)
+    off = np.abs(x - (b + a) / 2)
+    scale = 1.4826 * np.nanmedian(off) if np.isfinite(off).any() else np.inf
+    return _departures(x, 1) > max(TRADED, TRADED_DEVIATIONS * scale)
+
+
+def _untraded(hit: np.ndarray, size: np.ndarray, surge: np.ndarray) -> np.ndarray:
+    """The hits less the runs that begin with a surge of volume."""
+    run = np.cumsum(hit & ~np.r_[False, hit[:-1]])
+    kept = hit.copy()
+    for i in np.flatnonzero(hit & ~np.r_[False, hit[:-1]] & surge):
+        own = hit & (run == run[i])
+        if np.abs(size[own]).max() < BEYOND_MOVE:
+            kept[own] = False
+    return kept
+
+
 def _weekday_free(x: np.ndarray, weekday: np.ndarray) -> np.ndarray:
     """Less the median deviation of each weekday from the local level."""
     b, a = _medians(x)
@@ -149,6 +172,9 @@ def flag_source(rows: pd.DataFrame, risk: float, stuck: int, max_volume: float,
         found(np.flatnonzero(bad), "close", "impossible", close)
         at = np.flatnonzero(~bad & ~np.isnan(close))
         hit, dep, cut = _spikes(_weekday_free(np.log(close[at]), weekday[at]), risk, shape, LEAST_CLOSE)
+        surge, sold = np.zeros(len(close), bool), np.flatnonzero((volume > 0) & (volume <= max_volume))
+        surge[sold] = _surges(_weekday_free(np.log(volume[sold]), weekday[sold]))
+        hit = _untraded(hit, dep, surge[at])
         found(at[hit], "close", "spike", close, dep[hit], cut)
         moved = np.zeros(len(close))
         clean = at[~hit]
