@@ -1,0 +1,62 @@
+"""Which models the registered queries fit, on a small made-up event table."""
+
+import datetime as dt
+from types import SimpleNamespace
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tidemark.operators import episodes as ep
+from tidemark.operators import models as ml
+from tidemark.operators import splits as sp
+from tidemark.plans import inference_queries as q
+
+SMALL = {"logistic": [{"c": 0.01}, {"c": 1.0}], "random_forest": [{"leaf": 5}], "boosting": [{"rate": 0.3, "leaf": 5}]}
+
+
+@pytest.fixture
+def study(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(150):
+        x = rng.normal(size=len(ep.FEATURES))
+        rows.append((str(i), dt.date(2010, 1, 1) + dt.timedelta(days=10 * i), float(x[0] + rng.normal() > 0), *map(float, x)))
+    df = spark.createDataFrame(rows, f"event_id string, event_date date, {q.REC} double, " + ", ".join(f"{n} double" for n in ep.FEATURES)).coalesce(1)
+    split = sp.chronological_split(df, "event_date").cache()
+    folds = q._folds(split)[:2]
+    monkeypatch.setattr(q, "_split_written", lambda s: split)
+    monkeypatch.setattr(q, "_folds", lambda x: folds)
+    return SimpleNamespace(spark=spark)
+
+
+@pytest.fixture
+def fits(monkeypatch):
+    """The fits asked for; a fixed forecast stands in for the models."""
+    asked = []
+
+    def fit(rows, y, names, kind, params, seed=0, trees=500, rounds=100):
+        asked.append((kind, params, trees, params.get("rounds", rounds)))
+        score = lambda rows, name="p": rows.withColumn(name, 1 / (1 + F.exp(-F.col(names[0]))))
+        return SimpleNamespace(kind=kind, params=params, score=score)
+
+    monkeypatch.setattr(ml, "fit", fit)
+    monkeypatch.setattr(ml, "classification_metrics", lambda rows, y, p: rows.agg(F.avg(F.col(y) * F.col(p)).alias("roc_auc")))
+    return asked
+
+
+def test_folds_have_every_kind_with_its_chosen_parameters(study, fits, monkeypatch):
+    monkeypatch.setattr(ml, "PARAMS", SMALL)
+    best = ml.choose(q._split_written(study), q.REC, ep.FEATURES, seed=7)
+    fits.clear()
+    rows = q.model_folds(study).collect()
+    assert sorted((r.fold, r.model) for r in rows) == sorted((f, k) for f in (0, 1) for k in SMALL)
+    refits = [f[:2] for f in fits[sum(map(len, SMALL.values())):]]
+    assert all(refits.count((k, best[k][1])) == 2 for k in SMALL) and len(refits) == 6
+
+
+def test_folds_pivot_over_the_kinds(study, fits, monkeypatch):
+    monkeypatch.setattr(ml, "PARAMS", SMALL)
+    t = q.fold_auc_pivot(study)
+    assert t.columns == ["fold", "logistic", "random_forest", "boosting"]
+    assert all(v is not None for r in t.collect() for v in r)

@@ -4,19 +4,22 @@ Fitting is Spark ML's. Missing features take the training median; logistic
 regression sees standardised columns with an L2 penalty of 1/C on the sum of
 losses. Boosting is Spark's level-wise trees at a depth of four (about fifteen
 leaves), the nearest built-in to leaf-wise boosting.
+Fits that don't depend on one another are run side by side.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
+from pyspark import inheritable_thread_target
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators.episodes import check_features
@@ -27,6 +30,8 @@ PARAMS: dict[str, list[dict]] = {
     "random_forest": [{"leaf": n} for n in (10, 20, 50, 100)],
     "boosting": [{"rate": 0.02, "leaf": 50}, {"rate": 0.05, "leaf": 50}, {"rate": 0.02, "leaf": 100}, {"rate": 0.05, "leaf": 100}],
 }
+#: Fits run side by side; each is a long row of small jobs.
+PARALLEL = 4
 
 
 @dataclass
@@ -90,22 +95,41 @@ def _number(v) -> float:
     return float(v) if v is not None else float("nan")
 
 
+def _side_by_side(spark: SparkSession, f: Callable, items: Sequence) -> list:
+    """`f` of each item, in the items' order."""
+    with ThreadPool(PARALLEL) as pool:
+        return pool.map(inheritable_thread_target(spark)(f), items, chunksize=1)
+
+
+def choose(split: DataFrame, y: str, names: Sequence[str], kinds: Sequence[str] = tuple(PARAMS), seed: int = 0, **size) -> dict[str, tuple[float, dict]]:
+    """Per kind the best validation AUC and its parameters, the first of equals.
+    `split` has a column `split`."""
+
+    def auc(setting: tuple[str, dict]) -> float:
+        m = fit(split.where("split = 'train'"), y, names, *setting, seed, **size)
+        return _number(classification_metrics(m.score(split.where("split = 'val'")), y, "p").first()["roc_auc"])
+
+    # The longest fits first, so that none is left to run alone at the end.
+    settings = sorted(((k, p) for k in kinds for p in PARAMS[k]), key=lambda s: -s[1].get("rounds", 0))
+    scores = {(k, str(p)): a for (k, p), a in zip(settings, _side_by_side(split.sparkSession, auc, settings), strict=True)}
+    best: dict[str, tuple[float, dict]] = {}
+    for kind in kinds:
+        for params in PARAMS[kind]:
+            a = scores[kind, str(params)]
+            if kind not in best or a > best[kind][0] or (np.isnan(best[kind][0]) and not np.isnan(a)):
+                best[kind] = (a, params)
+    return best
+
+
 def search(split: DataFrame, y: str, names: Sequence[str], kinds: Sequence[str] = tuple(PARAMS), seed: int = 0, **size) -> tuple[pd.DataFrame, dict[str, Fitted]]:
     """Per kind: the parameters of the best validation AUC (the first of equals),
     refitted on training and validation, scored once on test; and the base rate.
     `split` has a column `split`."""
     part = lambda *p: split.where(F.col("split").isin(*p))
-    rows, fitted = [], {}
-    for kind in kinds:
-        best: tuple[float, dict] | None = None
-        for params in PARAMS[kind]:
-            m = fit(part("train"), y, names, kind, params, seed, **size)
-            auc = _number(classification_metrics(m.score(part("val")), y, "p").first()["roc_auc"])
-            if best is None or auc > best[0] or (np.isnan(best[0]) and not np.isnan(auc)):
-                best = (auc, params)
-        final = fit(part("train", "val"), y, names, kind, best[1], seed, **size)
-        fitted[kind] = final
-        rows.append({"model": kind, "val_roc_auc": best[0], **classification_metrics(final.score(part("test")), y, "p").first().asDict(), "params": str(best[1])})
+    best = choose(split, y, names, kinds, seed, **size)
+    finals = _side_by_side(split.sparkSession, lambda kind: fit(part("train", "val"), y, names, kind, best[kind][1], seed, **size), kinds)
+    fitted = dict(zip(kinds, finals, strict=True))
+    rows = [{"model": kind, "val_roc_auc": best[kind][0], **classification_metrics(m.score(part("test")), y, "p").first().asDict(), "params": str(m.params)} for kind, m in fitted.items()]
     constant = part("test").withColumn("p", F.lit(base_rate(part("train", "val"), y)))
     rows.append({"model": "base_rate", "val_roc_auc": float("nan"), **classification_metrics(constant, y, "p").first().asDict(), "params": "{}"})
     return pd.DataFrame(rows), fitted
@@ -113,13 +137,21 @@ def search(split: DataFrame, y: str, names: Sequence[str], kinds: Sequence[str]
 
 def expanding_evaluation(rows: DataFrame, y: str, names: Sequence[str], date: str, folds: Sequence[dict], kind: str, params: dict, **size) -> pd.DataFrame:
     """Metrics of one model per fold."""
-    out = []
-    for f in folds:
-        d = F.col(date).cast("date")
+    d = F.col(date).cast("date")
+
+    def one(f: dict) -> dict:
         m = fit(rows.where(d < F.lit(f["train_end"])), y, names, kind, params, **size)
         test = rows.where(d.between(F.lit(f["test_start"]), F.lit(f["test_end"])))
-        out.append({**{k: str(v) if k.endswith(("end", "start")) else v for k, v in f.items()}, "model": kind, **classification_metrics(m.score(test), y, "p").first().asDict()})
-    return pd.DataFrame(out)
+        return {**{k: str(v) if k.endswith(("end", "start")) else v for k, v in f.items()}, "model": kind, **classification_metrics(m.score(test), y, "p").first().asDict()}
+
+    return pd.DataFrame(_side_by_side(rows.sparkSession, one, folds))
+
+
+def expanding_comparison(split: DataFrame, y: str, names: Sequence[str], date: str, folds: Sequence[dict], kinds: Sequence[str] = tuple(PARAMS), seed: int = 0, **size) -> pd.DataFrame:
+    """Metrics of all kinds per fold, each refitted with the parameters chosen on
+    validation. `split` has a column `split`."""
+    best = choose(split, y, names, kinds, seed, **size)
+    return pd.concat([expanding_evaluation(split, y, names, date, folds, kind, best[kind][1], seed=seed, **size) for kind in kinds], ignore_index=True)
 
 
 def permutation_importance(model: Fitted, rows: DataFrame, y: str, repeats: int = 15, seed: int = 0) -> DataFrame:

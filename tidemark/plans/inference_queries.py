@@ -266,6 +266,11 @@ def _split_written(s: Study) -> DataFrame:
     return written(sp.chronological_split(done(s), "event_date"), "split-events")
 
 
+def _fold_scores(s: Study) -> pd.DataFrame:
+    x = _split_written(s)
+    return ml.expanding_comparison(x, REC, ep.FEATURES, "event_date", _folds(x), seed=7)
+
+
 @query()
 def model_comparison(s: Study) -> DataFrame:
     return inf.as_frame(s.spark, ml.search(_split_written(s), REC, ep.FEATURES, seed=7, **SIZE)[0])
@@ -273,8 +278,7 @@ def model_comparison(s: Study) -> DataFrame:
 
 @query()
 def model_folds(s: Study) -> DataFrame:
-    x = written(done(s), "fold-events")
-    return inf.as_frame(s.spark, ml.expanding_evaluation(x, REC, ep.FEATURES, "event_date", _folds(x), "logistic", {"c": 0.1}))
+    return inf.as_frame(s.spark, _fold_scores(s))
 
 
 @query()
@@ -457,10 +461,7 @@ def dependence_bins(s: Study) -> DataFrame:
 
 @query()
 def fold_auc_pivot(s: Study) -> DataFrame:
-    x = written(done(s), "fold-events")
-    folds = _folds(x)
-    tables = [ml.expanding_evaluation(x, REC, ep.FEATURES, "event_date", folds, "logistic", {"c": c}).assign(model=f"logistic_{c:g}") for c in (0.01, 1.0)]
-    return inf.as_frame(s.spark, pd.concat(tables, ignore_index=True)[["fold", "model", "roc_auc"]]).groupBy("fold").pivot("model", ["logistic_0.01", "logistic_1"]).agg(F.first("roc_auc"))
+    return inf.as_frame(s.spark, _fold_scores(s)[["fold", "model", "roc_auc"]]).groupBy("fold").pivot("model", list(ml.PARAMS)).agg(F.first("roc_auc"))
 
 
 @query("SELECT b bin, count(*) n FROM (SELECT CASE WHEN x >= 0 THEN 61 ELSE (floor((x + 0.5::DOUBLE) / (0.5::DOUBLE / 60)) + 1)::INT END b FROM (SELECT greatest(least(round(raw_return, 6), 0.0::DOUBLE), -0.5::DOUBLE) + 1e-9 x FROM e0)) GROUP BY b")
