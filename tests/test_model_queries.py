@@ -60,3 +60,20 @@ def test_folds_pivot_over_the_kinds(study, fits, monkeypatch):
     t = q.fold_auc_pivot(study)
     assert t.columns == ["fold", "logistic", "random_forest", "boosting"]
     assert all(v is not None for r in t.collect() for v in r)
+
+
+def test_models_have_their_full_size(study, fits):
+    q.model_comparison(study)
+    assert {f[2] for f in fits if f[0] == "random_forest"} == {500}
+    assert sorted(f[3] for f in fits if f[0] == "boosting")[:1] == [200] and {f[3] for f in fits if f[0] == "boosting"} == {200, 400, 800}
+    assert len(fits) == 12 + 3
+
+
+@pytest.mark.parametrize("name", ["permutation_importance", "shap_importance"])
+def test_explained_is_the_chosen_model(study, fits, monkeypatch, name):
+    kept = []
+    monkeypatch.setattr(ml, name, lambda m, rows, *a, **k: kept.append(m))
+    best = ml.choose(q._split_written(study), q.REC, ep.FEATURES, ("boosting",), seed=7)["boosting"]
+    fits.clear()
+    getattr(q, name)(study)
+    assert kept[0].params == best[1] and kept[0].params in ml.PARAMS["boosting"] and len(fits) == 5

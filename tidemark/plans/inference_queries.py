@@ -259,9 +259,6 @@ def base_rate(s: Study) -> DataFrame:
 
 # --- models ---------------------------------------------------------------------
 
-SIZE = {"trees": 50, "rounds": 10}
-
-
 def _split_written(s: Study) -> DataFrame:
     return written(sp.chronological_split(done(s), "event_date"), "split-events")
 
@@ -273,7 +270,7 @@ def _fold_scores(s: Study) -> pd.DataFrame:
 
 @query()
 def model_comparison(s: Study) -> DataFrame:
-    return inf.as_frame(s.spark, ml.search(_split_written(s), REC, ep.FEATURES, seed=7, **SIZE)[0])
+    return inf.as_frame(s.spark, ml.search(_split_written(s), REC, ep.FEATURES, seed=7)[0])
 
 
 @query()
@@ -284,7 +281,7 @@ def model_folds(s: Study) -> DataFrame:
 @query()
 def permutation_importance(s: Study) -> DataFrame:
     x = _split_written(s)
-    m = ml.fit(x.where("split IN ('train', 'val')"), REC, ep.FEATURES, "boosting", {"rate": 0.05, "leaf": 10}, 7, **SIZE)
+    m = ml.search(x, REC, ep.FEATURES, ("boosting",), seed=7)[1]["boosting"]
     return ml.permutation_importance(m, x.where("split = 'test'"), REC, seed=7)
 
 
@@ -297,7 +294,7 @@ def logit_coefficients(s: Study) -> DataFrame:
 @query()
 def shap_importance(s: Study) -> DataFrame:
     x = _split_written(s)
-    m = ml.fit(x.where("split IN ('train', 'val')"), REC, ep.FEATURES, "boosting", {"rate": 0.05, "leaf": 10}, 7, **SIZE)
+    m = ml.search(x, REC, ep.FEATURES, ("boosting",), seed=7)[1]["boosting"]
     return ml.shap_importance(m, x.where("split = 'test'"), "event_id")
 
 
