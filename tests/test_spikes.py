@@ -88,3 +88,16 @@ def test_rows_in_any_order():
     a = flag_source(df, 3e-5, 6, 1e12, (0.0, 0.1))
     b = flag_source(df.sample(frac=1, random_state=2), 3e-5, 6, 1e12, (0.0, 0.1))
     assert a["date"].tolist() == b["date"].tolist() == [D0 + dt.timedelta(days=50)]
+
+
+def test_own_spikes_do_not_hide_a_plain_one():
+    import pandas as pd
+
+    rows = series(seed=3)
+    own = [*range(20, 380, 20)]
+    for i in own:
+        rows[i][2] *= 2.0
+    rows[210][2] *= 1.25
+    df = pd.DataFrame(rows, columns=["ticker", "date", "close", "volume", "field", "cutoff"])
+    got = flag_source(df, 3e-5, 6, 1e12, (0.0, 0.1))
+    assert {(d - D0).days for d in got["date"]} == {*own, 210} and set(got["field"]) == {"close"}

@@ -5,8 +5,9 @@ weekday level. A reading's departure is the smaller of its distances to the
 medians of the five readings before and after it, if both have the same sign:
 large only where the level is left and found again. A generalised Pareto tail
 fitted to a source's own departures beyond a high threshold gives the cutoff
-that a reading exceeds with a fixed small risk. Runs of a few readings are held
-against the same cutoff as one. Further rules: impossible values, stuck runs;
+that a reading exceeds with a fixed small risk. Runs found are taken out and the
+tail is fitted anew until the set is stable, so that a source's own spikes don't
+lift its cutoff. Runs of a few readings are held against the same cutoff as one. Further rules: impossible values, stuck runs;
 high volume on the
 day of a price move is trade, and so is the move.
 """
@@ -22,6 +23,8 @@ from pyspark.sql import functions as F
 
 SCHEMA = "ticker string, date date, field string, rule string, value double, departure double, cutoff double"
 AROUND, LONGEST = 5, 5
+#: At most so many fits of the tail; each takes out what the one before found.
+FITS = 10
 #: Plausibility: smaller departures (in logs) of close and volume are never cases.
 LEAST_CLOSE, LEAST_VOLUME = 0.10, 2.1
 #: Departures of volume this large aren't explained by a price move.
@@ -88,18 +91,14 @@ def _departures(x: np.ndarray, length: int) -> np.ndarray:
     return np.nan_to_num(np.where(up > 0, up, np.where(down > 0, -down, 0.0)))
 
 
-def _spikes(x: np.ndarray, risk: float, shape: tuple[float, float], least: float) -> tuple[np.ndarray, np.ndarray, float]:
-    """Which readings lie in runs of at most LONGEST that leave the level beyond
-    the cutoff and return at once: the jumps in and out both exceed it, opposite
-    in sign, and cancel to within half the smaller one. Where a series begins
-    or ends in the run, its one jump must be three times as large."""
-    single = _departures(x, 1)
-    cut = max(tail_cutoff(np.abs(single), risk, shape=shape), least)
-    hit, size = np.zeros(len(x), bool), np.zeros(len(x))
-    if not np.isfinite(cut):
-        return hit, size, cut
+def _runs(x: np.ndarray, cut: float) -> list[tuple[int, int, float]]:
+    """(first, last, departure) of the runs of at most LONGEST readings that leave
+    the level beyond `cut` and return at once: the jumps in and out both exceed
+    it, opposite in sign, and cancel to within half the smaller one. Where a
+    series begins or ends in the run, its one jump must be three times as large."""
+    out: list[tuple[int, int, float]] = []
     for length in range(1, LONGEST + 1):
-        dep = single if length == 1 else _departures(x, length)
+        dep = _departures(x, length)
         i = np.flatnonzero(np.abs(dep) > 0.6 * cut)
         j = i + length - 1
         sign, first, last = np.sign(dep[i]), i == 0, j == len(x) - 1
@@ -108,9 +107,26 @@ def _spikes(x: np.ndarray, risk: float, shape: tuple[float, float], least: float
         leave = np.where(last, np.inf, sign * (x[j] - after))
         least_jump = np.minimum(enter, leave)
         ok = (least_jump > cut) & np.where(first | last, least_jump > 3 * cut, np.abs(after - before) <= 0.5 * least_jump)
-        for k, m in zip(i[ok], j[ok], strict=True):
+        out += zip(i[ok].tolist(), j[ok].tolist(), dep[i[ok]].tolist(), strict=True)
+    return out
+
+
+def _spikes(x: np.ndarray, risk: float, shape: tuple[float, float], least: float) -> tuple[np.ndarray, np.ndarray, float]:
+    """Which readings lie in returning runs beyond the cutoff (see `_runs`), their
+    departures, and the cutoff. The tail is fitted to the departures of the
+    readings outside the runs found so far, as they are without these runs, until
+    no more are found; so the cutoff only falls, and what was found stays found."""
+    hit, size, cut = np.zeros(len(x), bool), np.zeros(len(x)), np.inf
+    for _ in range(FITS):
+        cut = min(cut, max(tail_cutoff(np.abs(_departures(x[~hit], 1)), risk, shape=shape), least))
+        if not np.isfinite(cut):
+            return hit, size, cut
+        known = hit.copy()
+        for k, m, dep in _runs(x, cut):
             hit[k : m + 1] = True
-            size[k : m + 1] = np.where(np.abs(size[k : m + 1]) > abs(dep[k]), size[k : m + 1], dep[k])
+            size[k : m + 1] = np.where(np.abs(size[k : m + 1]) > abs(dep), size[k : m + 1], dep)
+        if (hit == known).all():
+            break
     return hit, size, cut
 
 
