@@ -188,7 +188,8 @@ def bootstrap_diff(s: Study) -> DataFrame:
 def bootstrap_path(s: Study) -> DataFrame:
     top = CONFIG.get("outcomes.max_tau")
     wide = s.paths().groupBy("event_id").pivot("tau", list(range(top + 1))).agg(F.first("car"))
-    named = wide.select(F.lit("all_events").alias("grp"), "event_id", *[F.col(str(t)).alias(f"t{t}") for t in range(top + 1)])
+    g = inf.with_groups(s.events()).select("event_id", "grp")
+    named = wide.join(g, "event_id").select("grp", "event_id", *[F.col(str(t)).alias(f"t{t}") for t in range(top + 1)])
     return inf.bootstrap_path(named, "grp", ["event_id"], [f"t{t}" for t in range(top + 1)], seed=SEED).withColumnRenamed("grp", "group")
 
 
