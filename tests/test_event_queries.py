@@ -26,3 +26,9 @@ def test_paths_have_intervals_in_every_group(study):
     means = {(r.group, r.tau): r.mean_car for r in q.path_means(study).collect()}
     assert {g for g, _ in got} == set(inf.GROUPS) and set(got) == set(means)
     assert all(got[k].lo < means[k] < got[k].hi for k in means)
+
+
+def test_every_horizon_has_an_interval(study):
+    got = {r.horizon: r for r in q.horizon_intervals(study).collect()}
+    assert set(got) == set(q.HORIZONS) and "horizon_intervals" in q.QUERIES
+    assert all(r.lo < r["mean"] < r.hi and 0 <= r.p_value <= 1 for r in got.values()) and (got[60].n, got[20].n) == (17, 18)

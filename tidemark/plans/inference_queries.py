@@ -179,6 +179,12 @@ def bootstrap_mean(s: Study) -> DataFrame:
     return inf.benjamini_hochberg(b).withColumnRenamed("grp", "group")
 
 
+@query()
+def horizon_intervals(s: Study) -> DataFrame:
+    x = s.outcomes().unpivot(["event_id"], [f"car_{h}" for h in HORIZONS], "h", "c").withColumn("horizon", F.regexp_extract("h", r"(\d+)", 1))
+    return inf.bootstrap_mean(x, "horizon", ["event_id"], "c", seed=SEED).withColumn("horizon", F.col("horizon").cast("int"))
+
+
 @query()
 def bootstrap_diff(s: Study) -> DataFrame:
     return inf.benjamini_hochberg(inf.bootstrap_diff(inf.with_groups(s.events()), "grp", ["event_id"], CAR, inf.CONTRASTS, seed=SEED))
