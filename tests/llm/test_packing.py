@@ -44,7 +44,31 @@ def test_several_groups_share_no_container(spark):
     docs = [(i, 1 + i % 15) for i in range(900)]
     got = pack(spark.createDataFrame(docs, "doc_id bigint, n_tokens bigint"), kinds(spark), group=200).collect()
     check(got, docs, {"short": 16, "long": 100})
-    assert len({r.container_id.split("-")[1] for r in got}) == 5
+    assert len({r.container_id.split("-")[2] for r in got}) == 5
+
+
+def test_no_later_plan_overfills_a_container(spark):
+    docs = [(i, 1 + i * 7 % 90) for i in range(1500)]
+    df = spark.createDataFrame(docs, "doc_id bigint, n_tokens bigint").repartition(3)
+    packed = pack(df, kinds(spark), group=300)
+    plain = check(packed.collect(), docs, {"short": 16, "long": 100})
+    assert len(check(packed.coalesce(1).collect(), docs, {"short": 16, "long": 100})) == len(plain)
+    assert len(check(packed.repartition(2).coalesce(1).collect(), docs, {"short": 16, "long": 100})) == len(plain)
+    more = [(i, 1 + i % 50) for i in range(5000, 5700)]
+    both = packed.union(pack(spark.createDataFrame(more, "doc_id bigint, n_tokens bigint"), kinds(spark), group=300))
+    check(both.coalesce(2).collect(), docs + more, {"short": 16, "long": 100})
+    same = packed.union(pack(df, kinds(spark), group=300, name="again-")).select("container_id", "n_tokens").groupBy("container_id").sum("n_tokens")
+    assert same.where("container_id LIKE 'short%' AND `sum(n_tokens)` > 16").count() == 0
+    assert [r.container_id for r in packed.orderBy("container_kind", "doc_id", "piece").collect()] == [r.container_id for r in pack(df, kinds(spark), group=300).orderBy("container_kind", "doc_id", "piece").collect()]
+
+
+def test_hot_ids_make_groups_of_equal_size(spark):
+    docs = [(None, 5)] * 400 + [(i, 9) for i in range(800)]
+    got = pack(spark.createDataFrame(docs, "doc_id bigint, n_tokens bigint").repartition(4), kinds(spark, [("long", 100)]), group=100).collect()
+    sizes = defaultdict(int)
+    for r in got:
+        sizes[r.container_id.split("-")[2]] += 1
+    assert len(sizes) == 12 and max(sizes.values()) <= 104
 
 
 def test_defined_cases(spark):

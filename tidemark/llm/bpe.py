@@ -58,6 +58,16 @@ class PairTable:
             at[todo] = (at[todo] + 1) & (size - 1)
         self.merged = merged.astype(np.int32)
 
+    def parts(self) -> tuple:
+        """The table as builtins and arrays: what is broadcast must load where this package isn't installed."""
+        return self.bits, self.probes, self.keys, self.ranks, self.merged
+
+    @classmethod
+    def of(cls, parts: tuple) -> PairTable:
+        table = cls.__new__(cls)
+        table.bits, table.probes, table.keys, table.ranks, table.merged = parts
+        return table
+
     def _slot(self, key: np.ndarray) -> np.ndarray:
         mixed = key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         return (mixed >> np.uint64(64 - self.bits)).astype(np.int64)
@@ -249,10 +259,12 @@ def _slices(texts: pa.Array) -> Iterator[tuple[int, list[str | None]]]:
 
 
 def _apply(docs: DataFrame, key: str, text: str, path: str, build: Callable, result: str) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(load_tokenizer(path))  # a vocabulary: its size doesn't follow the data
+    byte_ids, table = load_tokenizer(path)
+    shared = docs.sparkSession.sparkContext.broadcast((byte_ids, table.parts()))  # a vocabulary: its size doesn't follow the data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = Encoder(*shared.value)
+        byte_ids, parts = shared.value
+        encode = Encoder(byte_ids, PairTable.of(parts))
         for batch in batches:
             for begin, texts in _slices(batch.column(1)):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, len(texts)), build(encode, texts)], [key, result.split()[0]])

@@ -12,14 +12,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.session import written
 
-#: Items packed together. Each group leaves a few containers partly filled, so groups are large; a group takes about 15 µs an item and capacity.
-GROUP = 250_000
+#: Items packed together, at every size of the input. Each group leaves a few containers partly filled; a group takes about 15 µs an item and capacity.
+GROUP = 20_000
 MAX_KINDS = 1_000
 
 
@@ -66,7 +65,7 @@ class SumOfSquares:
         return at
 
 
-def pack_group(doc: list, size: np.ndarray, kind: str, capacity: int, packer: SumOfSquares, group: int) -> pd.DataFrame:
+def pack_group(doc: list, size: np.ndarray, kind: str, capacity: int, packer: SumOfSquares, group: str) -> pd.DataFrame:
     """Rows of one batch for one kind. A text over the capacity fills whole containers; its rest is an item."""
     whole = size // capacity
     rest = size - whole * capacity
@@ -87,7 +86,7 @@ def pack_group(doc: list, size: np.ndarray, kind: str, capacity: int, packer: Su
     })
 
 
-def pack(counts: DataFrame, containers: DataFrame, group: int = GROUP) -> DataFrame:
+def pack(counts: DataFrame, containers: DataFrame, group: int = GROUP, name: str = "") -> DataFrame:
     """`container_kind, container_id, doc_id, piece, token_from, n_tokens`.
 
     `counts`: `doc_id, n_tokens`; `containers`: `container_kind,
@@ -98,25 +97,34 @@ def pack(counts: DataFrame, containers: DataFrame, group: int = GROUP) -> DataFr
     row with null container and 0 tokens. Repeated rows are packed as often as
     they come; null ids are ids like others. Kinds without name or positive
     capacity, and repeated ones, are left out.
+
+    Groups are a column, not the task's number, so neither `coalesce` nor a
+    retry makes two groups share a container. Container ids start with `name`
+    and a number made from the items, so packings of different items may be united;
+    two packings of the same items need different names.
     """
     sizes = containers.where("container_kind IS NOT NULL AND capacity_tokens > 0").select("container_kind", "capacity_tokens").distinct()
     kinds = [(r.container_kind, int(r.capacity_tokens)) for r in sizes.orderBy("container_kind", "capacity_tokens").limit(MAX_KINDS + 1).collect()]
     if len(kinds) > MAX_KINDS:
         raise ValueError(f"more than {MAX_KINDS} kinds of containers")
     stored = written(counts.select("doc_id", F.coalesce("n_tokens", F.lit(0)).alias("n_tokens")), "token-counts")
-    groups = max(1, -(-stored.count() // group))
+    size = stored.agg(F.count(F.lit(1)).alias("n"), F.sum(F.pmod(F.xxhash64("doc_id", "n_tokens"), F.lit(1 << 31))).alias("s")).first()
+    groups, space = max(1, -(-size.n // group)), f"{name}{(size.s or 0) % (1 << 32):08x}"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        packers = [SumOfSquares(capacity) for _, capacity in kinds]
-        g = TaskContext.get().partitionId()
-        for b in batches:
-            doc, size = b["doc_id"].astype(object).where(b["doc_id"].notna(), None).tolist(), b["n_tokens"].to_numpy(np.int64)
-            for (kind, capacity), packer in zip(kinds, packers, strict=True):
-                yield pack_group(doc, size, kind, capacity, packer, g)
+        now, packers = None, []
+        for batch in batches:
+            for g, b in batch.groupby("g", sort=False):
+                if g != now:
+                    now, packers = g, [SumOfSquares(capacity) for _, capacity in kinds]
+                doc, size = b["doc_id"].astype(object).where(b["doc_id"].notna(), None).tolist(), b["n_tokens"].to_numpy(np.int64)
+                for (kind, capacity), packer in zip(kinds, packers, strict=True):
+                    yield pack_group(doc, size, kind, capacity, packer, f"{space}-{g}")
 
     id_kind = counts.schema["doc_id"].dataType.simpleString()
-    # Round robin cuts groups of equal size whatever the ids; sorting by hash gives each the same order on a second try.
+    # Rows of a stored table are dealt in turn, so groups are of equal size whatever the ids; sorting by hash mixes the sizes within each.
+    dealt = stored.withColumn("g", F.pmod(F.monotonically_increasing_id(), F.lit(groups)).cast("int"))
     return (
-        stored.repartition(groups).sortWithinPartitions(F.xxhash64("doc_id", "n_tokens"), "doc_id", "n_tokens")
+        dealt.repartitionById(groups, F.col("g")).sortWithinPartitions("g", F.xxhash64("doc_id", "n_tokens"), "doc_id", "n_tokens")
         .mapInPandas(run, f"container_kind string, container_id string, doc_id {id_kind}, piece int, token_from bigint, n_tokens bigint")
     )
