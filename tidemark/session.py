@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -11,24 +12,54 @@ from pyspark.sql import functions as F
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
 
+_LOCAL: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """Folder all executors share. The session's own setting counts; only where
-    it is unset (tests, one machine) a temporary folder is made."""
-    folder = spark.conf.get(CHECKPOINT_CONF, None)
-    if not folder:
-        folder = spark.sparkContext.getCheckpointDir()
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="tidemark-")
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder
+    """Folder all executors share: the session's setting of `spark.checkpoint.dir`.
+    Where it is unset, a temporary folder is made if everything runs inside one
+    process (master `local`); on any other master executors would each write to
+    a disk of their own, so it raises."""
+    context = spark.sparkContext
+    folder = spark.conf.get(CHECKPOINT_CONF, None) or context.getCheckpointDir()
+    if folder:
+        return folder.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", context.master):
+        raise ValueError(f"set {CHECKPOINT_CONF} to a folder that all executors share; master is {context.master}")
+    if context.applicationId not in _LOCAL:
+        _LOCAL[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="tidemark-")
+    return _LOCAL[context.applicationId]
+
+
+def _path(spark: SparkSession, folder: str):
+    """(file system, path) of a folder, in the JVM."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Cuts lineage: writes `df` as a table in the shared folder and reads it back."""
-    path = f"{shared_folder(df.sparkSession)}/tidemark/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Cuts lineage: writes `df` as a table in the shared folder and reads it
+    back. The table is deleted when the driver ends, or by `drop_written`."""
+    spark = df.sparkSession
+    folder = f"{shared_folder(spark)}/tidemark/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    fs, path = _path(spark, folder)
+    fs.deleteOnExit(path)
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(folder)
+    return spark.read.schema(df.schema).parquet(folder)
+
+
+_WRITTEN: dict[str, list[str]] = {}
+
+
+def drop_written(spark: SparkSession) -> int:
+    """Deletes the tables `written` made in this application; how many there
+    were. Only for when no DataFrame built on them is needed any more."""
+    folders = _WRITTEN.pop(spark.sparkContext.applicationId, [])
+    for folder in folders:
+        fs, path = _path(spark, folder)
+        fs.delete(path, True)
+    return len(folders)
 
 
 def broadcast_within(df: DataFrame, max_rows: int, bound: DataFrame | None = None) -> DataFrame:
