@@ -44,6 +44,8 @@ def test_finds_cut_texts(spark):
     got = {r.doc_id for r in out.where("truncated").collect()}
     assert len(got & cut) >= 0.93 * len(cut)
     assert len(got - cut) <= 0.05 * len(cut)
+    alone = {r.doc_id for r in truncated(df, check_body=False).where("truncated").collect()}
+    assert len(alone & cut) >= 0.93 * len(cut) and len(alone - cut) <= 0.1 * len(cut) and got <= alone
     limits = {(r.source, r.measure, r.limit) for r in length_limits(df).collect()}
     assert ("a", "chars", 500) in limits and not [x for x in limits if x[0] == "b"]
     rates = {r.source: r for r in source_rates(out).collect()}
@@ -69,6 +71,9 @@ def test_exact_check():
     assert ends_inside(b"<p>Caf\xe9 au lait du matin</p></html>", "latin-1", "Café au lait") is True
     assert ends_inside(whole, None, "not on this page at all") is None
     assert ends_inside(None, None, "abc") is None
+    teaser = b"<html><ul><li>Salt works priced every pension board \xe2\x80\xa6</li><li>More</li></ul></html>"
+    assert ends_inside(teaser, "utf-8", "Salt works priced every pension board \u2026") is False
+    assert ends_inside(teaser, "utf-8", "Salt works priced every ...") is True
 
 
 def test_held_out_accuracy_of_the_classifier():

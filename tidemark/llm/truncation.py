@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from tidemark.session import broadcast_within, written
 
 #: Closing characters of a text that the features are made of.
-TAIL = 240
+TAIL = 320
 BITS = 16
 #: A cut text may have lost up to so many characters more, at a word's border.
 SLACK = 8
@@ -33,6 +33,9 @@ REMAINS = ("<a hre", "<a", "<", "\ufffd")
 _DOTS = re.compile(r"\s*(\.\.\.|…)\s*$")
 _WORD = re.compile(r"[^\s]+")
 ENDS = ".!?。؟"
+QUOTES = "\"'”“»«’)」』"
+#: A line is running text if a sentence ends it so many characters behind the cut at most.
+LINE = 5_000
 _PUNCT = ".,;:!?…·|«»“”„\"'()[]。、؟"
 
 
@@ -100,6 +103,12 @@ class Closings:
             if whole:
                 self.signs[1, self._slot(body[-3:])] += 1
 
+    @classmethod
+    def of(cls, words: np.ndarray, signs: np.ndarray) -> Closings:
+        out = cls([])
+        out.words, out.signs = words, signs
+        return out
+
     @classmethod
     def _slot(cls, x: str) -> int:
         return zlib.crc32(x.encode("utf-8", "surrogatepass")) & (cls.SIZE - 1)
@@ -132,6 +141,7 @@ def features(tail: str, n_chars: int, limit_gap: int, closings: Closings) -> lis
         f"inner={any(w[-1] in '.!?。؟' for w in words[:-1])},{kind}", f"sign={'·' in line},{'|' in line},{'—' in line},{'%' in line}",
         f"first={words[0][:1].isupper() if words else ''},{kind},{min(len(words), 9)}",
     ]
+    f += _structure(bare, line, words, kind)
     word_level, sign_level = closings.levels(last.strip(_PUNCT), bare[-3:])
     f += [f"known={word_level},{kind}", f"known={word_level},{gap}", f"signs={sign_level},{kind}", f"both={word_level},{sign_level},{kind}", f"tag={'<' in bare[-12:]}", f"broken={'\ufffd' in bare[-2:]}"]
     f += [f"c{k}={bare[-k:]}" for k in (2, 3, 4, 5, 6, 8)]
@@ -140,6 +150,26 @@ def features(tail: str, n_chars: int, limit_gap: int, closings: Closings) -> lis
     return [zlib.crc32(x.encode("utf-8", "surrogatepass")) & mask for x in f]
 
 
+def _structure(bare: str, line: str, words: list[str], kind: str) -> list[str]:
+    """How the lines before the last one end: an item of a list, a headline or a row of a table stands among its like."""
+    before = [x for x in (y.strip() for y in bare.split("\n")[:-1]) if x]
+    open_lines = 0
+    for x in reversed(before):
+        if x.rstrip(QUOTES)[-1:] in ENDS:
+            break
+        open_lines += 1
+    prev = before[-1] if before else ""
+    last = "none" if not before else "open" if open_lines else "end"
+    inner = any(w.rstrip(QUOTES)[-1:] in ENDS for w in words[:-1]) or any(ch in "。؟" for ch in line[:-1])
+    size = min(len(line) // 12, 9)
+    closed = line.rstrip(QUOTES + " ")[-1:] in ENDS
+    digits = sum(ch.isdigit() for ch in line) * 4 // max(len(line), 1)
+    return [
+        f"prev={last},{kind}", f"open={min(open_lines, 4)},{inner}", f"open={min(open_lines, 4)},{inner},{size}", f"open={min(open_lines, 4)},{len(prev) // 12 if len(prev) < 96 else 8},{inner}",
+        f"inner2={inner},{size},{kind}", f"head={prev if len(prev) <= 24 else ''}", f"line={line.strip() if len(line) <= 40 else ''}", f"only={not before},{size},{closed}", f"digits={digits},{min(open_lines, 2)}", f"closed={closed},{inner}", f"closed={closed},{kind}", f"blank={bool(before) and bare[: -len(line) or None].endswith('\n\n')},{last},{inner}",
+    ]
+
+
 def feature_rows(tails: list[str], n_chars: np.ndarray, gaps: np.ndarray, closings: Closings) -> tuple[np.ndarray, np.ndarray]:
     """All features end to end, and the row of each."""
     rows = [features(t, int(n), int(g), closings) for t, n, g in zip(tails, n_chars, gaps, strict=True)]
@@ -207,6 +237,7 @@ def ends_inside(raw: bytes | None, charset: str | None, tail: str) -> bool | Non
     found in the body, in any likely encoding."""
     if not raw:
         return None
+    dots = _DOTS.search(tail.rstrip())
     end = _SPACE.sub("", html.unescape(_OPEN_TAG.sub("", _DOTS.sub("", tail.rstrip())).rstrip("\ufffd")))
     if len(end) < 6:
         return None
@@ -222,6 +253,8 @@ def ends_inside(raw: bytes | None, charset: str | None, tail: str) -> bool | Non
             at = plain.rfind(end[-size:])
             if at >= 0:
                 stop = at + len(end[-size:])
+                if dots and plain.startswith(dots.group(1), stop):  # the page's own dots
+                    stop += len(dots.group(1))
                 if stop == len(plain):
                     return not whole
                 return stop not in set(itertools.accumulate(map(len, blocks)))
@@ -241,12 +274,12 @@ def training_records(docs: DataFrame, limits: DataFrame, sample_rows: int) -> Da
     it is (y 0), cut at a random place, and cut at its source's longest limit
     where it is longer (y 1). A cut keeps its border, or goes back to the last
     word's end, or gets an ellipsis at a limit, the remains of a tag elsewhere. Records near a limit don't count as intact."""
-    total = docs.count()
-    share = min(1.0, sample_rows / max(total, 1))
+    share = min(1.0, sample_rows / max(docs.count(), 1))
+    # Copies of a text are drawn together and then count once, so a text that makes up a third of all rows can't fill the sample.
     text = (
-        docs.where(F.length("text") >= 20)
-        .select("doc_id", F.coalesce("source", F.lit("")).alias("source"), "text", F.length("text").alias("n"), F.octet_length("text").alias("bytes"))
-        .where(_uniform("sample") < share).limit(2 * sample_rows)
+        docs.where(F.length("text") >= 20).select("doc_id", F.coalesce("source", F.lit("")).alias("source"), "text")
+        .where(F.pmod(F.xxhash64("text", F.lit("sample")), F.lit(1_000_003)) / 1_000_003.0 < share).dropDuplicates(["text"])
+        .withColumn("n", F.length("text")).withColumn("bytes", F.octet_length("text"))
     )
     # A limit in bytes is taken at the character where it would fall if all were of equal width.
     top = limits.groupBy("source").agg(F.max(F.when(F.col("measure") == "chars", F.col("limit"))).alias("cl"), F.max(F.when(F.col("measure") == "bytes", F.col("limit"))).alias("bl"), F.max("chance").alias("chance"))
@@ -274,54 +307,83 @@ def training_records(docs: DataFrame, limits: DataFrame, sample_rows: int) -> Da
         s = u(style)
         tail = F.when(s < 0.45, body).when(s < 0.75, F.rtrim(body)).when(s < 0.85, word).otherwise(F.concat(F.rtrim(body), dots))
         gap = F.when(s < 0.85, F.least(F.length(body) - F.length(tail), F.lit(SLACK))).otherwise(F.lit(0)) if gap_known else F.lit(-1)
-        return F.when(at < F.col("n"), record(tail, at, gap, 1))
+        # Only a cut inside running text is a positive: the line that is cut goes on and ends like a sentence.
+        rest = F.rtrim(F.substring_index(F.substring("text", at + 1, F.lit(LINE)), "\n", 1))
+        return F.when((at < F.col("n")) & rest.rlike(f"[{ENDS}][{QUOTES}]*$"), record(tail, at, gap, 1))
 
     somewhere = (F.col("n") * (0.1 + 0.85 * u("p1"))).cast("int")
     made = F.explode(F.array_compact(F.array(as_is, cut(somewhere, "s1", False), cut(F.col("limit").cast("int"), "s3", True))))
     return intact.select(made.alias("x"), _fold().alias("fold")).select("x.*", "fold").where(F.length(F.trim("tail")) > 0)
 
 
-def truncated(docs: DataFrame, sample_rows: int = 12_000, threshold: float = 0.5, alone: float = 0.9) -> DataFrame:
-    """`doc_id, source, score, truncated` of every record.
-
-    Truncated are records that score above `threshold` and whose body confirms
-    it (`ends_inside`), and above `alone` where the body can't tell.
-
-    Null and empty texts are never truncated (score 0); a null source is a
-    source of its own; null ids and repeated rows come out as they came in;
-    other columns are ignored. The classifiers are fitted on the driver on records
-    made from about `sample_rows` texts (a bound on memory, not on what is
-    scored); limits are counted over all records. Without any intact record to
-    learn from every score is 0.
-    """
+def scored_records(docs: DataFrame, sample_rows: int = 12_000) -> DataFrame:
+    """`doc_id, source, h, score` of every record by the classifier alone: `h`
+    is a hash of the text. Only the last TAIL characters and the lengths reach Python."""
     limits = written(length_limits(docs), "length-limits")  # a few rows a limit, asked for several times
-    made = training_records(docs, limits, sample_rows).toPandas()
-    shared = docs.sparkSession.sparkContext.broadcast(fit_folds(made))
+    models = fit_folds(training_records(docs, limits, sample_rows).toPandas())
+    # Arrays only: what is broadcast must load where this package isn't installed.
+    shared = docs.sparkSession.sparkContext.broadcast([(w, c.words, c.signs) for w, c in models] if models else None)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        models = shared.value
+        fitted = [(w, Closings.of(words, signs)) for w, words, signs in shared.value or ()]
         for b in batches:
             s = np.zeros(len(b))
-            for k in (0, 1) if models else ():
+            for k, model in enumerate(fitted):
                 at = np.flatnonzero((b["n"] > 0) & (b["fold"] == k))
-                s[at] = score(models[k], b["tail"].iloc[at].tolist(), b["n"].to_numpy()[at], b["limit_gap"].to_numpy()[at])
-            cut = s > alone
-            for i in np.flatnonzero(s > threshold):
-                inside = ends_inside(b["raw"].iat[i], b["declared_charset"].iat[i], b["tail"].iat[i])
-                cut[i] = cut[i] if inside is None else inside
-            yield pd.DataFrame({"doc_id": b["doc_id"], "source": b["source"], "score": s, "truncated": cut})
+                s[at] = score(model, b["tail"].iloc[at].tolist(), b["n"].to_numpy()[at], b["limit_gap"].to_numpy()[at])
+            yield pd.DataFrame({"doc_id": b["doc_id"], "source": b["source"], "h": b["h"], "score": s})
 
     rows = docs.select(
-        "doc_id", F.col("source").alias("given"), F.coalesce("source", F.lit("")).alias("source"), F.coalesce(F.right("text", F.lit(TAIL)), F.lit("")).alias("tail"),
-        F.coalesce(F.length("text"), F.lit(0)).alias("n"), F.coalesce(F.octet_length("text"), F.lit(0)).alias("bytes"), _fold().alias("fold"), "raw", "declared_charset",
+        "doc_id", F.col("source").alias("given"), F.coalesce("source", F.lit("")).alias("source"), F.xxhash64("text").alias("h"), F.coalesce(F.right("text", F.lit(TAIL)), F.lit("")).alias("tail"),
+        F.coalesce(F.length("text"), F.lit(0)).alias("n"), F.coalesce(F.octet_length("text"), F.lit(0)).alias("bytes"), _fold().alias("fold"),
     )
     kind = docs.schema["doc_id"].dataType.simpleString()
+    return _with_gap(rows, limits).select("doc_id", F.col("given").alias("source"), "h", "tail", "n", "limit_gap", "fold").mapInPandas(run, f"doc_id {kind}, source string, h long, score double")
+
+
+def body_verdicts(docs: DataFrame, flagged: DataFrame) -> DataFrame:
+    """`doc_id, h, inside` for the flagged records (`doc_id, h`), by `ends_inside`;
+    null where the body can't tell. Bodies of other records don't reach Python."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            found = [ends_inside(raw, charset, tail) for raw, charset, tail in zip(b["raw"], b["declared_charset"], b["tail"], strict=True)]
+            yield pd.DataFrame({"doc_id": b["doc_id"], "h": b["h"], "inside": pd.Series(found, index=b.index, dtype="boolean")})
+
+    wanted = broadcast_within(flagged.select(F.col("doc_id").alias("_id"), F.col("h").alias("_h")).distinct(), 2_000_000)
+    rows = docs.select("doc_id", F.xxhash64("text").alias("h"), F.right("text", F.lit(TAIL)).alias("tail"), "raw", "declared_charset")
+    kind = docs.schema["doc_id"].dataType.simpleString()
     return (
-        _with_gap(rows, limits).select("doc_id", F.col("given").alias("source"), "tail", "n", "limit_gap", "fold", "raw", "declared_charset")
-        .mapInPandas(run, f"doc_id {kind}, source string, score double, truncated boolean")
+        rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h")), "left_semi")
+        .mapInPandas(run, f"doc_id {kind}, h long, inside boolean").groupBy("doc_id", "h").agg(F.bool_or("inside").alias("inside"))
     )
 
 
+def truncated(docs: DataFrame, sample_rows: int = 12_000, threshold: float = 0.8, check_body: bool = True) -> DataFrame:
+    """`doc_id, source, score, truncated` of every record.
+
+    Truncated are the records that score above `threshold`. Cut records are far
+    rarer than in training, so the threshold lies above a half. With
+    `check_body` an exact check follows: a flagged record whose body shows that
+    nothing of its block is missing is taken back (`ends_inside`).
+
+    Null and empty texts are never truncated (score 0); a null source is a
+    source of its own; null ids and repeated rows come out as they came in;
+    other columns are ignored. The classifiers are fitted on the driver on records
+    made from about `sample_rows` different texts (a bound on memory, not on what is
+    scored); limits are counted over all records. Without any intact record to
+    learn from every score is 0.
+    """
+    scored = scored_records(docs, sample_rows)
+    hit = F.col("score") > threshold
+    if not check_body:
+        return scored.select("doc_id", "source", "score", hit.alias("truncated"))
+    scored = written(scored, "scored-records")
+    verdicts = body_verdicts(docs, scored.where(hit)).select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), "inside")
+    x = scored.join(broadcast_within(verdicts, 2_000_000, scored.where(hit)), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h")), "left")
+    return x.select("doc_id", "source", "score", (hit & F.coalesce("inside", F.lit(True))).alias("truncated"))
+
+
 def source_rates(scored: DataFrame) -> DataFrame:
     """`source, n_docs, n_truncated, rate`: how often each source truncates."""
     n = F.sum(F.col("truncated").cast("long"))
