@@ -1,9 +1,10 @@
 import math
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators.quality_profile import ValueCountStore, apply_delta, damaged_columns, profile, value_counts
+from tidemark.operators.quality_profile import ValueCountStore, damaged_columns, decimals, profile, value_counts
 
 COLS = ["a", "b", "s", "n", "value"]
 SCHEMA = "load_id bigint, a double, b double, s string, n int, value string, column_name string"
@@ -30,23 +31,50 @@ def test_counts_deltas_and_profile(spark):
     assert p["b"].n_missing == 1
 
 
-def test_store_takes_loads_back(spark):
-    one = value_counts(spark.createDataFrame(rows(1, 50, 1), SCHEMA), COLS)
-    two = value_counts(spark.createDataFrame(rows(2, 60, 2), SCHEMA), COLS)
-    store = ValueCountStore(spark)
-    store.apply(one)
-    store.apply(two)
-    back = store.apply(two.withColumn("n", -F.col("n")))
-    key = lambda df: sorted((r.column_name, r.value or "", r.n) for r in df.collect())
-    assert store.version == 3 and key(back) == key(one)
-    assert apply_delta(one, one.withColumn("n", -F.col("n"))).count() == 0
+def key(df):
+    return sorted((r.column_name, r.x if r.x is not None else math.inf, r.value or "", r.n) for r in df.select("column_name", "x", "value", "n").collect())
+
+
+def test_store_is_reopened_and_applies_a_load_once(spark, tmp_path):
+    folder = f"file://{tmp_path}/store"
+    loads = {k: spark.createDataFrame(rows(k, 40 + k, k), SCHEMA) for k in (1, 2, 3)}
+    store = ValueCountStore(spark, "load_id", folder)
+    assert store.version == 0 and store.apply(loads[1], COLS) == ["1"] and store.apply(loads[1], COLS) == []
+    again = ValueCountStore(spark, "load_id", folder)
+    assert again.version == 1 and again.loads == ["1"]
+    assert again.apply(loads[1].unionByName(loads[2]), COLS) == ["2"]
+    assert key(again.counts()) == key(value_counts(loads[1].unionByName(loads[2]), COLS, "load_id").groupBy("column_name", "x", "value").agg(F.sum("n").alias("n")))
+    with pytest.raises(Exception, match="(?i)exist"):
+        store.apply(loads[3], COLS)  # it still stands at version 1, which another writer has gone beyond
+    assert ValueCountStore(spark, "load_id", folder).loads == ["1", "2"]
+
+
+def test_store_takes_loads_back_and_compacts(spark, tmp_path):
+    folder = f"file://{tmp_path}/store"
+    one, two = (spark.createDataFrame(rows(k, 50, k), SCHEMA) for k in (1, 2))
+    store = ValueCountStore(spark, "load_id", folder)
+    store.apply(one, COLS)
+    want = key(store.counts())
+    store.apply(two, COLS)
+    assert store.retract([2, 7]) == ["2"] and store.retract([2]) == [] and key(store.counts()) == want
+    by_load = lambda s: sorted(map(tuple, profile(s.deltas(), ["load_id"]).select("load_id", "column_name", "n_rows", "n_distinct", F.round("entropy", 9)).collect()))
+    before = by_load(store)
+    store.compact()
+    assert len(list((tmp_path / "store/batches").glob("[0-9a-f]*"))) == 1 and len(list((tmp_path / "store/manifests").glob("*.json"))) == 1
+    opened = ValueCountStore(spark, "load_id", folder)
+    assert opened.loads == ["1"] and by_load(opened) == before and key(opened.counts()) == want
+    assert opened.apply(two, COLS) == ["2"]
+
+
+def test_decimals_of_numbers(spark):
+    x = [3.0, -2.5, 0.25, 1e-3, 123456.7, 1 / 3, 1e15, 1e-9, None]
+    assert [r.d for r in spark.createDataFrame([(v,) for v in x], "x double").select(decimals(F.col("x")).alias("d")).collect()] == [0, 1, 2, 3, 1, 6, 0, 6, None]
 
 
 def found(spark, data):
-    df = spark.createDataFrame(data, SCHEMA)
-    deltas = value_counts(df.where("load_id IS NOT NULL"), COLS, "load_id")
-    store = ValueCountStore(spark).apply(deltas)
-    return {(r.load_id, r.column_name): set(r.reasons) for r in damaged_columns(deltas, store, "load_id").collect()}
+    store = ValueCountStore(spark, "load_id")
+    store.apply(spark.createDataFrame(data, SCHEMA), COLS)
+    return {(r.load_id, r.column_name): set(r.reasons) for r in damaged_columns(store.deltas(), "load_id").collect()}
 
 
 def test_finds_each_damage_and_nothing_else(spark):

@@ -27,5 +27,5 @@ def test_written_tables_can_be_dropped(spark):
     folder = df.inputFiles()[0].rsplit("/", 1)[0]
     assert folder.startswith(shared_folder(spark).split(":")[0]) and sorted(r.a for r in df.collect()) == [1, 2]
     assert drop_written(spark) == 1 and drop_written(spark) == 0
-    fs, path = session._path(spark, folder)
+    fs, path = session.hadoop_path(spark, folder)
     assert not fs.exists(path)

@@ -1,181 +1,261 @@
 """Problem 4: column profiles from maintained value-count tables.
 
-The store is one table `column_name, value, n`: how often each value of each
-column occurs in all loads so far, kept as parquet in a folder. A load is a
-signed delta of the same form; applying it adds counts, and rows whose count
-reaches zero vanish, so loads can be taken back as well. Profile metrics are
-exact functions of these counts. The profile of "all other loads" is the store
-with one load's delta taken away, which touches only the values of that load.
+The store holds, per load and column, how often each value occurs: signed
+deltas in batches of parquet files, and a manifest that names the batches and
+loads in force. Applying a load appends its delta; a load that is in force
+already is not applied again; taking one back appends its delta with the sign
+turned. Counts of a column over all loads are sums of deltas, those of "all
+other loads" the sum less one load's delta. Profiles, entropy, ranges and damage are exact functions
+of these counts; nothing is read from the table again.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
+from collections.abc import Iterable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.session import shared_folder
+from tidemark.session import broadcast_within, hadoop_path, shared_folder, written
 
-#: Inner edges of the grid on which distributions are compared: 1/GRID steps of the pooled values.
-GRID, STEP = 100, 10
-ACCURACY = 10_000
+#: Cells on whose edges distributions are compared, placed at quantiles of the pooled values.
+GRID = 40
+ACCURACY = 1_000
+#: Batches that make a store merge them into one.
+MANY = 16
+#: (load, column) pairs and frequent values up to which a table may be broadcast.
+SMALL = 2_000_000
+VALUE = ("column_name", "x", "value")
+#: What follows from a value and is kept beside it.
+KEPT = ("decimals", "form")
 
 
-def value_counts(table: DataFrame, columns: list[str], by: str | None = None, sign: int = 1) -> DataFrame:
-    """`[by,] column_name, value, n` of `columns`; value is the column cast to
-    string, null for null, NaN and blank strings. `sign` -1 makes the delta that
-    takes the rows away. Counting is combined before the shuffle."""
+def _typed(c: str, kind: str) -> tuple[Column, Column]:
+    """(x, value) of a column: numbers as doubles, whole numbers too long for
+    one as text beside, dates as day numbers, the rest as text; missing is null in both."""
+    v, none = F.col(c), F.lit(None)
+    if kind in ("double", "float"):
+        return F.nanvl(v.cast("double"), none.cast("double")), none.cast("string")
+    if kind in ("tinyint", "smallint", "int", "bigint") or kind.startswith("decimal"):
+        return v.cast("double"), F.when(F.abs(v.cast("double")) >= 2.0**53, v.cast("string"))
+    if kind == "date":
+        return F.unix_date(v).cast("double"), none.cast("string")
+    s = v.cast("string")
+    return none.cast("double"), F.when(F.trim(s) != "", s)
+
+
+def decimals(x: Column) -> Column:
+    """How many decimals a number is written with, six standing for more."""
+    out = F.lit(6)
+    for k in range(5, -1, -1):
+        t = x * 10.0**k
+        out = F.when(F.abs(t - F.rint(t)) <= F.abs(t) * 1e-12, F.lit(k)).otherwise(out)
+    return F.when(x.isNotNull(), out)
+
+
+def form(value: Column) -> Column:
+    """The written form of text: its runs of capitals as A, of small letters as a, of digits as 9."""
+    shape = value
+    for pattern, to in ((r"\p{Lu}+", "A"), (r"\p{Ll}+", "a"), (r"[0-9]+", "9")):
+        shape = F.regexp_replace(shape, pattern, to)
+    return shape
+
+
+def value_counts(table: DataFrame, columns: list[str], by: str, sign: int = 1) -> DataFrame:
+    """`by, column_name, x, value, decimals, form, n` of `columns`: a delta per
+    `by`. Numbers and dates are in `x`, text in `value`; null, NaN and blank
+    strings are missing, null in both. `sign` -1 makes the delta that takes the
+    rows away. Rows without `by` belong to no load. Counting is combined before the shuffle."""
     kinds = dict(table.dtypes)
-    text = lambda c: F.when(F.isnan(c) | F.col(c).isNull(), None).otherwise(F.col(c).cast("string")) if kinds[c] in ("double", "float") else F.when(F.trim(F.col(c).cast("string")) != "", F.col(c).cast("string"))
-    keys = [F.col(by).alias(by)] if by else []
-    long = table.select(*keys, F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), text(c).alias("value")) for c in columns])).alias("x"))
-    names = [by] if by else []
-    return long.groupBy(*names, F.col("x.column_name").alias("column_name"), F.col("x.value").alias("value")).agg((F.lit(sign) * F.count(F.lit(1))).alias("n"))
 
+    def entry(i: int, c: str) -> Column:
+        x, value = _typed(c, kinds[c])
+        return F.struct(F.lit(i).alias("i"), x.alias("x"), value.alias("value"))
 
-def apply_delta(store: DataFrame, delta: DataFrame) -> DataFrame:
-    """The store after a signed delta: counts added, zero counts gone."""
-    return store.unionByName(delta.select("column_name", "value", "n")).groupBy("column_name", "value").agg(F.sum("n").alias("n")).where("n <> 0")
+    long = table.where(F.col(by).isNotNull()).select(F.col(by).alias(by), F.explode(F.array(*[entry(i, c) for i, c in enumerate(columns)])).alias("_e"))
+    counted = long.groupBy(by, *[F.col(f"_e.{k}").alias(k) for k in ("i", "x", "value")]).agg((F.lit(sign) * F.count(F.lit(1))).alias("n"))
+    name = F.get(F.array(*map(F.lit, columns)), F.col("i")).alias("column_name")
+    return counted.select(by, name, "x", "value", decimals(F.col("x")).cast("tinyint").alias("decimals"), form(F.col("value")).alias("form"), "n")
 
 
 class ValueCountStore:
-    """Versions of a value-count table in a folder; the newest one counts. A
-    version is written whole under a new name before it is read, so a lost
-    executor or a broken write leaves the one before in force."""
+    """Maintained value counts per load and column, in a folder.
 
-    SCHEMA = "column_name string, value string, n bigint"
+    Opened on a folder that holds a store, it continues at the newest manifest.
+    A batch is written whole before the manifest that names it, and manifests
+    are never overwritten, so a lost executor or a broken write leaves the
+    version before in force; of two writers of one version the second fails.
+    """
 
-    def __init__(self, spark: SparkSession, folder: str | None = None):
-        self.spark = spark
+    def __init__(self, spark: SparkSession, by: str, folder: str | None = None):
+        self.spark, self.by = spark, by
         self.folder = folder or f"{shared_folder(spark)}/tidemark/counts-{uuid.uuid4().hex}"
-        self.version = 0
+        self.version, self.batches, self.loads, self.kind = 0, [], [], "string"
+        fs, path = hadoop_path(spark, f"{self.folder}/manifests")
+        if fs.exists(path):
+            for f in fs.listStatus(path):
+                if (name := f.getPath().getName()).endswith(".json"):
+                    self.version = max(self.version, int(name[:-5]))
+        if self.version:
+            text = "\n".join(r.value for r in spark.read.text(f"{self.folder}/manifests/{self.version:08d}.json").collect())
+            self.batches, self.loads = json.loads(text)["batches"], json.loads(text)["loads"]
 
-    def read(self) -> DataFrame:
-        if not self.version:
-            return self.spark.createDataFrame([], self.SCHEMA)
-        return self.spark.read.schema(self.SCHEMA).parquet(f"{self.folder}/v{self.version}")
+    def _commit(self, batches: list[dict], loads: list[str]) -> None:
+        fs, path = hadoop_path(self.spark, f"{self.folder}/manifests/{self.version + 1:08d}.json")
+        out = fs.create(path, False)  # fails if another writer was first
+        out.write(bytearray(json.dumps({"batches": batches, "loads": sorted(loads)}), "utf-8"))
+        out.close()
+        self.version, self.batches, self.loads = self.version + 1, batches, sorted(loads)
 
-    def apply(self, delta: DataFrame) -> DataFrame:
-        grown = apply_delta(self.read(), delta) if self.version else apply_delta(delta.select("column_name", "value", "n").limit(0), delta)
-        grown.write.parquet(f"{self.folder}/v{self.version + 1}")
-        self.version += 1
-        return self.read()
+    def _write(self, delta: DataFrame) -> str:
+        name = uuid.uuid4().hex
+        delta.write.parquet(f"{self.folder}/batches/{name}")
+        return name
 
+    def _batch(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.folder}/batches/{name}")
 
-def number(c: Column) -> Column:
-    """As a double; a date as its day number."""
-    return F.coalesce(c.try_cast("double"), F.unix_date(c.try_cast("date")).cast("double"))
+    def apply(self, table: DataFrame, columns: list[str]) -> list[str]:
+        """Applies the deltas of the loads in `table` that aren't in force; their ids, as text."""
+        self.kind = table.schema[self.by].dataType.simpleString()
+        ids = [r[0] for r in table.where(F.col(self.by).isNotNull()).select(F.col(self.by).cast("string")).distinct().collect()]  # one row a load
+        new = sorted(set(ids) - set(self.loads))
+        if new:
+            rows = table if len(new) == len(ids) else table.where(~F.col(self.by).cast("string").isin(sorted(set(ids) - set(new))))
+            self._commit([*self.batches, {"name": self._write(value_counts(rows, columns, self.by)), "sign": 1}], [*self.loads, *new])
+            if len(self.batches) > MANY:
+                self.compact()
+        return new
 
+    def retract(self, loads: Iterable) -> list[str]:
+        """Takes loads back by their deltas with the sign turned; the ids of those that were in force."""
+        gone = sorted({str(x) for x in loads} & set(self.loads))
+        if gone:
+            back = self.deltas().where(F.col(self.by).cast("string").isin(gone)).withColumn("n", -F.col("n"))
+            self._commit([*self.batches, {"name": self._write(back), "sign": -1}], [x for x in self.loads if x not in gone])
+        return gone
+
+    def deltas(self) -> DataFrame:
+        """`by, column_name, x, value, decimals, form, n` of the loads in force. Loads are
+        counted once each, so only after a retraction must batches be summed."""
+        if not self.batches:
+            return self.spark.createDataFrame([], f"{self.by} {self.kind}, column_name string, x double, value string, decimals tinyint, form string, n bigint")
+        rows = reduce(DataFrame.unionByName, [self._batch(b["name"]) for b in self.batches])
+        if all(b["sign"] > 0 for b in self.batches):
+            return rows
+        return rows.groupBy(self.by, *VALUE, *KEPT).agg(F.sum("n").alias("n")).where("n <> 0")
+
+    def counts(self) -> DataFrame:
+        """`column_name, x, value, decimals, form, n` over all loads in force."""
+        return self.deltas().groupBy(*VALUE, *KEPT).agg(F.sum("n").alias("n")).where("n <> 0")
+
+    def compact(self) -> None:
+        """Merges all batches into one and deletes what no longer counts: earlier batches and manifests."""
+        if self.batches:
+            self._commit([{"name": self._write(self.deltas()), "sign": 1}], self.loads)
+        keep = {b["name"] for b in self.batches} | {f"{self.version:08d}.json"}
+        for part in ("batches", "manifests"):
+            fs, path = hadoop_path(self.spark, f"{self.folder}/{part}")
+            for f in fs.listStatus(path) if fs.exists(path) else ():
+                if f.getPath().getName() not in keep:
+                    fs.delete(f.getPath(), True)
 
-def form(value: Column) -> Column:
-    """The written form: runs of capitals as A, of small letters as a, of digits
-    as 9; of a number its sign and its decimals up to six, more counting as six."""
-    x = value.try_cast("double")
-    decimals = F.lit(6)
-    for k in range(5, -1, -1):
-        decimals = F.when(x == F.round(x, k), F.lit(k)).otherwise(decimals)
-    shape = value
-    for pattern, to in ((r"\\p{Lu}+", "A"), (r"\\p{Ll}+", "a"), (r"[0-9]+", "9")):
-        shape = F.regexp_replace(shape, pattern.replace("\\\\", "\\"), to)
-    return F.when(x.isNull(), shape).otherwise(F.concat(F.lit("decimals "), decimals.cast("string")))
+
+def _present() -> Column:
+    return F.col("x").isNotNull() | F.col("value").isNotNull()
 
 
 def profile(counts: DataFrame, by: list[str]) -> DataFrame:
     """Exact metrics per `by` and column from counts: rows, missing, distinct,
-    numeric or text minimum and maximum, entropy in bits, most frequent value."""
-    n = F.when(F.col("value").isNotNull(), F.col("n"))
-    x = F.col("value").try_cast("double")
-    best = F.max(F.struct(n.alias("n"), F.col("value").alias("v")))
+    range of numbers or text, entropy in bits, most frequent value."""
+    n = F.when(_present(), F.col("n"))
+    shown = F.coalesce("value", F.col("x").cast("string"))
     agg = counts.groupBy(*by, "column_name").agg(
-        F.sum("n").alias("n_rows"), F.sum(F.when(F.col("value").isNull(), F.col("n")).otherwise(0)).alias("n_missing"),
-        F.count(n).alias("n_distinct"), F.min(x).alias("min_number"), F.max(x).alias("max_number"),
-        F.min("value").alias("min_text"), F.max("value").alias("max_text"),
-        F.coalesce(F.sum(n), F.lit(0)).alias("n_present"), F.sum(n * F.log2(n)).alias("nlogn"), best.alias("top"),
+        F.sum("n").alias("n_rows"), F.coalesce(F.sum(n), F.lit(0)).alias("n_present"), F.count(n).alias("n_distinct"),
+        F.min("x").alias("min_number"), F.max("x").alias("max_number"), F.min("value").alias("min_text"), F.max("value").alias("max_text"),
+        F.sum(n * F.log2(n)).alias("nlogn"), F.max(F.struct(n.alias("n"), F.when(_present(), shown).alias("v"))).alias("top"),
     )
     present = F.col("n_present")
     return agg.select(
-        *by, "column_name", "n_rows", "n_missing", "n_distinct", "n_present", "min_number", "max_number", "min_text", "max_text",
+        *by, "column_name", "n_rows", (F.col("n_rows") - present).alias("n_missing"), "n_distinct", "n_present", "min_number", "max_number", "min_text", "max_text",
         F.when(present > 0, F.log2(present) - F.col("nlogn") / present).alias("entropy"),
         F.col("top.v").alias("top_value"), F.col("top.n").alias("top_count"),
     )
 
 
-def damaged_columns(deltas: DataFrame, store: DataFrame, by: str, z: float = 6.0, floor: float = 0.10, ks: float = 3.0, form_floor: float = 0.25) -> DataFrame:
+def damaged_columns(deltas: DataFrame, by: str, z: float = 6.0, floor: float = 0.10, ks: float = 3.0, form_floor: float = 0.25) -> DataFrame:
     """`by, column_name, reasons` of the columns that depart, in one load, from
     the same column in the other loads.
 
-    `deltas` are `by, column_name, value, n` of the loads, `store` their sum.
-    Every comparison is between a load and the store less that load's delta.
+    `deltas` are the counts of the loads in force (`ValueCountStore.deltas`).
+    Every comparison is between a load and the sum of all loads less that load's delta.
     - missing: the missing share departs by more than `floor` and `z` binomial deviations;
     - coded: one value is more frequent by as much (a missing value coded as a
       number, a stuck value);
     - distinct: distinct values per present value depart by more than 0.15 from the median load;
-    - distribution: the largest distance of the cumulated shares, on a grid of
-      the pooled quantiles, exceeds `ks` / sqrt(n); also range, scale and sign;
+    - distribution: of numbers and dates, the largest distance of the cumulated
+      shares, at quantiles of the pooled values, exceeds `ks` / sqrt(n): a
+      changed scale, sign, place or range of more than that share of the values;
     - form: the shares of written forms differ by more than `form_floor` in total variation.
     A load or column without values in the other loads is never a case; a single load has none.
     """
     key = [by, "column_name"]
-    present = F.when(F.col("value").isNotNull(), F.col("n")).otherwise(0)
-    load = deltas.groupBy(*key).agg(
-        F.sum("n").alias("n"), F.sum(present).alias("np"), F.count(F.when(F.col("value").isNotNull(), 1)).alias("nd"),
+    present = F.when(_present(), F.col("n")).otherwise(0)
+    edges = deltas.where("x IS NOT NULL").groupBy("column_name").agg(F.percentile_approx("x", [i / GRID for i in range(1, GRID)], ACCURACY).alias("edges"))
+    # One pass: per load and column the counts, the numbers of each form, the cumulated counts at the edges.
+    forms, cells = [f"d{k}" for k in range(7)], [f"e{i}" for i in range(GRID - 1)]
+    load = deltas.join(F.broadcast(edges), "column_name", "left").groupBy(*key).agg(  # one row a column
+        F.sum("n").alias("n"), F.sum(present).alias("np"), F.count(F.when(_present(), 1)).alias("nd"), F.sum(F.when(F.col("x").isNotNull(), F.col("n")).otherwise(0)).alias("nx"),
+        *[F.sum(F.when(F.col("decimals") == k, F.col("n")).otherwise(0)).alias(d) for k, d in enumerate(forms)],
+        *[F.sum(F.when(F.col("x") <= F.get("edges", F.lit(i)), F.col("n")).otherwise(0)).alias(e) for i, e in enumerate(cells)],
     )
-    total = store.groupBy("column_name").agg(F.sum("n").alias("tn"), F.sum(present).alias("tnp"))
-    per_column = Window.partitionBy("column_name")
-    ratio = F.when(F.col("np") > 0, F.col("nd") / F.col("np"))
-    base = load.join(total, "column_name").withColumn("ratio", ratio).withColumn("usual", F.percentile("ratio", 0.5).over(per_column))
-    on, onp = F.col("tn") - F.col("n"), F.col("tnp") - F.col("np")
-    m, om = 1 - F.col("np") / F.col("n"), 1 - onp / F.nullif(on, F.lit(0))
+    load = written(load.withColumn("ratio", F.when(F.col("np") > 0, F.col("nd") / F.col("np"))), "load-statistics")  # one row a load and column, asked for several times
+    counted = ["n", "np", "nx", *forms, *cells]
+    total = load.groupBy("column_name").agg(F.percentile("ratio", F.lit(0.5)).alias("usual"), *[F.sum(c).alias(f"t_{c}") for c in counted])
+    # o_...: what all other loads have.
+    base = load.join(F.broadcast(total), "column_name").select(*key, "nd", "ratio", "usual", *counted, *[(F.col(f"t_{c}") - F.col(c)).alias(f"o_{c}") for c in counted])  # one row a column
 
     def apart(share: Column, other: Column, count: Column) -> Column:
         p = F.least(F.greatest(other, F.lit(0.01)), F.lit(0.99))
-        return F.greatest(F.lit(floor), z * F.sqrt(p * (1 - p) / count)), share - other
-
-    limit, diff = apart(m, om, F.col("n"))
-    first = base.select(*key, "np", "n", F.array_compact(F.array(
-        F.when((on > 0) & (F.abs(diff) > limit), "missing"),
-        F.when((F.col("np") >= 20) & (F.abs(F.col("ratio") - F.col("usual")) > 0.15), "distinct"),
-    )).alias("r1"))
-
-    # The other loads' count of a value is the store's less the delta's.
-    values = deltas.where("value IS NOT NULL").join(store.select("column_name", "value", F.col("n").alias("sn")), ["column_name", "value"])
-    weighed = values.join(base.select(*key, "np", "tnp"), key)
-    limit, diff = apart(F.col("n") / F.col("np"), (F.col("sn") - F.col("n")) / F.nullif(onp, F.lit(0)), F.col("np"))
-    # One pass over the joined counts serves both: per form its count, and whether one of its values is too frequent.
-    coded = F.coalesce((onp > 0) & (F.col("np") >= 20) & (diff > limit), F.lit(False))
-    shaped = weighed.groupBy(*key, "np", "tnp", form(F.col("value")).alias("form")).agg(F.sum("n").alias("n"), F.bool_or(coded).alias("coded"))
-    both = (
-        shaped.withColumn("all", F.sum("n").over(Window.partitionBy("column_name", "form")))
-        .withColumn("d", F.col("n") / F.col("np") - (F.col("all") - F.col("n")) / F.nullif(onp, F.lit(0)))
-        # Total variation is the sum of the positive differences; forms the load lacks are negative ones.
-        .groupBy(*key, "np").agg(F.sum(F.greatest("d", F.lit(0.0))).alias("tv"), F.bool_or("coded").alias("coded"))
-        .select(*key, F.when(F.col("coded"), "coded").alias("r2"), F.when((F.col("np") >= 20) & (F.col("tv") > form_floor), "form").alias("r3"))
-    )
+        return F.abs(share - other) > F.greatest(F.lit(floor), z * F.sqrt(p * (1 - p) / count))
+
+    def share(c: str, of: str) -> Column:
+        return F.col(c) / F.nullif(F.col(of), F.lit(0))
 
-    numbers = deltas.select(*key, number(F.col("value")).alias("x"), "n").where("x IS NOT NULL")
-    pooled = store.select("column_name", number(F.col("value")).alias("x"), "n").where("x IS NOT NULL")
-    # Quantiles of the distinct values; they only place the grid, shares are counted exactly.
-    edges = pooled.groupBy("column_name").agg(F.percentile_approx("x", [i / GRID for i in range(GRID + 1)], ACCURACY).alias("edges"))
-    edges = edges.withColumn("coarse", F.transform(F.sequence(F.lit(0), F.lit(GRID), F.lit(STEP)), lambda i: F.get("edges", i)))
-    # How many edges lie below a value: found among every tenth edge, then among the ten behind it.
-    below = lambda a: F.size(F.filter(a, lambda e: e < F.col("x")))
-    at = (F.col("i") - 1) * STEP
-    cell = F.when(F.col("i") == 0, F.lit(0)).otherwise(at + below(F.slice("edges", F.greatest(at, F.lit(0)) + 1, STEP)))
-    share = (
-        numbers.join(edges, "column_name").withColumn("i", below("coarse")).groupBy(*key, cell.alias("cell")).agg(F.sum("n").alias("c"))
-        .groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("cell", "c"))).alias("cells"), F.sum("c").alias("c"))
-        .select(*key, F.col("c").alias("cn"), F.transform(F.sequence(F.lit(0), F.lit(GRID + 1)), lambda i: F.coalesce(F.col("cells")[i], F.lit(0))).alias("h"))
+    enough = F.col("np") >= 20
+    shift = F.greatest(*[F.abs(share(e, "nx") - share(f"o_{e}", "o_nx")) for e in cells])
+    # Total variation is the sum of the positive differences; forms the load lacks are negative ones.
+    turned = reduce(Column.__add__, [F.greatest(share(d, "nx") - share(f"o_{d}", "o_nx"), F.lit(0.0)) for d in forms])
+    first = base.select(*key, F.array_compact(F.array(
+        F.when((F.col("o_n") > 0) & apart(1 - share("np", "n"), 1 - share("o_np", "o_n"), F.col("n")), "missing"),
+        F.when(enough & (F.abs(F.col("ratio") - F.col("usual")) > 0.15), "distinct"),
+        F.when((F.col("nx") >= 20) & (shift * F.sqrt("nx") > ks), "distribution"),
+        F.when((F.col("nx") >= 20) & (turned > form_floor), "form"),
+    )).alias("r")).where(F.size("r") > 0)
+
+    # A value can only be too frequent with a share above the floor: at most 1 / floor values a load and column are looked up.
+    sizes = broadcast_within(base.select(*key, "np", "o_np"), SMALL)
+    often = deltas.where(_present() & (F.col("n") > floor * 20)).join(sizes, key).where(enough & (F.col("o_np") > 0) & (F.col("n") > floor * F.col("np"))).select(*key, "x", "value", "n", "np", "o_np")
+    often = written(often, "frequent-values")
+    same = lambda a, b: F.col(f"{a}.column_name").eqNullSafe(F.col(f"{b}.column_name")) & F.col(f"{a}.x").eqNullSafe(F.col(f"{b}.x")) & F.col(f"{a}.value").eqNullSafe(F.col(f"{b}.value"))
+    sought = broadcast_within(often.select(*VALUE).distinct(), SMALL, often)
+    found = deltas.alias("d").join(sought.alias("s"), same("d", "s"), "left_semi").groupBy(*VALUE).agg(F.sum("n").alias("sn"))
+    own, other = F.col("n") / F.col("np"), (F.col("sn") - F.col("n")) / F.col("o_np")
+    coded = (
+        often.alias("o").join(found.alias("f"), same("o", "f")).select(*[F.col(f"o.{c}") for c in (*key, "n", "np", "o_np")], "sn")
+        .where(apart(own, other, F.col("np")) & (own > other)).select(*key, F.array(F.lit("coded")).alias("r")).distinct()
     )
-    cdf = share.select(*key, "cn", F.posexplode("h").alias("cell", "c")).withColumn("cum", F.sum("c").over(Window.partitionBy(*key).orderBy("cell")))
-    cell_total = Window.partitionBy("column_name", "cell")
-    gaps = (
-        cdf.withColumn("ocum", F.sum("cum").over(cell_total) - F.col("cum")).withColumn("ocn", F.sum("cn").over(cell_total) - F.col("cn"))
-        .where("cn >= 20 AND ocn > 0").groupBy(*key, "cn").agg(F.max(F.abs(F.col("cum") / F.col("cn") - F.col("ocum") / F.col("ocn"))).alias("d"))
-        .where(F.col("d") * F.sqrt("cn") > ks).select(*key, F.lit("distribution").alias("r4"))
+
+    shapes = deltas.where("value IS NOT NULL").groupBy(*key, "form").agg(F.sum("n").alias("n")).withColumn("all", F.sum("n").over(Window.partitionBy("column_name", "form")))
+    written_otherwise = (
+        shapes.join(sizes, key).where(enough & (F.col("o_np") > 0)).groupBy(*key)
+        .agg(F.sum(F.greatest(F.col("n") / F.col("np") - (F.col("all") - F.col("n")) / F.col("o_np"), F.lit(0.0))).alias("tv"))
+        .where(F.col("tv") > form_floor).select(*key, F.array(F.lit("form")).alias("r"))
     )
     return (
-        first.join(both, key, "left").join(gaps, key, "left")
-        .select(*key, F.concat("r1", F.array_compact(F.array("r2", "r3", "r4"))).alias("reasons"))
-        .where(F.size("reasons") > 0)
+        first.unionByName(coded).unionByName(written_otherwise)
+        .groupBy(*key).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("r")))).alias("reasons"))
     )

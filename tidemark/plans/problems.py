@@ -11,10 +11,9 @@ from tidemark.functions.symbols import symbol
 from tidemark.operators.deliveries import last_prices
 from tidemark.operators.intervals import periods_and_gaps
 from tidemark.operators.membership_history import status_history
-from tidemark.operators.quality_profile import ValueCountStore, damaged_columns, profile, value_counts
+from tidemark.operators.quality_profile import ValueCountStore, damaged_columns, profile
 from tidemark.operators.regular_grid import regular_grid, session_readings
 from tidemark.operators.spikes import implausible_readings
-from tidemark.session import written
 from tidemark.sources import read_table
 
 
@@ -47,19 +46,20 @@ def p3_grid(spark: SparkSession, d: str) -> DataFrame:
 LOAD, ARRIVAL = "load_id", "loaded_at"
 
 
-def _load_deltas(spark: SparkSession, d: str) -> DataFrame:
+def _store(spark: SparkSession, d: str) -> ValueCountStore:
+    """The value counts of all loads, each applied as its own delta."""
     events = read_table(spark, d, "crash_events")
-    return value_counts(events.where(F.col(LOAD).isNotNull()), [c for c in events.columns if c not in (LOAD, ARRIVAL)], LOAD)
+    store = ValueCountStore(spark, LOAD)
+    store.apply(events, [c for c in events.columns if c not in (LOAD, ARRIVAL)])
+    return store
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    deltas = written(_load_deltas(spark, d), "load-deltas")
-    store = ValueCountStore(spark).apply(deltas)
-    return damaged_columns(deltas, store, LOAD).select(LOAD, "column_name")
+    return damaged_columns(_store(spark, d).deltas(), LOAD).select(LOAD, "column_name")
 
 
 def p4_profile(spark: SparkSession, d: str) -> DataFrame:
-    p = profile(_load_deltas(spark, d), [LOAD])
+    p = profile(_store(spark, d).deltas(), [LOAD])
     return p.select(LOAD, "column_name", "n_rows", "n_missing", "n_distinct", F.round("entropy", 6).alias("entropy"))
 
 

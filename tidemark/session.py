@@ -31,7 +31,7 @@ def shared_folder(spark: SparkSession) -> str:
     return _LOCAL[context.applicationId]
 
 
-def _path(spark: SparkSession, folder: str):
+def hadoop_path(spark: SparkSession, folder: str):
     """(file system, path) of a folder, in the JVM."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
@@ -43,7 +43,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     folder = f"{shared_folder(spark)}/tidemark/{name}-{uuid.uuid4().hex}"
     df.write.parquet(folder)
-    fs, path = _path(spark, folder)
+    fs, path = hadoop_path(spark, folder)
     fs.deleteOnExit(path)
     _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(folder)
     return spark.read.schema(df.schema).parquet(folder)
@@ -57,7 +57,7 @@ def drop_written(spark: SparkSession) -> int:
     were. Only for when no DataFrame built on them is needed any more."""
     folders = _WRITTEN.pop(spark.sparkContext.applicationId, [])
     for folder in folders:
-        fs, path = _path(spark, folder)
+        fs, path = hadoop_path(spark, folder)
         fs.delete(path, True)
     return len(folders)
 
