@@ -3,7 +3,7 @@ import random
 
 import numpy as np
 
-from tidemark.operators.spikes import flag_source, implausible_readings, tail_cutoff
+from tidemark.operators.spikes import fit_tail, flag_source, implausible_readings, tail_cutoff
 
 D0 = dt.date(2020, 1, 1)
 SCHEMA = "ticker string, date date, close double, volume double, field string, cutoff double"
@@ -20,7 +20,7 @@ def series(n=400, seed=1, t="A"):
 
 def run(spark, rows):
     df = spark.createDataFrame([tuple(r) for r in rows], SCHEMA)
-    return {(r.ticker, (r.date - D0).days, r.field): r.rule for r in implausible_readings(df).collect()}
+    return {(r.ticker, (r.date - D0).days, r.field): r.rule.split()[0] for r in implausible_readings(df).collect()}
 
 
 def test_spikes_impossible_and_stuck(spark):
@@ -75,8 +75,24 @@ def test_tail_cutoff_follows_the_tail():
     x = rng.exponential(1.0, 200_000)
     assert abs(tail_cutoff(x, 1e-4) - np.log(1e4)) < 0.5
     spoiled = np.concatenate([x, np.full(400, 500.0)])
-    assert tail_cutoff(spoiled, 1e-4) < 13
-    assert tail_cutoff(x[:10], 1e-4) == np.inf
+    assert tail_cutoff(spoiled, 1e-4, robust=True) < 13
+    assert tail_cutoff(x[:10], 1e-4) == np.inf and tail_cutoff(np.zeros(100), 1e-4) == np.inf
+
+
+def test_shape_is_free_and_pooled_where_excesses_are_few():
+    rng = np.random.default_rng(1)
+    for xi in (-0.3, 0.0, 0.3):
+        x = (rng.uniform(size=50_000) ** -xi - 1) / xi if xi else rng.exponential(size=50_000)
+        got, scale = fit_tail(x)
+        assert abs(got - xi) < 0.02 and abs(scale - 1) < 0.03
+        assert abs(fit_tail(x[:10])[0] - 0.1) < 0.06
+
+
+def test_long_unit_errors_of_volume(spark):
+    rows = series(seed=7)
+    for i in range(120, 129):
+        rows[i][3] = float(int(rows[i][3] / 1000))
+    assert run(spark, rows) == {("A", i, "volume"): "spike" for i in range(120, 129)}
 
 
 def test_rows_in_any_order():
@@ -85,8 +101,8 @@ def test_rows_in_any_order():
     rows = series()
     rows[50][2] *= 10
     df = pd.DataFrame(rows, columns=["ticker", "date", "close", "volume", "field", "cutoff"])
-    a = flag_source(df, 3e-5, 6, 1e12, (0.0, 0.1))
-    b = flag_source(df.sample(frac=1, random_state=2), 3e-5, 6, 1e12, (0.0, 0.1))
+    a = flag_source(df, 1e-4, 6, 1e12)
+    b = flag_source(df.sample(frac=1, random_state=2), 1e-4, 6, 1e12)
     assert a["date"].tolist() == b["date"].tolist() == [D0 + dt.timedelta(days=50)]
 
 
@@ -99,5 +115,5 @@ def test_own_spikes_do_not_hide_a_plain_one():
         rows[i][2] *= 2.0
     rows[210][2] *= 1.25
     df = pd.DataFrame(rows, columns=["ticker", "date", "close", "volume", "field", "cutoff"])
-    got = flag_source(df, 3e-5, 6, 1e12, (0.0, 0.1))
+    got = flag_source(df, 1e-4, 6, 1e12)
     assert {(d - D0).days for d in got["date"]} == {*own, 210} and set(got["field"]) == {"close"}

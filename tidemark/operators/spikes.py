@@ -4,12 +4,14 @@ Seasonal residuals of each source are its log readings less the source's own
 weekday level. A reading's departure is the smaller of its distances to the
 medians of the five readings before and after it, if both have the same sign:
 large only where the level is left and found again. A generalised Pareto tail
-fitted to a source's own departures beyond a high threshold gives the cutoff
-that a reading exceeds with a fixed small risk. Runs found are taken out and the
-tail is fitted anew until the set is stable, so that a source's own spikes don't
-lift its cutoff. Runs of a few readings are held against the same cutoff as one. Further rules: impossible values, stuck runs;
-high volume on the
-day of a price move is trade, and so is the move.
+is fitted by L-moments to a source's own departures beyond a high threshold; its
+shape is free, but drawn towards a common one where excesses are few. The tail
+gives the cutoff that a reading exceeds with a fixed small risk. Runs found are
+taken out and the tail is fitted anew until the set is stable, so that a source's
+own spikes don't lift its cutoff. Runs of a few readings are held against the
+same cutoff as one. Further rules: impossible values, stuck runs; high volume
+around a move of the price is trade, and so is a move that begins with a surge of volume.
+All limits but the risk are in robust deviations of the source's own changes.
 """
 
 from __future__ import annotations
@@ -22,41 +24,58 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SCHEMA = "ticker string, date date, field string, rule string, value double, departure double, cutoff double"
-AROUND, LONGEST = 5, 5
+AROUND = 5
+#: Sessions that a departure lasts at most: a price that stays away longer has moved.
+LONGEST = {"close": 5, "volume": 12}
 #: At most so many fits of the tail; each takes out what the one before found.
 FITS = 10
-#: Plausibility: smaller departures (in logs) of close and volume are never cases.
-LEAST_CLOSE, LEAST_VOLUME = 0.10, 2.1
-#: Departures of volume this large aren't explained by a price move.
-BEYOND_TRADE = 3.0
-#: A price move, in median absolute moves, that explains high volume.
-MOVE = 6.0
-#: Volume this far above its level (in logs, and in robust deviations) on the first day
-#: shows that a move was traded, unless the close leaves its level by a factor of three.
-TRADED, TRADED_DEVIATIONS, BEYOND_MOVE = 1.4, 3.5, 1.1
-
-
-def tail_cutoff(departures: np.ndarray, risk: float, threshold: float = 0.90, shape: tuple[float, float] = (0.0, 0.1)) -> float:
-    """Peaks over threshold: the level exceeded with probability `risk`.
-
-    The Pareto shape and scale match the median and the third quartile of the
-    excesses, so that up to a quarter of them may be errors without moving the
-    fit; the shape is kept in `shape`. Infinite with fewer than 30 departures.
-    """
+#: Share of the departures beyond the threshold of the tail, the least number of
+#: departures for a fit, and the tail's shape where a source has few: as if so many excesses more had it.
+TAIL, LEAST = 0.10, 30
+SHAPE, SHAPE_WEIGHT = 0.1, 150
+WIDE = (-0.5, 0.5)
+#: In robust deviations of a source's own changes: what never departs from its level,
+#: what is a move of the price, and what is a surge of volume.
+QUIET, MOVED, SURGE = 3.0, 4.0, 3.5
+#: Readings explained by trade are cases all the same if they go so many times beyond the cutoff.
+BEYOND = 5.0
+
+
+def fit_tail(excesses: np.ndarray) -> tuple[float, float]:
+    """(shape, scale) of a generalised Pareto tail by L-moments. The shape is free
+    in WIDE and drawn towards SHAPE by the weight of SHAPE_WEIGHT excesses."""
+    x = np.sort(excesses)
+    n = len(x)
+    l1 = x.mean()
+    l2 = 2 * (np.arange(n) * x).sum() / (n * max(n - 1, 1)) - l1
+    own = 2 - l1 / l2 if l2 > 0 else SHAPE
+    xi = float(np.clip((n * own + SHAPE_WEIGHT * SHAPE) / (n + SHAPE_WEIGHT), *WIDE))
+    return xi, float(l1 * (1 - xi))
+
+
+def tail_level(xi: float, scale: float, ratio: float) -> float:
+    """Excess that is exceeded once in `ratio` excesses."""
+    return scale * np.log(ratio) if abs(xi) < 1e-6 else scale / xi * (ratio**xi - 1)
+
+
+def tail_cutoff(departures: np.ndarray, risk: float, robust: bool = False) -> float:
+    """Peaks over threshold: the level exceeded with probability `risk`. `robust`
+    takes the scale from the median excess and the shape as SHAPE, for departures
+    that still hold errors. Infinite with fewer than LEAST departures."""
     x = departures[np.isfinite(departures)]
-    if len(x) < 30:
+    if len(x) < LEAST:
         return np.inf
-    u = np.quantile(x, threshold)
+    u = np.quantile(x, 1 - TAIL)
     over = x[x > u] - u
-    if len(over) < 3:
-        return np.inf
-    q2, q3 = np.quantile(over, [0.5, 0.75])
-    if q2 <= 0:
+    if len(over) < 3 or over.max() <= 0:
         return np.inf
-    xi = float(np.clip(np.log2(max(q3 / q2 - 1, 1e-9)), *shape))
-    scale = q2 / np.log(2) if xi < 1e-6 else q2 * xi / (2**xi - 1)
-    ratio = len(over) / (risk * len(x))
-    return float(u + (scale * np.log(ratio) if xi < 1e-6 else scale / xi * (ratio**xi - 1)))
+    xi, scale = (SHAPE, float(np.median(over)) * SHAPE / (2**SHAPE - 1)) if robust else fit_tail(over)
+    return float(u + tail_level(xi, scale, len(over) / (risk * len(x)))) if scale > 0 else np.inf
+
+
+def _scale(x: np.ndarray) -> float:
+    """Robust deviation of a series' changes."""
+    return float(1.4826 * np.median(np.abs(np.diff(x)))) if len(x) > 1 else np.inf
 
 
 def _medians(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -91,13 +110,13 @@ def _departures(x: np.ndarray, length: int) -> np.ndarray:
     return np.nan_to_num(np.where(up > 0, up, np.where(down > 0, -down, 0.0)))
 
 
-def _runs(x: np.ndarray, cut: float) -> list[tuple[int, int, float]]:
-    """(first, last, departure) of the runs of at most LONGEST readings that leave
+def _runs(x: np.ndarray, cut: float, longest: int) -> list[tuple[int, int, float]]:
+    """(first, last, departure) of the runs of at most `longest` readings that leave
     the level beyond `cut` and return at once: the jumps in and out both exceed
     it, opposite in sign, and cancel to within half the smaller one. Where a
     series begins or ends in the run, its one jump must be three times as large."""
     out: list[tuple[int, int, float]] = []
-    for length in range(1, LONGEST + 1):
+    for length in range(1, longest + 1):
         dep = _departures(x, length)
         i = np.flatnonzero(np.abs(dep) > 0.6 * cut)
         j = i + length - 1
@@ -111,42 +130,42 @@ def _runs(x: np.ndarray, cut: float) -> list[tuple[int, int, float]]:
     return out
 
 
-def _spikes(x: np.ndarray, risk: float, shape: tuple[float, float], least: float) -> tuple[np.ndarray, np.ndarray, float]:
+def _spikes(x: np.ndarray, risk: float, longest: int) -> tuple[np.ndarray, np.ndarray, float, bool]:
     """Which readings lie in returning runs beyond the cutoff (see `_runs`), their
-    departures, and the cutoff. The tail is fitted to the departures of the
-    readings outside the runs found so far, as they are without these runs, until
-    no more are found; so the cutoff only falls, and what was found stays found."""
+    departures, the cutoff, and whether the tail gave it (else QUIET did). The
+    tail is fitted to the departures of the readings outside the runs found so
+    far, until no more are found; the first fit is a robust one. The cutoff only falls, so what was found stays found."""
     hit, size, cut = np.zeros(len(x), bool), np.zeros(len(x)), np.inf
-    for _ in range(FITS):
-        cut = min(cut, max(tail_cutoff(np.abs(_departures(x[~hit], 1)), risk, shape=shape), least))
+    fitted = True
+    for k in range(FITS):
+        clean = x[~hit]
+        tail, floor = tail_cutoff(np.abs(_departures(clean, 1)), risk, robust=k == 0), QUIET * _scale(clean)
+        if max(tail, floor) < cut:
+            cut, fitted = max(tail, floor), tail >= floor
         if not np.isfinite(cut):
-            return hit, size, cut
+            return hit, size, cut, fitted
         known = hit.copy()
-        for k, m, dep in _runs(x, cut):
-            hit[k : m + 1] = True
-            size[k : m + 1] = np.where(np.abs(size[k : m + 1]) > abs(dep), size[k : m + 1], dep)
-        if (hit == known).all():
+        for i, m, dep in _runs(x, cut, longest):
+            hit[i : m + 1] = True
+            size[i : m + 1] = np.where(np.abs(size[i : m + 1]) > abs(dep), size[i : m + 1], dep)
+        if k and (hit == known).all():
             break
-    return hit, size, cut
+    return hit, size, cut, fitted
 
 
 def _surges(x: np.ndarray) -> np.ndarray:
     """Readings far above the levels before and after them."""
-    b, a = _medians(x)
-    off = np.abs(x - (b + a) / 2)
-    scale = 1.4826 * np.nanmedian(off) if np.isfinite(off).any() else np.inf
-    return _departures(x, 1) > max(TRADED, TRADED_DEVIATIONS * scale)
+    return _departures(x, 1) > SURGE * _scale(x)
 
 
-def _untraded(hit: np.ndarray, size: np.ndarray, surge: np.ndarray) -> np.ndarray:
-    """The hits less the runs that begin with a surge of volume."""
+def _unexplained(hit: np.ndarray, size: np.ndarray, cut: float, why: np.ndarray) -> np.ndarray:
+    """The hits less the runs that hold one of the readings `why`, unless they go BEYOND."""
     run = np.cumsum(hit & ~np.r_[False, hit[:-1]])
-    kept = hit.copy()
-    for i in np.flatnonzero(hit & ~np.r_[False, hit[:-1]] & surge):
-        own = hit & (run == run[i])
-        if np.abs(size[own]).max() < BEYOND_MOVE:
-            kept[own] = False
-    return kept
+    n = int(run.max(initial=0)) + 1
+    explained = np.bincount(run, hit & why, n) > 0
+    most = np.zeros(n)
+    np.maximum.at(most, run[hit], np.abs(size[hit]))
+    return hit & ~(explained & (most < BEYOND * cut))[run]
 
 
 def _weekday_free(x: np.ndarray, weekday: np.ndarray) -> np.ndarray:
@@ -171,7 +190,7 @@ def _stuck(x: np.ndarray, traded: np.ndarray, length: int) -> np.ndarray:
     return long & ~new
 
 
-def flag_source(rows: pd.DataFrame, risk: float, stuck: int, max_volume: float, shape: tuple[float, float]) -> pd.DataFrame:
+def flag_source(rows: pd.DataFrame, risk: float, stuck: int, max_volume: float) -> pd.DataFrame:
     """Flags of one source; `rows`: ticker, date, close, volume, one row a date."""
     rows = rows.sort_values("date")
     weekday = pd.to_datetime(rows.date).dt.weekday.to_numpy()
@@ -187,31 +206,31 @@ def flag_source(rows: pd.DataFrame, risk: float, stuck: int, max_volume: float,
         bad = np.isinf(close) | (close <= 0)
         found(np.flatnonzero(bad), "close", "impossible", close)
         at = np.flatnonzero(~bad & ~np.isnan(close))
-        hit, dep, cut = _spikes(_weekday_free(np.log(close[at]), weekday[at]), risk, shape, LEAST_CLOSE)
+        hit, dep, cut, fitted = _spikes(_weekday_free(np.log(close[at]), weekday[at]), risk, LONGEST["close"])
         surge, sold = np.zeros(len(close), bool), np.flatnonzero((volume > 0) & (volume <= max_volume))
         surge[sold] = _surges(_weekday_free(np.log(volume[sold]), weekday[sold]))
-        hit = _untraded(hit, dep, surge[at])
-        found(at[hit], "close", "spike", close, dep[hit], cut)
-        moved = np.zeros(len(close))
+        hit = _unexplained(hit, dep, cut, surge[at] & np.r_[True, ~hit[:-1]][: len(hit)])
+        found(at[hit], "close", "spike" if fitted else "spike of a quiet source", close, dep[hit], cut)
+        moved = np.zeros(len(close), bool)
         clean = at[~hit]
-        jump = np.abs(np.diff(np.log(close[clean]), prepend=np.nan))
-        moved[clean] = np.nan_to_num(jump / max(np.nanmedian(jump) if len(jump) > 1 else 1, 1e-9))
+        moved[clean[1:]] = np.abs(np.diff(np.log(close[clean]))) > MOVED * _scale(np.log(close[clean]))
         found(at[_stuck(close[at], volume[at] > 0, stuck)], "close", "stuck", close)
 
         bad = (volume < 0) | (volume > max_volume)
         found(np.flatnonzero(bad), "volume", "impossible", volume)
         at = np.flatnonzero(~bad & (volume > 0))
-        hit, dep, cut = _spikes(_weekday_free(np.log(volume[at]), weekday[at]), risk, shape, LEAST_VOLUME)
-        hit &= (dep < 0) | (dep > BEYOND_TRADE) | (moved[at] < MOVE)
-        found(at[hit], "volume", "spike", volume, dep[hit], cut)
+        hit, dep, cut, fitted = _spikes(_weekday_free(np.log(volume[at]), weekday[at]), risk, LONGEST["volume"])
+        hit = _unexplained(hit, dep, cut, moved[at] & (dep > 0))
+        found(at[hit], "volume", "spike" if fitted else "spike of a quiet source", volume, dep[hit], cut)
         # Readings without volume between equal ones break a run.
         found(np.flatnonzero(_stuck(np.nan_to_num(volume, nan=-1.0), volume > 0, stuck)), "volume", "stuck", volume)
     return pd.concat(out).drop_duplicates(["date", "field"]) if out else pd.DataFrame(columns=["ticker", "date", "field", "rule", "value", "departure", "cutoff"])
 
 
-def implausible_readings(rows: DataFrame, risk: float = 3e-5, stuck: int = 6, max_volume: float = 1e12, shape: tuple[float, float] = (0.0, 0.1)) -> DataFrame:
+def implausible_readings(rows: DataFrame, risk: float = 1e-4, stuck: int = 6, max_volume: float = 1e12) -> DataFrame:
     """`ticker, date, field, rule, value, departure, cutoff` of implausible readings.
 
+    `rule` is impossible, spike, spike of a quiet source (the cutoff is QUIET, not the tail's) or stuck.
     `rows`: `ticker, date, close, volume`, at most one row per ticker and date
     (see `last_prices`), so that one task's source has no more rows than the
     calendar has days. Missing values are no readings; rows without date or
@@ -220,6 +239,8 @@ def implausible_readings(rows: DataFrame, risk: float = 3e-5, stuck: int = 6, ma
     """
 
     def flag(part: pd.DataFrame) -> pd.DataFrame:
-        return flag_source(part, risk, stuck, max_volume, shape)
+        return flag_source(part, risk, stuck, max_volume)
 
-    return rows.select("ticker", "date", "close", "volume").groupBy("ticker").applyInPandas(flag, SCHEMA)
+    # The cost is Python time per reading, so tasks aren't merged by their few bytes.
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.select("ticker", "date", "close", "volume").repartition(n, "ticker").groupBy("ticker").applyInPandas(flag, SCHEMA)
