@@ -94,7 +94,29 @@ def test_clustered_mean(table, sample):
     dev = y - y.mean()
     se = math.sqrt(sum(dev[g == k].sum() ** 2 for k in np.unique(g))) / len(y) * math.sqrt(50 / 49)
     assert r.se == pytest.approx(se) and r.n == 2000 and r.ci_hi - r["mean"] == pytest.approx(sf.t_quantile(0.975, 49) * se)
-    assert inf.clustered_sums(table.limit(1), "y", "g").count() == 0
+    one = inf.with_t_interval(inf.clustered_sums(table.limit(1), "y", "g")).first()
+    assert one.n == 1 and one.n_clusters == 0 and one["mean"] is None and one.ci_lo is None and one.p_value is None
+    assert inf.clustered_sums(table.selectExpr("g", "CAST(NULL AS DOUBLE) y"), "y", "g").first().n == 0
+
+
+def test_weights_are_poisson():
+    rng = np.random.default_rng(0)
+    w = inf.bootstrap_weights(rng.integers(0, inf.PRIME, 3000), rng.integers(1, inf.PRIME, 3000), 500)
+    assert abs(w.mean() - 1) < 0.01 and abs(w.var() - 1) < 0.01 and abs((w == 0).mean() - math.exp(-1)) < 0.01
+    assert abs(w.mean(axis=0).var() * 3000 - 1) < 0.25  # replicates vary as means of independent weights do
+    assert np.abs(np.corrcoef(w[:, :40].T) - np.eye(40)).max() < 0.1 and np.abs(np.corrcoef(w[:40]) - np.eye(40)).max() < 0.25
+
+
+def test_false_discovery_of_many_tests_with_ties(spark):
+    rng = np.random.default_rng(2)
+    p = np.concatenate([rng.random(3000) ** 3, np.zeros(5), np.ones(7), np.full(20, 1e-40), np.round(rng.random(500), 2)])
+    got = inf.benjamini_hochberg(spark.createDataFrame([(i, float(v)) for i, v in enumerate(p)], "i int, p_value double")).toPandas().sort_values("i")
+    order = np.argsort(p, kind="stable")
+    q = np.empty(len(p))
+    q[order] = np.minimum.accumulate((p[order] * len(p) / np.arange(1, len(p) + 1))[::-1])[::-1].clip(max=1)
+    for v in np.unique(p):
+        q[p == v] = q[p == v].min()
+    assert got["q_value"].to_numpy() == pytest.approx(q) and len(got) == len(p)
 
 
 def test_bootstrap_covers_and_repeats(spark, table):
@@ -103,7 +125,8 @@ def test_bootstrap_covers_and_repeats(spark, table):
     b = inf.bootstrap_mean(rows.repartition(7), "k", ["id", "x2", "y"], "x2", replicates=400).first()
     assert a.lo < a["mean"] < a.hi and a.hi - a.lo == pytest.approx(2 * 1.96 / math.sqrt(2000), rel=0.2)
     assert (a.lo, a.hi, a.p_value) == pytest.approx((b.lo, b.hi, b.p_value))
-    assert inf.bootstrap_exact(np.array([1.0, 2.0, 3.0, np.nan]), 200)["n"] == 3 and inf.bootstrap_exact(np.array([]))["mean"] is None
+    none = inf.bootstrap_mean(rows.selectExpr("CASE WHEN id < 2 THEN 'none' ELSE 'some' END AS k", "id", "IF(id < 2, NULL, x2) AS x2", "y"), "k", ["id", "y"], "x2", replicates=50).where("k = 'none'").first()
+    assert none.n == 0 and none["mean"] is None and none.lo is None and none.p_value is None
     two = rows.selectExpr("CASE WHEN id < 25 THEN 'a' ELSE 'b' END AS k", "id", "x2", "y", "CASE WHEN id < 25 THEN x2 + 1 ELSE x2 END AS v")
     d = inf.bootstrap_diff(two, "k", ["id", "x2", "y"], "v", [("H", "a", "b")], replicates=400).first()
     assert d.lo < 1 < d.hi and d.p_value == 0

@@ -68,23 +68,27 @@ def _pairs(k: int) -> list[tuple[int, int]]:
 
 
 def grid_regressions(long: DataFrame, xs: Sequence[str], reported: Sequence[str], min_events: int) -> DataFrame:
-    """`spec, horizon, ols_adj_r2, beta_x, p_x` (HC3) of one regression per cell:
-    two aggregates for all cells together. The driver solves one small system
-    per cell; cells without a solvable one have nulls."""
+    """`spec, horizon, ols_adj_r2, beta_x, p_x` (HC3) of one regression per cell
+    with at least `min_events` outcomes: two aggregates for all cells together.
+    Rows that miss a regressor are left out of the regression only; the driver
+    solves one small system per cell, and cells without a solvable one have nulls."""
     cell = [*SPEC, "horizon"]
-    d = long
-    for c in xs:
-        d = d.where(F.col(c).isNotNull() & ~F.isnan(c))
+    known = [F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) for c in xs]
+    d = long.where(reduce(Column.__and__, known))
     cols: list[Column] = [F.lit(1.0), *[F.col(c).cast("double") for c in xs], F.col("car")]
     k = len(xs) + 1
-    grams = d.groupBy(*cell).agg(*[F.sum(cols[i] * cols[j]).alias(f"g{i}_{j}") for i, j in _pairs(k + 1)]).collect()  # one row per cell of the grid
-    solved = []
+    used = reduce(Column.__and__, known)
+    # One row per cell of the grid.
+    grams = long.groupBy(*cell).agg(F.count(F.lit(1)).alias("outcomes"), *[F.sum(F.when(used, cols[i] * cols[j])).alias(f"g{i}_{j}") for i, j in _pairs(k + 1)]).where(F.col("outcomes") >= min_events).collect()
+    solved, unsolved = [], []
     for r in grams:
         g = np.zeros((k + 1, k + 1))
         for i, j in _pairs(k + 1):
-            g[i, j] = g[j, i] = r[f"g{i}_{j}"]
+            g[i, j] = g[j, i] = r[f"g{i}_{j}"] or 0.0
         n = g[0, 0]
-        if n < max(min_events, k + 1) or np.linalg.matrix_rank(g[:k, :k]) < k:
+        size = np.sqrt(np.diag(g)[:k])
+        if n <= k or (size == 0).any() or np.linalg.matrix_rank(g[:k, :k] / np.outer(size, size), tol=1e-10) < k:
+            unsolved.append((*[r[c] for c in cell], None, *[None] * (2 * len(reported))))
             continue
         bread = np.linalg.inv(g[:k, :k])
         beta = bread @ g[:k, k]
@@ -92,26 +96,27 @@ def grid_regressions(long: DataFrame, xs: Sequence[str], reported: Sequence[str]
         r2 = 1 - (g[k, k] - beta @ g[:k, k]) / tss if tss > 0 else float("nan")
         solved.append((*[r[c] for c in cell], beta.tolist(), bread.ravel().tolist(), float(1 - (1 - r2) * (n - 1) / (n - k))))
     spark = long.sparkSession
-    schema = "z_threshold double, vol_window int, cooldown int, horizon int, beta array<double>, bread array<double>, ols_adj_r2 double"
-    fits = spark.createDataFrame(solved, schema)
+    kinds = ", ".join(f"{c} {long.schema[c].dataType.simpleString()}" for c in cell)
+    fits = spark.createDataFrame(solved, f"{kinds}, beta array<double>, bread array<double>, ols_adj_r2 double")
     x = d.join(F.broadcast(fits), cell)  # one row per cell of the grid
     e = F.col("car") - reduce(lambda a, b: a + b, [F.get("beta", F.lit(i)) * cols[i] for i in range(k)])
     h = reduce(lambda a, b: a + b, [F.get("bread", F.lit(i * k + j)) * cols[i] * cols[j] * (1 if i == j else 2) for i, j in _pairs(k)])
     w = F.pow(e / (1 - h), 2)
     meats = {tuple(r[c] for c in cell): r for r in x.withColumn("_w", w).groupBy(*cell).agg(*[F.sum(F.col("_w") * cols[i] * cols[j]).alias(f"m{i}_{j}") for i, j in _pairs(k)]).collect()}
-    out = []
+    out = unsolved
     for *key, beta, bread, adj in solved:
         r, b = meats[tuple(key)], np.array(bread).reshape(k, k)
         m = np.zeros((k, k))
         for i, j in _pairs(k):
             m[i, j] = m[j, i] = r[f"m{i}_{j}"]
         se = np.sqrt(np.diag(b @ m @ b))
-        row = [*key, adj]
+        row = [*key, None if adj != adj else adj]
         for name in reported:
             i = xs.index(name) + 1
-            row += [float(beta[i]), float(normal_two_sided(beta[i] / se[i]))]
+            p = float(normal_two_sided(beta[i] / se[i])) if se[i] > 0 else None
+            row += [float(beta[i]), p]
         out.append(tuple(row))
-    return spark.createDataFrame(out, "z_threshold double, vol_window int, cooldown int, horizon int, ols_adj_r2 double, " + ", ".join(f"beta_{n} double, p_{n} double" for n in reported))
+    return spark.createDataFrame(out, f"{kinds}, ols_adj_r2 double, " + ", ".join(f"beta_{n} double, p_{n} double" for n in reported))
 
 
 def grid_summary(grid: DataFrame, horizon: int) -> DataFrame:

@@ -13,13 +13,14 @@ _STATE = "struct<live:boolean,right:date,w:array<struct<start:date,end:date>>,od
 
 
 def membership_windows(current: DataFrame, changes: DataFrame, floor: datetime.date, ceiling: datetime.date) -> DataFrame:
-    """`ticker, start, end, anomalies`: windows rolled back from the current list.
-
-    Newest first, an addition at d closes a live window at its left edge d, a
-    removal at d opens one with right edge d; what contradicts the state is
-    counted as an anomaly and ignored; what is live at the end starts at
-    `floor`. Of one ticker's entries on one day the addition comes first.
-    Symbols are independent, so each is one fold over its own entries.
+    """`ticker, start, end, anomalies`: windows from the current list and the log.
+
+    Each symbol is a fold of its own over its entries, latest first, whose state
+    is "member or not, and until when". An entry that fits the state turns it and,
+    if it is an addition, closes a window; one that doesn't fit only counts in
+    `anomalies`. On one day an addition is folded after a removal. The window
+    still open when the entries are used up begins at `floor`; windows are cut to
+    [`floor`, `ceiling`). Null symbols and dates are left out, repeated entries count once.
     """
     side = lambda c, add: changes.select(symbol(c).alias("ticker"), F.col("date").cast("date").alias("d"), F.lit(add).alias("add"))
     log = side("added", True).unionByName(side("removed", False)).where("ticker IS NOT NULL AND d IS NOT NULL").distinct()

@@ -15,6 +15,7 @@ from tidemark.operators import inference as inf
 from tidemark.operators import models as ml
 from tidemark.operators import panel as pn
 from tidemark.operators import splits as sp
+from tidemark.plans import regression_sql as rq
 from tidemark.plans.study import Study
 from tidemark.plans.study_sql import grid_chain
 from tidemark.plans.study_queries import CONFIG, HORIZONS, QUERIES, SQL, H, day, query, r6, s6
@@ -103,11 +104,16 @@ def clustered_mean_se(s: Study) -> DataFrame:
     return inf.clustered_sums(s.events(), CAR, "event_date").select("n", "n_clusters", *r6("mean", "se"))
 
 
-def clustered_interval(s: Study) -> DataFrame:
-    return inf.with_t_interval(inf.clustered_sums(s.events(), CAR, "event_date"))
+_CLUSTERED = f""", cl AS (SELECT d, sum({CAR}) s, count({CAR}) n FROM ev WHERE {CAR} IS NOT NULL GROUP BY d), t AS (SELECT sum(n) n, count(*) g, sum(s) / sum(n) m FROM cl),
+ci AS (SELECT t.n::BIGINT n, t.g n_clusters, t.m mean, sqrt(sum(power(s - t.m * cl.n, 2))) / t.n * sqrt(t.g / greatest(t.g - 1, 1)) se FROM cl CROSS JOIN t GROUP BY t.n, t.g, t.m)
+"""
+_DF = "greatest(n_clusters - 1, 1)"
 
 
-query()(clustered_interval)
+@query(_CLUSTERED + f"SELECT n, n_clusters, {s6('mean', 'se')}, round(mean - crit * se, 6) ci_lo, round(mean + crit * se, 6) ci_hi, round(mean / se, 6) t, round({rq.t_p('mean / se', _DF)}, 6) p_value FROM ({rq.t_quantile('ci', _DF)})")
+def clustered_interval(s: Study) -> DataFrame:
+    return inf.with_t_interval(inf.clustered_sums(s.events(), CAR, "event_date")).select("n", "n_clusters", *r6("mean", "se", "ci_lo", "ci_hi", "t", "p_value"))
+
 
 _GRAM = [("1", "1"), ("crash_z", "crash_z"), ("crash_z", "vix"), ("vix", "vix"), ("crash_z", CAR), ("vix", CAR), (CAR, CAR)]
 
@@ -129,74 +135,117 @@ def ols_simple(s: Study) -> DataFrame:
     return inf.as_frame(s.spark, pd.DataFrame([row])).select("n", *r6("const", "slope", "se_const", "se_slope"))
 
 
-@query()
+_HC3 = ["coef", "std_coef", "se_hc3", "ci_lo", "ci_hi", "t", "p_value"]
+_BY_DATE = ["se_cluster_date", "p_value_cluster", "ci_lo_cluster", "ci_hi_cluster"]
+
+
+def _ols_sql(p: str, clustered: bool) -> str:
+    z = inf.Z975
+    out = f"round(beta, 6) coef, round(std, 6) std_coef, round(se, 6) se_hc3, round(beta - {z} * se, 6) ci_lo, round(beta + {z} * se, 6) ci_hi, round(beta / se, 6) t, round({rq.normal_p('beta / se')}, 6) p_value"
+    if clustered:
+        out += f", round(se_cluster, 6) se_cluster_date, round({rq.normal_p('beta / se_cluster')}, 6) p_value_cluster, round(beta - {z} * se_cluster, 6) ci_lo_cluster, round(beta + {z} * se_cluster, 6) ci_hi_cluster"
+    return f"SELECT term, {out} FROM {p}_t"
+
+
+@query(_DONE + rq.ols("o", "dn", CAR, PRIMARY) + _ols_sql("o", False))
 def ols_hc3_table(s: Study) -> DataFrame:
-    return inf.as_frame(s.spark, inf.ols_hc3(done(s), CAR, PRIMARY)[0])
+    return inf.as_frame(s.spark, inf.ols_hc3(done(s), CAR, PRIMARY)[0]).select("term", *r6(*_HC3))
 
 
-@query()
+@query(_DONE + rq.ols("o", "dn", CAR, PRIMARY, cluster="d") + _ols_sql("o", True))
 def ols_clustered_table(s: Study) -> DataFrame:
-    return inf.as_frame(s.spark, inf.ols_hc3(done(s), CAR, PRIMARY, "event_date")[0])
+    return inf.as_frame(s.spark, inf.ols_hc3(done(s), CAR, PRIMARY, "event_date")[0]).select("term", *r6(*_HC3, *_BY_DATE))
 
 
-@query()
+_TYPES = ("type_broad_market", "type_sector")
+
+
+@query(_DONE + ", dk AS (SELECT *, " + ", ".join(f"CASE WHEN crash_type = '{t[5:]}' THEN 1.0 ELSE 0.0 END {t}" for t in _TYPES) + " FROM dn)" + rq.ols("o", "dk", CAR, [*_TYPES, *PRIMARY], cluster="d") + _ols_sql("o", True))
 def ols_crash_type(s: Study) -> DataFrame:
     x = done(s)
-    for k in ("broad_market", "sector"):
-        x = x.withColumn(f"type_{k}", F.when(F.col("crash_type") == k, 1.0).otherwise(0.0))
-    kept, _ = inf.drop_aliased(x, ["type_broad_market", "type_sector", *PRIMARY])
-    return inf.as_frame(s.spark, inf.ols_hc3(x, CAR, kept, "event_date")[0])
+    for t in _TYPES:
+        x = x.withColumn(t, F.when(F.col("crash_type") == t[5:], 1.0).otherwise(0.0))
+    kept, _ = inf.drop_aliased(x, [*_TYPES, *PRIMARY])
+    return inf.as_frame(s.spark, inf.ols_hc3(x, CAR, kept, "event_date")[0]).select("term", *r6(*_HC3, *_BY_DATE))
 
 
-@query()
+@query(_DONE + rq.logit("l", "dn", REC, PRIMARY, cluster="d") + f"SELECT term, round(beta, 6) coef_per_sd, round(exp(beta), 6) odds_ratio_per_sd, round(exp(beta - {inf.Z975} * se_cluster), 6) or_ci_lo, round(exp(beta + {inf.Z975} * se_cluster), 6) or_ci_hi, round(se_cluster, 6) se, round(beta / se_cluster, 6) z, round({rq.normal_p('beta / se_cluster')}, 6) p_value FROM l_t")
 def logit_table(s: Study) -> DataFrame:
-    return inf.as_frame(s.spark, inf.logit_odds(done(s), REC, PRIMARY, "event_date")[0])
+    t = inf.as_frame(s.spark, inf.logit_odds(done(s), REC, PRIMARY, "event_date")[0])
+    return t.select("term", *r6("coef_per_sd", "odds_ratio_per_sd", "or_ci_lo", "or_ci_hi", "se", "z", "p_value"))
 
 
 EXTENDED = [c for c in ep.FEATURES if c not in ("volume", "med_volume_60", "log_volume")]
+#: What is left of them: a crash's decline is its return, its excess the return less the sector's.
+INDEPENDENT = [c for c in EXTENDED if c not in ("abs_decline", "excess_vs_sector")]
 
 
-@query()
+@query(_DONE + rq.aliased("a", "dn", EXTENDED) + "SELECT term, kept FROM a_k")
 def drop_aliased(s: Study) -> DataFrame:
     kept, dropped = inf.drop_aliased(done(s), EXTENDED)
     return s.spark.createDataFrame([(c, True) for c in kept] + [(c, False) for c in dropped], "term string, kept boolean")
 
 
-@query()
+@query(_DONE + rq.ols("o", "dn", CAR, INDEPENDENT, cluster="d") + rq.logit("l", "dn", REC, INDEPENDENT, cluster="d") + f""",
+fam AS (SELECT 'ols_extended' model, term, {rq.normal_p('beta / se_cluster')} p_value FROM o_t WHERE i > 1 UNION ALL SELECT 'logit_extended', term, {rq.normal_p('beta / se_cluster')} FROM l_t WHERE i > 1)
+SELECT model, term, {s6('p_value', 'q_value')}, reject_fdr FROM ({rq.discoveries('fam')})""")
 def fdr_family(s: Study) -> DataFrame:
     x = done(s)
     kept, _ = inf.drop_aliased(x, EXTENDED)
     ols, logit = inf.ols_hc3(x, CAR, kept, "event_date")[0], inf.logit_odds(x, REC, kept, "event_date")[0]
     fam = [("ols_extended", r.term, float(r.p_value_cluster)) for r in ols.itertuples() if r.term != "const"] + [("logit_extended", r.term, float(r.p_value)) for r in logit.itertuples() if r.term != "const"]
-    return inf.benjamini_hochberg(s.spark.createDataFrame(fam, "model string, term string, p_value double"))
+    return inf.benjamini_hochberg(s.spark.createDataFrame(fam, "model string, term string, p_value double")).select("model", "term", *r6("p_value", "q_value"), "reject_fdr")
 
 
 # --- bootstrap -----------------------------------------------------------------
 
-@query()
+_KNOWN = f", kn AS (SELECT event_id, grp, {CAR} v FROM grp WHERE {CAR} IS NOT NULL)"
+_RATES = f"count({CAR}) n, avg({CAR}) mean, avg({REC}) recovery_rate"
+
+
+@query(_KNOWN + rq.weights("b", "kn", ["event_id"], SEED, ["grp", "v"]) + rq.intervals("b", "grp", "v") + f""",
+fam AS (SELECT grp, n, mean, median, recovery_rate, lo, hi, p_value FROM (SELECT grp, {_RATES}, median({CAR}) median FROM grp GROUP BY grp) JOIN b_i USING (grp))
+SELECT grp "group", n, {s6('mean', 'median', 'lo', 'hi', 'p_value', 'recovery_rate', 'q_value')}, reject_fdr FROM ({rq.discoveries('fam')})""")
 def bootstrap_mean(s: Study) -> DataFrame:
-    b = inf.bootstrap_mean(inf.with_groups(s.events()), "grp", ["event_id"], CAR, seed=SEED)
-    return inf.benjamini_hochberg(b).withColumnRenamed("grp", "group")
+    g = inf.with_groups(s.events())
+    more = g.groupBy("grp").agg(F.percentile(CAR, F.lit(0.5)).alias("median"), F.avg(REC).alias("recovery_rate"))
+    b = inf.benjamini_hochberg(inf.bootstrap_mean(g, "grp", ["event_id"], CAR, seed=SEED).join(more, "grp"))
+    return b.select(F.col("grp").alias("group"), "n", *r6("mean", "median", "lo", "hi", "p_value", "recovery_rate", "q_value"), "reject_fdr")
 
 
-@query()
+@query(f", hz AS (SELECT event_id, unnest({list(HORIZONS)}) horizon, unnest([{', '.join(f'car_{h}' for h in HORIZONS)}]) v FROM ev), kn AS (SELECT * FROM hz WHERE v IS NOT NULL)"
+       + rq.weights("b", "kn", ["event_id"], SEED, ["horizon", "v"]) + rq.intervals("b", "horizon", "v") + f"""
+SELECT horizon, n, {s6('mean', 'lo', 'hi', 'p_value')} FROM (SELECT horizon, count(v) n, avg(v) mean FROM hz GROUP BY horizon) JOIN b_i USING (horizon)""")
 def horizon_intervals(s: Study) -> DataFrame:
     x = s.outcomes().unpivot(["event_id"], [f"car_{h}" for h in HORIZONS], "h", "c").withColumn("horizon", F.regexp_extract("h", r"(\d+)", 1))
-    return inf.bootstrap_mean(x, "horizon", ["event_id"], "c", seed=SEED).withColumn("horizon", F.col("horizon").cast("int"))
+    return inf.bootstrap_mean(x, "horizon", ["event_id"], "c", seed=SEED).select(F.col("horizon").cast("int").alias("horizon"), "n", *r6("mean", "lo", "hi", "p_value"))
 
 
-@query()
+@query(_KNOWN + rq.weights("b", "kn", ["event_id", "grp"], SEED, ["grp", "v"]) + f""",
+dr AS (SELECT grp, r, sum(w * v) / sum(w) m FROM b_w GROUP BY grp, r HAVING sum(w) > 0), gm AS (SELECT grp, {_RATES} FROM grp GROUP BY grp),
+df AS (SELECT h, ga, gb, quantile_cont(a.m - b.m, 0.025) lo, quantile_cont(a.m - b.m, 0.975) hi, least(1.0, 2 * least(avg(CASE WHEN a.m <= b.m THEN 1.0 ELSE 0.0 END), avg(CASE WHEN a.m >= b.m THEN 1.0 ELSE 0.0 END))) p_value
+  FROM (VALUES {_PAIRS}) t(h, ga, gb) JOIN dr a ON a.grp = ga JOIN dr b ON b.grp = gb AND b.r = a.r GROUP BY ALL),
+fam AS (SELECT df.*, a.n n_a, b.n n_b, a.mean mean_a, b.mean mean_b, a.mean - b.mean diff, a.recovery_rate recovery_rate_a, b.recovery_rate recovery_rate_b, a.recovery_rate - b.recovery_rate recovery_rate_diff FROM df JOIN gm a ON a.grp = ga JOIN gm b ON b.grp = gb)
+SELECT h hypothesis, ga group_a, gb group_b, n_a, n_b, {s6('mean_a', 'mean_b', 'diff', 'lo', 'hi', 'p_value', 'recovery_rate_a', 'recovery_rate_b', 'recovery_rate_diff', 'q_value')}, reject_fdr FROM ({rq.discoveries('fam')})""")
 def bootstrap_diff(s: Study) -> DataFrame:
-    return inf.benjamini_hochberg(inf.bootstrap_diff(inf.with_groups(s.events()), "grp", ["event_id"], CAR, inf.CONTRASTS, seed=SEED))
+    g = inf.with_groups(s.events())
+    rates = g.groupBy("grp").agg(F.count(CAR).alias("n"), F.avg(CAR).alias("mean"), F.avg(REC).alias("recovery_rate"))
+    side = lambda k: rates.select(*[F.col(c).alias("group_" + k if c == "grp" else f"{c}_{k}") for c in rates.columns])
+    d = inf.bootstrap_diff(g, "grp", ["event_id"], CAR, inf.CONTRASTS, seed=SEED).join(side("a"), "group_a").join(side("b"), "group_b")
+    d = d.withColumn("diff", F.col("mean_a") - F.col("mean_b")).withColumn("recovery_rate_diff", F.col("recovery_rate_a") - F.col("recovery_rate_b"))
+    return inf.benjamini_hochberg(d).select("hypothesis", "group_a", "group_b", "n_a", "n_b", *r6("mean_a", "mean_b", "diff", "lo", "hi", "p_value", "recovery_rate_a", "recovery_rate_b", "recovery_rate_diff", "q_value"), "reject_fdr")
 
 
-@query()
+@query(""", fl AS (SELECT event_id FROM path GROUP BY event_id HAVING count(car) = 61), kn AS (SELECT event_id FROM fl)""" + rq.weights("b", "kn", ["event_id"], SEED, ["event_id"]) + f""",
+pw AS (SELECT event_id, list(car ORDER BY tau) cars FROM path JOIN fl USING (event_id) GROUP BY event_id),
+pm AS (SELECT grp, tau, sum(w * cars[tau + 1]) / sum(w) m FROM b_w JOIN pw USING (event_id) JOIN (SELECT event_id, grp FROM grp) USING (event_id) CROSS JOIN (SELECT unnest(range(0, 61)) tau) GROUP BY grp, tau, r HAVING sum(w) > 0)
+SELECT grp "group", tau::INT tau, round(quantile_cont(m, 0.025), 6) lo, round(quantile_cont(m, 0.975), 6) hi FROM pm GROUP BY grp, tau""")
 def bootstrap_path(s: Study) -> DataFrame:
     top = CONFIG.get("outcomes.max_tau")
     wide = s.paths().groupBy("event_id").pivot("tau", list(range(top + 1))).agg(F.first("car"))
     g = inf.with_groups(s.events()).select("event_id", "grp")
     named = wide.join(g, "event_id").select("grp", "event_id", *[F.col(str(t)).alias(f"t{t}") for t in range(top + 1)])
-    return inf.bootstrap_path(named, "grp", ["event_id"], [f"t{t}" for t in range(top + 1)], seed=SEED).withColumnRenamed("grp", "group")
+    return inf.bootstrap_path(named, "grp", ["event_id"], [f"t{t}" for t in range(top + 1)], seed=SEED).select(F.col("grp").alias("group"), "tau", *r6("lo", "hi"))
 
 
 # --- splits and scores -----------------------------------------------------------
@@ -338,15 +387,25 @@ def robustness_grid(s: Study) -> DataFrame:
     return _grid(s).select(*gr.SPEC, "horizon", "vix_high_quantile", "n_events", "n_dates", *r6(*_CELL))
 
 
-@query()
+_ND = "greatest(n_dates - 1, 1)"
+
+
+@query(f", gi AS ({rq.t_quantile('(SELECT DISTINCT z_threshold, vol_window, cooldown, horizon, mean_car, se_clustered, n_dates FROM cl)', _ND)})\nSELECT z_threshold, vol_window, cooldown, horizon, round(mean_car, 6) mean_car, round(mean_car - crit * se_clustered, 6) ci_lo, round(mean_car + crit * se_clustered, 6) ci_hi, round({rq.t_p('mean_car / se_clustered', _ND)}, 6) p_value FROM gi", grid_chain)
 def grid_intervals(s: Study) -> DataFrame:
-    return _grid(s).select(*gr.SPEC, "horizon", "vix_high_quantile", "mean_car", "ci_lo", "ci_hi", "p_value")
+    return _grid(s).select(*gr.SPEC, "horizon", *r6("mean_car", "ci_lo", "ci_hi", "p_value")).distinct()
 
 
-@query()
+_REPORTED = ("crash_z", "avol", "rv_20")
+
+
+@query(", gn AS (SELECT z_threshold, vol_window, cooldown, horizon FROM gl GROUP BY ALL HAVING count(*) >= " + str(CONFIG.get("robustness.min_events")) + "), gk AS (SELECT gl.* RENAME (z AS crash_z) FROM gl JOIN gn USING (z_threshold, vol_window, cooldown, horizon))"
+       + rq.ols("o", "gk", "car", PRIMARY, by=("z_threshold", "vol_window", "cooldown", "horizon"))
+       + "SELECT z_threshold, vol_window, cooldown, horizon, round(any_value(adj_r2), 6) ols_adj_r2, " + ", ".join(f"round(max(CASE WHEN term = '{c}' THEN beta END), 6) beta_{c}, round(max(CASE WHEN term = '{c}' THEN pv END), 6) p_{c}" for c in _REPORTED)
+       + f" FROM (SELECT *, {rq.normal_p('beta / se')} pv FROM o_t) GROUP BY ALL", grid_chain)
 def grid_regressions(s: Study) -> DataFrame:
     g = s.config.get
-    return gr.grid_regressions(gr.long_by_horizon(grid_events(s), g("robustness.horizons")), PRIMARY, ("crash_z", "avol", "rv_20"), g("robustness.min_events"))
+    t = gr.grid_regressions(gr.long_by_horizon(grid_events(s), g("robustness.horizons")), PRIMARY, _REPORTED, g("robustness.min_events"))
+    return t.select(*gr.SPEC, "horizon", *r6("ols_adj_r2", *[f"{k}_{c}" for c in _REPORTED for k in ("beta", "p")]))
 
 
 @query(f"""SELECT count(*) n, round(min(mean_car), 6) min_mean, round(max(mean_car), 6) max_mean, round(median(mean_car), 6) median_mean, round(avg(CASE WHEN mean_car < 0 THEN 1.0 ELSE 0.0 END), 6) share_negative,
@@ -356,9 +415,9 @@ def grid_summary(s: Study) -> DataFrame:
     return t.select("n", *r6(*[c for c in t.columns if c != "n"]))
 
 
-@query()
+@query(f", gp AS (SELECT *, {rq.t_p('mean_car / se_clustered', _ND)} p FROM (SELECT DISTINCT z_threshold, vol_window, cooldown, mean_car, se_clustered, n_dates FROM cl WHERE horizon = {H}))\nSELECT count(*) n, round(avg(CASE WHEN mean_car < 0 AND p < 0.05 THEN 1.0 ELSE 0.0 END), 6) share_negative_significant, round(avg(CASE WHEN mean_car > 0 AND p < 0.05 THEN 1.0 ELSE 0.0 END), 6) share_positive_significant FROM gp", grid_chain)
 def grid_significance(s: Study) -> DataFrame:
-    return gr.grid_summary(_grid(s), H).select("n", "share_negative_significant", "share_positive_significant")
+    return gr.grid_summary(_grid(s), H).select("n", *r6("share_negative_significant", "share_positive_significant"))
 
 
 @query("SELECT round(avg(CASE WHEN diff_avol_q4_minus_q1 > 0 THEN 1.0 ELSE 0.0 END), 6) avol_effect, round(avg(CASE WHEN diff_broad_minus_idio < 0 THEN 1.0 ELSE 0.0 END), 6) broad_vs_idio FROM cl", grid_chain)
@@ -475,10 +534,12 @@ def return_histogram(s: Study) -> DataFrame:
     return s.episodes(wide=False).groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+@query(f""", q5 AS (SELECT quantile_cont(vix, [0.2, 0.4, 0.6, 0.8]) e FROM ev WHERE {REC} IS NOT NULL),
+kn AS (SELECT event_id, 'V' || (len(list_filter(e, lambda x: x < vix)) + 1) quintile, {REC} v FROM ev CROSS JOIN q5 WHERE {REC} IS NOT NULL AND vix IS NOT NULL)""" + rq.weights("b", "kn", ["event_id"], SEED, ["quintile", "v"]) + rq.intervals("b", "quintile", "v") + f"""
+SELECT quintile, n, {s6('mean', 'lo', 'hi', 'p_value')} FROM (SELECT quintile, count(v) n, avg(v) mean FROM kn GROUP BY quintile) JOIN b_i USING (quintile)""")
 def recovery_quintile_intervals(s: Study) -> DataFrame:
     x = ep.quantile_bins(s.events().where(f"{REC} IS NOT NULL"), {"quintile": ("vix", [f"V{i}" for i in range(1, 6)])}).where("quintile IS NOT NULL")
-    return inf.bootstrap_mean(x, "quintile", ["event_id"], REC, seed=SEED)
+    return inf.bootstrap_mean(x, "quintile", ["event_id"], REC, seed=SEED).select("quintile", "n", *r6("mean", "lo", "hi", "p_value"))
 
 
 @query("""SELECT strftime(date_trunc('quarter', d), '%Y-%m-%d') "quarter", count(*) n FROM e0 WHERE d BETWEEN DATE '2020-03-16' - 200 AND DATE '2020-03-16' + 200 GROUP BY 1 ORDER BY n DESC, "quarter" LIMIT 1""")

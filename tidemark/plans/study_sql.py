@@ -99,9 +99,10 @@ def grid_chain(c: Config) -> str:
     parts, picks = [], []
     for w in ws:
         enough = f"{_prior('count(ret)', w)} >= {w}"
-        parts.append(f"""g{w} AS (SELECT *, CASE WHEN {enough} THEN {_prior('avg(ret)', w)} END mu, CASE WHEN {enough} THEN {_prior('stddev_samp(ret)', w)} END sigma, {', '.join(f"{_at('close', h)} close_p{h}" for h in hs)},
+        parts.append(f"""g{w} AS (SELECT *, CASE WHEN {enough} THEN {_prior('avg(ret)', w)} END mu, CASE WHEN {enough} THEN {_prior('stddev_samp(ret)', w)} END sigma, {', '.join(f"{_at('close', h)} close_p{h}" for h in hs)}, {_at('close', -1)} / {_at('close', -21)} - 1 mom_20,
+  CASE WHEN {_prior('count(ret)', 20)} >= 10 THEN {_prior('stddev_samp(ret)', 20)} * sqrt(252.0) END rv_20,
   count(CASE WHEN volume > 0 THEN 1 END) OVER ({W} RANGE BETWEEN {w} PRECEDING AND 1 PRECEDING) nv, quantile_cont(CASE WHEN volume > 0 THEN volume END, 0.5) OVER ({W} RANGE BETWEEN {w} PRECEDING AND 1 PRECEDING) mv FROM pn)""")
-        picks.append(f"SELECT {w} vol_window, ticker, d, pos, close, ret, (ret - mu) / sigma z, CASE WHEN volume > 0 AND nv >= {max(20, w // 3)} THEN ln(volume) - ln(mv) END avol, {', '.join(f'close_p{h}' for h in hs)} FROM g{w} WHERE sigma > 0")
+        picks.append(f"SELECT {w} vol_window, ticker, d, pos, close, ret, (ret - mu) / sigma z, CASE WHEN volume > 0 AND nv >= {max(20, w // 3)} THEN ln(volume) - ln(mv) END avol, mom_20, rv_20, {', '.join(f'close_p{h}' for h in hs)} FROM g{w} WHERE sigma > 0")
     spec = "z_threshold, vol_window, cooldown"
     legs = ", ".join(f"(close_p{h} / close - 1) - (b{h} / market - 1)" for h in hs)
     mean = lambda cond: f"avg(CASE WHEN {cond} THEN car END)"
@@ -112,7 +113,7 @@ gx AS (SELECT *, row_number() OVER (PARTITION BY {spec}, ticker ORDER BY pos) i
 gd AS (SELECT {spec}, ticker, i, pos, pos anchor FROM gx WHERE i = 1
   UNION ALL SELECT x.z_threshold, x.vol_window, x.cooldown, x.ticker, x.i, x.pos, CASE WHEN x.pos - gd.anchor >= x.cooldown THEN x.pos ELSE gd.anchor END
   FROM gd JOIN gx x ON x.z_threshold = gd.z_threshold AND x.vol_window = gd.vol_window AND x.cooldown = gd.cooldown AND x.ticker = gd.ticker AND x.i = gd.i + 1),
-ge AS (SELECT gx.*, mk.vix, CASE WHEN coalesce(mk.market_ret <= mk.market_cut, FALSE) THEN 'broad_market' WHEN coalesce(sc.sector_ret <= sc.sector_cut, FALSE) THEN 'sector'
+ge AS (SELECT gx.*, mk.vix, mk.market_ret spy_ret_event, CASE WHEN coalesce(mk.market_ret <= mk.market_cut, FALSE) THEN 'broad_market' WHEN coalesce(sc.sector_ret <= sc.sector_cut, FALSE) THEN 'sector'
     WHEN mk.market_cut IS NULL OR sc.sector_cut IS NULL OR sc.sector_ret IS NULL THEN 'unclassified' ELSE 'idiosyncratic' END crash_type, unnest({hs}) horizon, unnest([{legs}]) car
   FROM gx JOIN gd ON gd.z_threshold = gx.z_threshold AND gd.vol_window = gx.vol_window AND gd.cooldown = gx.cooldown AND gd.ticker = gx.ticker AND gd.pos = gx.pos AND gd.anchor = gd.pos
   JOIN mk ON mk.pos = gx.pos LEFT JOIN sec ON sec.ticker = gx.ticker LEFT JOIN sc ON sc.sector = sec.sector AND sc.pos = gx.pos),
