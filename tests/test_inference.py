@@ -10,7 +10,6 @@ from tidemark.config import Config
 from tidemark.functions import special as sf
 from tidemark.operators import evaluation as va
 from tidemark.operators import inference as inf
-from tidemark.operators import models as ml
 from tidemark.operators import splits as sp
 
 
@@ -170,50 +169,6 @@ def test_scores(spark):
     assert one.roc_auc is None
 
 
-def test_models_and_explanations(spark):
-    rng = np.random.default_rng(1)
-    n = 400
-    x = rng.normal(size=(n, 3))
-    y = (x[:, 0] + 0.3 * rng.normal(size=n) > 0).astype(float)
-    rows = [(i, *map(float, x[i]), float(y[i]), "train" if i < 200 else "val" if i < 300 else "test") for i in range(n)]
-    rows[5] = (5, None, *rows[5][2:])
-    df = spark.createDataFrame(rows, "id int, crash_z double, avol double, vix double, y double, split string").cache()
-    names = ["crash_z", "avol", "vix"]
-    t, fitted = ml.search(df, "y", names, kinds=("logistic",))
-    assert t["roc_auc"][0] > 0.9 and t["model"].tolist() == ["logistic", "base_rate"]
-    assert ml.logistic_ranking(fitted["logistic"])["feature"][0] == "crash_z"
-    m = ml.fit(df.where("split <> 'test'"), "y", names, "boosting", {"rate": 0.3, "leaf": 10}, rounds=4)
-    tables = ml.tree_tables(m)
-    v = [0.5, -0.2, 0.1]
-    got = sum(w * ml.tree_shap(tb, np.array(v), 3) for w, tb in tables)
-
-    def expectation(tb, on, at=0):
-        f, thr, left, right, weight, value = tb[at]
-        if f < 0:
-            return value
-        if int(f) in on:
-            return expectation(tb, on, int(left if v[int(f)] <= thr else right))
-        a, b = int(left), int(right)
-        return (tb[a][4] * expectation(tb, on, a) + tb[b][4] * expectation(tb, on, b)) / weight
-
-    import itertools
-
-    want = np.zeros(3)
-    for i in range(3):
-        rest = [j for j in range(3) if j != i]
-        for k in range(3):
-            for s in itertools.combinations(rest, k):
-                w = math.factorial(k) * math.factorial(2 - k) / 6
-                want[i] += w * sum(tw * (expectation(tb, {*s, i}) - expectation(tb, set(s))) for tw, tb in tables)
-    assert got == pytest.approx(want)
-    imp = {r.feature: r.importance_mean for r in ml.permutation_importance(m, df.where("split = 'test'"), "y", repeats=3).collect()}
-    assert max(imp, key=imp.get) == "crash_z"
-    shap = {r.feature: r.mean_abs_shap for r in ml.shap_importance(m, df.where("split = 'test'"), "id").collect()}
-    assert max(shap, key=shap.get) == "crash_z"
-    with pytest.raises(ValueError):
-        ml.fit(df, "y", ["y"], "logistic", {"c": 1.0})
-
-
 def test_config(tmp_path):
     c = Config()
     d = c.override(**{"events.cooldown": 5})

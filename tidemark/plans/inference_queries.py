@@ -78,12 +78,42 @@ def contrasts_means(s: Study) -> DataFrame:
     return x.select("hypothesis", "group_a", "group_b", "n_a", "n_b", F.round(F.col("m_a") - F.col("m_b"), 6).alias("diff"), F.round(F.col("r_a") - F.col("r_b"), 6).alias("recovery_rate_diff"))
 
 
-@query(f"SELECT count(*) n_events, count(DISTINCT ticker) n_tickers, count(DISTINCT d) n_dates, count(CASE WHEN complete_{H} THEN 1 END) n_complete, round(100.0 * count(CASE WHEN volume IS NULL THEN 1 END) / count(*), 2) volume_missing_pct, round(100.0 * count(CASE WHEN mom_252 IS NULL THEN 1 END) / count(*), 2) mom_252_missing_pct, round(avg(raw_return), 6) mean_return FROM e3")
+_KINDS = ("broad_market", "sector", "idiosyncratic", "unclassified")
+
+
+@query("SELECT count(*) n_events, count(DISTINCT ticker) n_tickers, count(DISTINCT d) n_dates, strftime(min(d), '%Y-%m-%d') first_date, strftime(max(d), '%Y-%m-%d') last_date, "
+       + f"count(CASE WHEN complete_{H} THEN 1 END) n_complete, " + ", ".join(f"count(CASE WHEN crash_type = '{k}' THEN 1 END) n_{k}" for k in _KINDS)
+       + ", round(100.0 * count(sector) / count(*), 1) sector_known_pct, round(avg(crash_z), 6) mean_crash_z, round(avg(raw_return), 6) mean_return, "
+       + ", ".join(f"round(100.0 * count(CASE WHEN {c} IS NULL THEN 1 END) / count(*), 2) {c}_missing_pct" for c in ep.FEATURES) + " FROM e3")
 def construction_summary(s: Study) -> DataFrame:
     pct = lambda c: F.round(100 * F.count_if(F.col(c).isNull()) / F.count(F.lit(1)), 2).alias(f"{c}_missing_pct")
     return s.features().agg(
-        F.count(F.lit(1)).alias("n_events"), F.count_distinct("ticker").alias("n_tickers"), F.count_distinct("event_date").alias("n_dates"), F.count_if(f"complete_{H}").alias("n_complete"),
-        pct("volume"), pct("mom_252"), F.round(F.avg("raw_return"), 6).alias("mean_return"))
+        F.count(F.lit(1)).alias("n_events"), F.count_distinct("ticker").alias("n_tickers"), F.count_distinct("event_date").alias("n_dates"), day(F.min("event_date"), "first_date"), day(F.max("event_date"), "last_date"),
+        F.count_if(f"complete_{H}").alias("n_complete"), *[F.count_if(F.col("crash_type") == k).alias(f"n_{k}") for k in _KINDS],
+        F.round(100 * F.count("sector") / F.count(F.lit(1)), 1).alias("sector_known_pct"), F.round(F.avg("crash_z"), 6).alias("mean_crash_z"), F.round(F.avg("raw_return"), 6).alias("mean_return"), *map(pct, ep.FEATURES))
+
+
+_DESCRIBED = ("crash_z", "raw_return", "avol", "rv_20")
+
+
+@query(", de AS (UNPIVOT (SELECT " + ", ".join(_DESCRIBED) + " FROM e3) ON " + ", ".join(_DESCRIBED) + " INTO NAME column_name VALUE v) SELECT column_name, count(v) n, round(avg(v), 6) mean, round(stddev_samp(v), 6) std, round(min(v), 6) min, "
+       "round(quantile_cont(v, 0.25), 6) p25, round(quantile_cont(v, 0.5), 6) p50, round(quantile_cont(v, 0.75), 6) p75, round(max(v), 6) max FROM de GROUP BY column_name")
+def describe_events(s: Study) -> DataFrame:
+    x = s.features().unpivot(["event_id"], list(_DESCRIBED), "column_name", "v")
+    q = F.percentile("v", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+    t = x.groupBy("column_name").agg(F.count("v").alias("n"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"), F.min("v").alias("min"), q.alias("q"), F.max("v").alias("max"))
+    return t.select("column_name", "n", *r6("mean", "std", "min"), *[F.round(F.col("q")[i], 6).alias(n) for i, n in enumerate(("p25", "p50", "p75"))], *r6("max"))
+
+
+@query("SELECT load_id, event_id, count(*) n FROM crash_events GROUP BY load_id, event_id HAVING count(*) > 1")
+def duplicate_event_ids(s: Study) -> DataFrame:
+    return s.table("crash_events").groupBy("load_id", "event_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+
+
+@query(f"SELECT mode, count(*) n FROM (SELECT CASE WHEN n > 1 THEN 'repeated' ELSE 'single' END mode FROM (SELECT event_id, count(*) n FROM e0 GROUP BY event_id)) GROUP BY mode")
+def unique_event_ids(s: Study) -> DataFrame:
+    ids = s.episodes(wide=False).groupBy("event_id").agg(F.count(F.lit(1)).alias("n"))
+    return ids.groupBy(F.when(F.col("n") > 1, "repeated").otherwise("single").alias("mode")).agg(F.count(F.lit(1)).alias("n"))
 
 
 # --- multiple testing and errors ------------------------------------------------
@@ -324,34 +354,70 @@ def _fold_scores(s: Study) -> pd.DataFrame:
     return ml.expanding_comparison(x, REC, ep.FEATURES, "event_date", _folds(x), seed=7)
 
 
+def _explained(s: Study) -> tuple[DataFrame, ml.Fitted]:
+    """The test rows, and the boosting the search chose."""
+    x = _split_written(s)
+    return x.where("split = 'test'"), ml.search(x, REC, ep.FEATURES, ("boosting",), seed=7)[1]["boosting"]
+
+
 @query()
 def model_comparison(s: Study) -> DataFrame:
     return inf.as_frame(s.spark, ml.search(_split_written(s), REC, ep.FEATURES, seed=7)[0])
 
 
+@query()
+def model_calibration(s: Study) -> DataFrame:
+    x = _split_written(s)
+    return ml.calibration(ml.search(x, REC, ep.FEATURES, seed=7)[1], x.where("split = 'test'"), REC)
+
+
 @query()
 def model_folds(s: Study) -> DataFrame:
     return inf.as_frame(s.spark, _fold_scores(s))
 
 
 @query()
-def permutation_importance(s: Study) -> DataFrame:
-    x = _split_written(s)
-    m = ml.search(x, REC, ep.FEATURES, ("boosting",), seed=7)[1]["boosting"]
-    return ml.permutation_importance(m, x.where("split = 'test'"), REC, seed=7)
+def fold_auc_pivot(s: Study) -> DataFrame:
+    """AUC by fold and model; the last row, without fold, has the models' means."""
+    x = inf.as_frame(s.spark, _fold_scores(s)[["fold", "model", "roc_auc"]])
+    kinds = list(ml.PARAMS)
+    wide = x.groupBy("fold").pivot("model", kinds).agg(F.first("roc_auc"))
+    return wide.unionByName(wide.agg(*[F.avg(k).alias(k) for k in kinds]).withColumn("fold", F.lit(None).cast("bigint")))
 
 
 @query()
+def permutation_importance(s: Study) -> DataFrame:
+    test, m = _explained(s)
+    return ml.permutation_importance(m, test, REC, seed=7)
+
+
+def _imputed(c: str) -> str:
+    return f"coalesce({c}, (SELECT median({c}) FROM tv))"
+
+
+@query(_SPLIT + ", tv AS (SELECT * FROM spl WHERE split IN ('train', 'val')), im AS (SELECT " + REC + ", " + ", ".join(f"{_imputed(c)} {c}" for c in ep.FEATURES) + " FROM tv)"
+       + rq.logit("l", "im", REC, ep.FEATURES, steps=8, ridge="10.0") + "SELECT term feature, round(beta, 6) coef, round(exp(beta), 6) odds_ratio FROM l_t WHERE i > 1")
 def logit_coefficients(s: Study) -> DataFrame:
     m = ml.fit(_split_written(s).where("split IN ('train', 'val')"), REC, ep.FEATURES, "logistic", {"c": 0.1})
-    return inf.as_frame(s.spark, ml.logistic_ranking(m))
+    return inf.as_frame(s.spark, ml.logistic_ranking(m)).select("feature", *r6("coef", "odds_ratio"))
+
+
+@query()
+def shap_values(s: Study) -> DataFrame:
+    test, m = _explained(s)
+    return ml.shap_scaled(written(ml.shap_values(m, test, "event_id"), "shap-values"), m.names, "event_id")
 
 
 @query()
 def shap_importance(s: Study) -> DataFrame:
-    x = _split_written(s)
-    m = ml.search(x, REC, ep.FEATURES, ("boosting",), seed=7)[1]["boosting"]
-    return ml.shap_importance(m, x.where("split = 'test'"), "event_id")
+    test, m = _explained(s)
+    return ml.shap_importance(ml.shap_values(m, test, "event_id"), m.names)
+
+
+@query()
+def shap_dependence(s: Study) -> DataFrame:
+    test, m = _explained(s)
+    return ml.shap_dependence(written(ml.shap_values(m, test, "event_id"), "shap-values"), m.names)
 
 
 # --- robustness grid --------------------------------------------------------------
@@ -441,6 +507,18 @@ def grid_pivot(s: Study) -> DataFrame:
     return wide.select("z_threshold", *[F.round(str(k), 6).alias(f"cooldown_{k}") for k in _CDS])
 
 
+_HZS = CONFIG.get("robustness.horizons")
+_FIRST_CD = min(_CDS)
+
+
+@query("SELECT z_threshold, " + ", ".join(f"round(max(CASE WHEN horizon = {h} THEN mean_car END), 6) horizon_{h}" for h in _HZS) + f" FROM c1 WHERE vol_window = 60 AND cooldown = {_FIRST_CD} GROUP BY z_threshold", grid_chain)
+def grid_horizon_pivot(s: Study) -> DataFrame:
+    """Mean by threshold and horizon of the first cooldown, as a grid's rows come."""
+    one = _grid(s).where((F.col("vol_window") == 60) & (F.col("cooldown") == _FIRST_CD)).dropDuplicates([*gr.SPEC, "horizon"])
+    wide = one.groupBy("z_threshold").pivot("horizon", _HZS).agg(F.first("mean_car"))
+    return wide.select("z_threshold", *[F.round(str(h), 6).alias(f"horizon_{h}") for h in _HZS])
+
+
 # --- tables behind figures ----------------------------------------------------------
 
 @query("""SELECT strftime(q, '%Y-%m-%d') "quarter", count(e0.event_id) n FROM (SELECT unnest(generate_series(date_trunc('quarter', min(d))::TIMESTAMP, date_trunc('quarter', max(d))::TIMESTAMP, INTERVAL 3 MONTH)) q FROM e0)
@@ -522,11 +600,6 @@ def dependence_bins(s: Study) -> DataFrame:
     return x.groupBy(F.col("bin").cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.round(F.percentile("avol", F.lit(0.5)), 6).alias("mid"), F.round(F.percentile(CAR, F.lit(0.5)), 6).alias("median_car"))
 
 
-@query()
-def fold_auc_pivot(s: Study) -> DataFrame:
-    return inf.as_frame(s.spark, _fold_scores(s)[["fold", "model", "roc_auc"]]).groupBy("fold").pivot("model", list(ml.PARAMS)).agg(F.first("roc_auc"))
-
-
 @query("SELECT b bin, count(*) n FROM (SELECT CASE WHEN x >= 0 THEN 61 ELSE (floor((x + 0.5::DOUBLE) / (0.5::DOUBLE / 60)) + 1)::INT END b FROM (SELECT greatest(least(round(raw_return, 6), 0.0::DOUBLE), -0.5::DOUBLE) + 1e-9 x FROM e0)) GROUP BY b")
 def return_histogram(s: Study) -> DataFrame:
     x = F.greatest(F.least(F.round("raw_return", 6), F.lit(0.0)), F.lit(-0.5)) + 1e-9
