@@ -61,56 +61,45 @@ def regular_grid(readings: DataFrame, calendar: DataFrame, max_gap: int = 10, sh
     after the last reading. A ticker without any reading has only marked
     sessions. Extreme and equal readings are readings. Empty input, no rows.
     """
+    p = F.when(F.col("y").isNotNull(), F.col("pos"))
     sharded = readings.groupBy("ticker", F.floor(F.col("pos") / shard).cast("int").alias("shard")).agg(
-        F.min("pos").alias("lo"), F.max("pos").alias("hi"),
+        F.min("pos").alias("lo"), F.max("pos").alias("hi"), F.min(p).alias("p0"), F.max(p).alias("p1"),
         F.array_sort(F.collect_list(F.when(F.col("y").isNotNull(), F.struct(F.col("pos").alias("p"), F.col("y"))))).alias("own"),
     ).withColumn("some", F.size("own") > 0)
-    tail = F.when(F.col("some"), F.slice("own", -1, 1))
-    head = F.when(F.col("some"), F.slice("own", 1, 2))
     whole = Window.partitionBy("ticker")
     chain = Window.partitionBy("ticker", "some").orderBy("shard")
     none = F.array().cast("array<struct<p:int,y:double>>")
+    tail, head = F.slice("own", -1, 1), F.slice("own", 1, 2)
     halo = (
-        sharded.withColumn("tail", tail).withColumn("head", head)
-        .withColumn("first", F.min("lo").over(whole)).withColumn("last", F.max("hi").over(whole))
-        .withColumn("r0", F.min(F.get("own", F.lit(0))["p"]).over(whole))
-        .withColumn("r1", F.max(F.get("own", F.size("own") - 1)["p"]).over(whole))
-        .withColumn("before", F.coalesce(F.lag("tail", 1).over(chain), none))
-        .withColumn("after", F.concat(F.coalesce(F.lead("head", 1).over(chain), none), F.coalesce(F.lead("head", 2).over(chain), none)))
-        .withColumn("top", F.max("shard").over(whole))
+        sharded.withColumn("first", F.min("lo").over(whole)).withColumn("last", F.max("hi").over(whole)).withColumn("r0", F.min("p0").over(whole)).withColumn("r1", F.max("p1").over(whole))
+        .withColumn("before", F.coalesce(F.lag(tail, 1).over(chain), none))
+        .withColumn("after", F.concat(F.coalesce(F.lead(head, 1).over(chain), none), F.coalesce(F.lead(head, 2).over(chain), none)))
+        .where(F.col("some") | (F.col("r0").isNull() & (F.col("lo") == F.col("first"))))
     )
-    # Index i of `ext` runs over the shard's own readings; the hole after each is this row's.
-    ext = halo.where("some").withColumn("nb", F.size("before")).withColumn("ext", F.concat("before", "own", F.slice("after", 1, 2)))
-    holes = ext.select("ticker", F.explode(F.expr(
-        "filter(transform(sequence(nb, nb + size(own) - 1), i -> struct(get(ext, i - 1) AS a, ext[i] AS b, get(ext, i + 1) AS c, get(ext, i + 2) AS d)), x -> x.c.p - x.b.p > 1)"
-    )).alias("x")).select("ticker", "x.*")
+    # Index i of `ext` runs over the shard's own readings b. Each reading answers for the sessions up to the next one, c;
+    # the ticker's first one also for those before it. A ticker without readings has one row without b.
+    ext = halo.withColumn("nb", F.when(F.col("some"), F.size("before")).otherwise(0)).withColumn("ext", F.concat("before", "own", F.slice("after", 1, 2)))
+    each = ext.select("ticker", "first", "last", "r0", "r1", F.explode(F.expr(
+        "transform(sequence(nb, nb + greatest(size(own), 1) - 1), i -> struct(get(ext, i - 1) AS a, get(ext, i) AS b, get(ext, i + 1) AS c, get(ext, i + 2) AS d))"
+    )).alias("x")).select("ticker", "first", "last", "r0", "r1", "x.*")
     reach = max_gap + 1
     h = (F.col("c.p") - F.col("b.p")).cast("double")
     s = (F.col("c.y") - F.col("b.y")) / h
     hl, hr = (F.col("b.p") - F.col("a.p")).cast("double"), (F.col("d.p") - F.col("c.p")).cast("double")
     sl, sr = (F.col("b.y") - F.col("a.y")) / hl, (F.col("d.y") - F.col("c.y")) / hr
     left, right = F.coalesce(hl <= reach, F.lit(False)), F.coalesce(hr <= reach, F.lit(False))
-    mb = F.when(left, _inner(hl, h, sl, s)).when(right, _edge(h, hr, s, sr)).otherwise(s)
-    mc = F.when(right, _inner(h, hr, s, sr)).when(left, _edge(h, hl, s, sl)).otherwise(s)
+    fill = F.coalesce((h > 1) & (h <= reach), F.lit(False))
+    mb = F.when(fill, F.when(left, _inner(hl, h, sl, s)).when(right, _edge(h, hr, s, sr)).otherwise(s))
+    mc = F.when(fill, F.when(right, _inner(h, hr, s, sr)).when(left, _edge(h, hl, s, sl)).otherwise(s))
+    begin = F.when(F.col("b.p").isNull() | (F.col("b.p") == F.col("r0")), F.col("first")).otherwise(F.col("b.p"))
+    end = F.when(F.col("b.p").isNull() | (F.col("b.p") == F.col("r1")), F.col("last")).otherwise(F.col("c.p") - 1)
+    sessions = each.select("ticker", F.col("b.p").alias("x0"), F.col("b.y").alias("y0"), F.col("c.y").alias("y1"), F.when(fill, h).alias("h"), mb.alias("mb"), mc.alias("mc"), F.explode(F.sequence(begin, end)).alias("pos"))
     t = (F.col("pos") - F.col("x0")) / F.col("h")
     cubic = (
         F.col("y0") * (1 + 2 * t) * (1 - t) * (1 - t) + F.col("h") * F.col("mb") * t * (1 - t) * (1 - t)
         + F.col("y1") * t * t * (3 - 2 * t) + F.col("h") * F.col("mc") * t * t * (t - 1)
     )
-    inside = (
-        holes.select("ticker", F.col("b.p").alias("x0"), F.col("b.y").alias("y0"), F.col("c.y").alias("y1"), h.alias("h"), mb.alias("mb"), mc.alias("mc"),
-                     F.explode(F.sequence(F.col("b.p") + 1, F.col("c.p") - 1)).alias("pos"))
-        .select("ticker", "pos", F.when(F.col("h") <= reach, cubic).alias("y"), F.when(F.col("h") <= reach, "filled").otherwise("marked").alias("status"))
-    )
-    span = lambda a, b: F.when(F.expr(f"{a} <= {b}"), F.sequence(F.expr(a), F.expr(b)))
-    ends = (
-        halo.where("shard = top")
-        .select("ticker", F.explode(F.concat(
-            F.coalesce(span("first", "coalesce(r0 - 1, last)"), F.array().cast("array<int>")),
-            F.coalesce(span("r1 + 1", "last"), F.array().cast("array<int>")),
-        )).alias("pos"))
-        .select("ticker", "pos", F.lit(None).cast("double").alias("y"), F.lit("marked").alias("status"))
-    )
-    observed = readings.where("y IS NOT NULL").select("ticker", "pos", "y", F.lit("observed").alias("status"))
-    sessions = broadcast_within(calendar.select(F.col("pos"), F.col("date").cast("date").alias("session")).where("pos IS NOT NULL AND session IS NOT NULL").dropDuplicates(["pos"]), MAX_SESSIONS)
-    return observed.unionByName(inside).unionByName(ends).join(sessions, "pos").select("ticker", "pos", "session", "y", "status")
+    here, filled = F.coalesce(F.col("pos") == F.col("x0"), F.lit(False)), F.col("h").isNotNull() & (F.col("pos") > F.col("x0"))
+    valued = sessions.select("ticker", "pos", F.when(here, F.col("y0")).when(filled, cubic).alias("y"), F.when(here, "observed").when(filled, "filled").otherwise("marked").alias("status"))
+    days = broadcast_within(calendar.select(F.col("pos"), F.col("date").cast("date").alias("session")).where("pos IS NOT NULL AND session IS NOT NULL").dropDuplicates(["pos"]), MAX_SESSIONS)
+    return valued.join(days, "pos").select("ticker", "pos", "session", "y", "status")
