@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.symbols import symbol
@@ -12,6 +12,30 @@ from tidemark.functions.symbols import symbol
 _STATE = "struct<live:boolean,right:date,w:array<struct<start:date,end:date>>,odd:int>"
 
 
+#: Written forms of dates besides ISO's.
+DATE_FORMS = ("MMMM d, yyyy", "MMM d, yyyy", "d MMMM yyyy", "MM/dd/yyyy")
+
+
+def lenient_date(c: Column | str) -> Column:
+    """The date a text stands for, in any of the known forms; null if in none."""
+    c = F.trim(F.col(c) if isinstance(c, str) else c)
+    return F.coalesce(c.try_cast("date"), *[F.try_to_date(c, form) for form in DATE_FORMS])
+
+
+def clean_changes(raw: DataFrame, date: str = "date", added: str = "added", removed: str = "removed") -> DataFrame:
+    """`date, added, removed` of a change log as text: dates read leniently, rows
+    without one left out, symbols in their normal form, null where a side names no one."""
+    return raw.select(lenient_date(date).alias("date"), symbol(added).alias("added"), symbol(removed).alias("removed")).where("date IS NOT NULL")
+
+
+def first_by_symbol(rows: DataFrame, order: str, ticker: str = "ticker") -> DataFrame:
+    """One row per symbol, the first by `order` (nulls last; of equals the least
+    row), its symbol in normal form. Rows that name no symbol are left out."""
+    others = [c for c in rows.columns if c != ticker]
+    x = rows.select(symbol(ticker).alias(ticker), F.struct(F.col(order).isNull().alias("_none"), F.col(order).alias("_order"), *others).alias("_x")).where(F.col(ticker).isNotNull())
+    return x.groupBy(ticker).agg(F.min("_x").alias("_x")).select(ticker, *[F.col(f"_x.{c}").alias(c) for c in others])
+
+
 def membership_windows(current: DataFrame, changes: DataFrame, floor: datetime.date, ceiling: datetime.date) -> DataFrame:
     """`ticker, start, end, anomalies`: windows from the current list and the log.
 

@@ -209,6 +209,31 @@ def sector_resolve(s: Study) -> DataFrame:
     return s.sectors
 
 
+_SIDE = "nullif(nullif(" + T.format("{0}") + ", ''), 'NAN')"
+
+
+@query(f"SELECT change_id, strftime(\"date\", '%Y-%m-%d') AS \"date\", {_SIDE.format('added')} added, {_SIDE.format('removed')} removed FROM index_changes WHERE \"date\" IS NOT NULL")
+def changes_clean(s: Study) -> DataFrame:
+    """The log as if its dates had been delivered as text, in two forms."""
+    d = F.col("date").cast("date")
+    text = F.when(F.pmod("change_id", F.lit(2)) == 0, F.date_format(d, "MMMM d, yyyy")).otherwise(F.coalesce(d.cast("string"), F.lit("unknown")))
+    raw = s.table("index_changes").withColumn("date", text)
+    clean = raw.select("change_id", un.lenient_date("date").alias("d"), un.symbol("added").alias("added"), un.symbol("removed").alias("removed")).where("d IS NOT NULL")
+    return clean.select("change_id", day("d", "date"), "added", "removed")
+
+
+@query(f"SELECT ticker, window_id, strftime(\"start\", '%Y-%m-%d') AS \"start\" FROM (SELECT {T.format('ticker')} ticker, window_id, \"start\" FROM membership) QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY window_id) = 1")
+def first_windows(s: Study) -> DataFrame:
+    return un.first_by_symbol(s.table("membership").select("ticker", "window_id", "start"), "window_id").select("ticker", "window_id", day("start"))
+
+
+@query(f"""SELECT ticker, CASE s WHEN 'ENERGY' THEN 'OIL AND GAS' ELSE s END sector FROM (SELECT ticker, coalesce(a.s, b.s) s FROM (SELECT {T.format('ticker')} ticker, min(nullif(upper(trim(sector)), '')) s FROM sector_map GROUP BY 1) a
+FULL JOIN (SELECT {T.format('ticker')} ticker, min(nullif(upper(trim(sector)), '')) s FROM crash_events GROUP BY 1) b USING (ticker)) WHERE ticker IS NOT NULL""")
+def sector_precedence(s: Study) -> DataFrame:
+    """The sector map first, then what the events say, one label renamed."""
+    return un.resolve_sectors(s.table("sector_map"), s.table("crash_events"), relabel={"ENERGY": "OIL AND GAS"})
+
+
 @query("SELECT count(*) n_rows, count(DISTINCT ticker) n_tickers, strftime(min(d), '%Y-%m-%d') first_date, strftime(max(d), '%Y-%m-%d') last_date, count(DISTINCT d) n_dates FROM px")
 def manifest_statistics(s: Study) -> DataFrame:
     p = pn.observed(s.table("prices"), s.calendar)

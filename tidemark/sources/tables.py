@@ -9,6 +9,8 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
+from tidemark.session import hadoop_path
+
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -36,3 +38,13 @@ def write_manifest(path: str, facts: dict) -> dict:
         json.dump(facts, f, indent=2, sort_keys=True, default=str)
     os.replace(f"{path}.part", path)
     return facts
+
+
+def ensure_folders(spark: SparkSession, base: str, *names: str) -> list[str]:
+    """Makes the folders below `base` that don't exist, on whatever file system it names; their paths."""
+    out = []
+    for name in names:
+        fs, path = hadoop_path(spark, f"{base}/{name}")
+        fs.mkdirs(path)
+        out.append(path.toString())
+    return out
