@@ -94,49 +94,51 @@ def _nanmedian(w: np.ndarray) -> np.ndarray:
     return np.where(n > 0, (lo + hi) / 2, np.nan)
 
 
-def _departures(x: np.ndarray, length: int) -> np.ndarray:
+def _departures(x: np.ndarray, length: int, medians: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
     """Signed, for each start of a run of `length` readings: the least distance
     of any of them to the levels before and after the run, 0 where these
     disagree in sign. At either end of a series the one level there is counts."""
     n = len(x) - length + 1
     if n <= 0:
         return np.zeros(0)
-    before, after = _medians(x)
+    before, after = _medians(x) if medians is None else medians
     b, a = before[:n], after[length - 1 :]
     b, a = np.where(np.isnan(b), a, b), np.where(np.isnan(a), b, a)
-    runs = np.lib.stride_tricks.sliding_window_view(x, length)
-    up = runs.min(axis=1) - np.maximum(a, b)
-    down = np.minimum(a, b) - runs.max(axis=1)
+    low = high = x[:n]
+    for k in range(1, length):
+        low, high = np.minimum(low, x[k : n + k]), np.maximum(high, x[k : n + k])
+    up, down = low - np.maximum(a, b), np.minimum(a, b) - high
     return np.nan_to_num(np.where(up > 0, up, np.where(down > 0, -down, 0.0)))
 
 
-def _runs(x: np.ndarray, cut: float, longest: int) -> list[tuple[int, int, float]]:
-    """(first, last, departure) of the runs of at most `longest` readings that leave
-    the level beyond `cut` and return at once: the jumps in and out both exceed
-    it, opposite in sign, and cancel to within half the smaller one. Where a
-    series begins or ends in the run, its one jump must be three times as large."""
-    out: list[tuple[int, int, float]] = []
+def _returns(x: np.ndarray, longest: int) -> np.ndarray:
+    """Rows (length, first, departure, limit) of all runs of at most
+    `longest` readings that leave the level and return at once: the jumps in and
+    out are opposite in sign and cancel to within half the smaller one. The limit is the cutoff up to
+    which the run counts. Where a series begins or ends in the run, its one jump must be three times as large."""
+    medians, out = _medians(x), []
     for length in range(1, longest + 1):
-        dep = _departures(x, length)
-        i = np.flatnonzero(np.abs(dep) > 0.6 * cut)
+        dep = _departures(x, length, medians)
+        i = np.flatnonzero(dep)
         j = i + length - 1
         sign, first, last = np.sign(dep[i]), i == 0, j == len(x) - 1
         before, after = x[np.maximum(i - 1, 0)], x[np.minimum(j + 1, len(x) - 1)]
         enter = np.where(first, np.inf, sign * (x[i] - before))
         leave = np.where(last, np.inf, sign * (x[j] - after))
-        least_jump = np.minimum(enter, leave)
-        ok = (least_jump > cut) & np.where(first | last, least_jump > 3 * cut, np.abs(after - before) <= 0.5 * least_jump)
-        out += zip(i[ok].tolist(), j[ok].tolist(), dep[i[ok]].tolist(), strict=True)
-    return out
+        jump = np.minimum(enter, leave)
+        ok = (jump > 0) & (first | last | (np.abs(after - before) <= 0.5 * jump))
+        limit = np.minimum(np.abs(dep[i]) / 0.6, np.where(first | last, jump / 3, jump))
+        out.append(np.column_stack([np.full(ok.sum(), length), i[ok], dep[i[ok]], limit[ok]]))
+    return np.concatenate(out)
 
 
 def _spikes(x: np.ndarray, risk: float, longest: int) -> tuple[np.ndarray, np.ndarray, float, bool]:
-    """Which readings lie in returning runs beyond the cutoff (see `_runs`), their
+    """Which readings lie in returning runs beyond the cutoff (see `_returns`), their
     departures, the cutoff, and whether the tail gave it (else QUIET did). The
     tail is fitted to the departures of the readings outside the runs found so
     far, until no more are found; the first fit is a robust one. The cutoff only falls, so what was found stays found."""
     hit, size, cut = np.zeros(len(x), bool), np.zeros(len(x)), np.inf
-    fitted = True
+    fitted, runs = True, _returns(x, longest)
     for k in range(FITS):
         clean = x[~hit]
         tail, floor = tail_cutoff(np.abs(_departures(clean, 1)), risk, robust=k == 0), QUIET * _scale(clean)
@@ -145,9 +147,10 @@ def _spikes(x: np.ndarray, risk: float, longest: int) -> tuple[np.ndarray, np.nd
         if not np.isfinite(cut):
             return hit, size, cut, fitted
         known = hit.copy()
-        for i, m, dep in _runs(x, cut, longest):
-            hit[i : m + 1] = True
-            size[i : m + 1] = np.where(np.abs(size[i : m + 1]) > abs(dep), size[i : m + 1], dep)
+        for length, i, dep, _ in runs[runs[:, 3] > cut].tolist():
+            own = slice(int(i), int(i + length))
+            hit[own] = True
+            size[own] = np.where(np.abs(size[own]) > abs(dep), size[own], dep)
         if k and (hit == known).all():
             break
     return hit, size, cut, fitted
