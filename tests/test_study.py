@@ -121,9 +121,11 @@ def test_cooldown_golden_and_greedy(spark):
 
 
 def test_outcomes_follow_the_event(spark, closes, calendar, panel, market, windows):
-    z = pn.with_zscore(ep.with_event_windows(panel, [1, 5, 20], 20, 20, 60), 60, 60)
-    cands = ep.candidates(z, windows, -3.0, DAYS[0], DAYS[-1])
-    ev = ep.cooldown(cands, 20).withColumnRenamed("z", "crash_z").withColumn("raw_return", F.col("ret")).withColumnRenamed("date", "event_date")
+    cands = ep.candidates(pn.with_zscore(panel, 60, 60), windows, -3.0, DAYS[0], DAYS[-1])
+    kept = ep.cooldown(cands, 20)
+    around = ep.surroundings(kept, panel, [1, 5, 20], 20, 20, [60]).withColumnRenamed("prior_volumes_60", "prior_volumes")
+    assert around.count() == kept.count() and ep.surroundings(kept.limit(0), panel, [1], 20, 20, [60]).count() == 0
+    ev = kept.join(around, ["ticker", "pos"]).withColumnRenamed("z", "crash_z").withColumn("raw_return", F.col("ret")).withColumnRenamed("date", "event_date")
     out = {(r.ticker, r.pos): r for r in ep.with_outcomes(ev, market, calendar, [1, 5, 20], 20).collect()}
     assert ("AAA", 200) in out and not [k for k in out if k[0] == "BBB" and k[1] >= 100]
     e, c = out[("AAA", 200)], closes["AAA"]

@@ -1,8 +1,8 @@
 """Event detection, episodes, forward outcomes, features: the event table.
 
-Everything an event needs from its ticker's series is a window over the panel,
-so candidates are a filter and the cooldown a fold over a ticker's few
-candidates: the panel is shuffled once and never joined to itself.
+Only the score is a window over the whole panel. Candidates are a filter, the
+cooldown a fold over a ticker's few candidates, and what an event needs from
+the days around it is gathered for events alone, by a join on (ticker, pos).
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.panel import MAX_DAYS, at_offset, expanding_percentile, prior, series, with_realised_vol
+from tidemark.operators.panel import MAX_DAYS, expanding_percentile
 from tidemark.operators.universe import eligible
 from tidemark.session import broadcast_within
 
@@ -64,24 +64,35 @@ def cooldown(cands: DataFrame, k: int | str, keys: Sequence[str] = ("ticker",))
     return folded.select(*keys, *[F.col(f"e.x.{c}").alias(c) for c in cols], F.col("e.n").alias("episode_length"))
 
 
-def with_event_windows(panel: DataFrame, horizons: Sequence[int], primary: int, cooldown_days: int, vol_window: int) -> DataFrame:
-    """All the quantities events take from their own series: forward closes,
-    extremes, the way back, pre-event closes, volatility."""
-    ahead = series().rangeBetween(1, primary)
-    x = panel.withColumn("prev_close", at_offset("close", -1))
-    for h in horizons:
-        x = x.withColumn(f"close_p{h}", at_offset("close", h))
-    for w in MOMENTA:
-        x = x.withColumn(f"close_m{w}", at_offset("close", -1 - w))
-    x = (
-        x.withColumn("hi_ahead", F.max("close").over(ahead)).withColumn("lo_ahead", F.min("close").over(ahead))
-        .withColumn("way", F.collect_list(F.struct("pos", "close")).over(ahead))
-        .withColumn("episode_min_return", F.min("ret").over(series().rangeBetween(0, cooldown_days - 1)))
-    )
+#: Events whose surroundings may be broadcast: some 150 narrow rows each.
+FEW = 5_000
+
+
+def surroundings(events: DataFrame, panel: DataFrame, horizons: Sequence[int], primary: int, cooldown_days: int, vol_windows: Sequence[int]) -> DataFrame:
+    """`ticker, pos` of `events` (also `close, prev_close`; one row each) and all
+    they take from their own series: forward closes, extremes, the first day the
+    close is back, pre-event closes, volatility, prior volumes per window. Only
+    the days asked for are looked up; a day without a row gives nulls."""
+    lags = [-1 - w for w in MOMENTA]
+    longest = max(60, *vol_windows)
+    days = sorted({*range(-longest, cooldown_days), *range(1, primary + 1), *horizons, *lags})
+    pre = F.when(F.col("pos") > 0, F.col("prev_close")).otherwise(F.col("close"))
+    asked = events.select("ticker", "pos", pre.alias("_pre"), F.explode(F.array(*map(F.lit, days))).alias("_off")).withColumn("_at", F.col("pos") + F.col("_off"))
+    there = panel.select("ticker", F.col("pos").alias("_at"), F.col("close").alias("_close"), F.col("ret").alias("_ret"), F.col("volume").alias("_volume"))
+    x = there.join(broadcast_within(asked, FEW * len(days)), ["ticker", "_at"])
+    off = F.col("_off")
+    at = lambda k: F.max(F.when(off == k, F.col("_close")))
+    ahead, after = off.between(1, primary), off.between(0, cooldown_days - 1)
+    aggs = [at(h).alias(f"close_p{h}") for h in horizons] + [at(k).alias(f"close_m{w}") for w, k in zip(MOMENTA, lags, strict=True)]
+    aggs += [
+        F.max(F.when(ahead, F.col("_close"))).alias("hi_ahead"), F.min(F.when(ahead, F.col("_close"))).alias("lo_ahead"),
+        F.min(F.when(ahead & (F.col("_close") >= F.col("_pre")), F.col("_at"))).alias("regained_pos"), F.min(F.when(after, F.col("_ret"))).alias("episode_min_return"),
+    ]
     for w in (20, 60):
-        x = with_realised_vol(x, w, f"rv_{w}")
-    traded = F.when(F.col("volume") > 0, F.col("volume"))
-    return x.withColumn("prior_volumes", F.collect_list(traded).over(prior(vol_window)))
+        own = F.when(off.between(-w, -1), F.col("_ret"))
+        aggs.append(F.when(F.count(own) >= max(10, w // 2), F.stddev_samp(own) * F.sqrt(F.lit(252.0))).alias(f"rv_{w}"))
+    aggs += [F.collect_list(F.when(off.between(-w, -1) & (F.col("_volume") > 0), F.col("_volume"))).alias(f"prior_volumes_{w}") for w in vol_windows]
+    return x.groupBy("ticker", "pos").agg(*aggs)
 
 
 def with_outcomes(ev: DataFrame, market: DataFrame, calendar: DataFrame, horizons: Sequence[int], primary: int) -> DataFrame:
@@ -93,28 +104,29 @@ def with_outcomes(ev: DataFrame, market: DataFrame, calendar: DataFrame, horizon
         x = x.withColumn(f"car_{h}", F.col(f"fwd_ret_{h}") - F.col(f"bench_ret_{h}"))
     known = F.col(f"car_{primary}").isNotNull()
     pre = F.when(F.col("pos") > 0, F.col("prev_close")).otherwise(F.col("close"))
-    first = F.array_min(F.transform(F.filter("way", lambda p: p["close"] >= F.col("precrash_close")), lambda p: p["pos"]))
     return (
         x.withColumn(f"mfe_{primary}", F.col("hi_ahead") / F.col("close") - 1).withColumn(f"mae_{primary}", F.col("lo_ahead") / F.col("close") - 1)
         .withColumn("precrash_close", pre)
         .withColumn(f"regained_precrash_{primary}", F.when(known, F.coalesce(F.col("hi_ahead") >= F.col("precrash_close"), F.lit(False)).cast("double")))
-        .withColumn("days_to_recovery", (first - F.col("pos")).cast("int"))
+        .withColumn("days_to_recovery", (F.col("regained_pos") - F.col("pos")).cast("int"))
         .withColumn(f"recovered_{primary}d", F.when(known, (F.col(f"car_{primary}") > 0).cast("double")))
         .withColumn(f"complete_{primary}", known)
         .drop("b0", *[f"b{h}" for h in horizons])
     )
 
 
-def with_features(ev: DataFrame, market: DataFrame, calendar: DataFrame, sectors: DataFrame, sector_rets: DataFrame, market_cut: DataFrame, sector_cut: DataFrame, vol_window: int) -> DataFrame:
+def with_features(ev: DataFrame, market: DataFrame, calendar: DataFrame, sectors: DataFrame, sector_rets: DataFrame, market_cut: DataFrame, sector_cut: DataFrame, vol_window: int | str) -> DataFrame:
     """Event-time features and the crash type. `sectors`: ticker, sector;
-    `sector_rets`: sector, pos, sector_ret; the cuts are expanding percentiles."""
+    `sector_rets`: sector, pos, sector_ret; the cuts are expanding percentiles.
+    `vol_window` may name a column."""
+    window = F.col(vol_window) if isinstance(vol_window, str) else F.lit(vol_window)
     n, v = F.size("prior_volumes"), F.array_sort("prior_volumes")
     mid = (F.element_at(v, F.floor((n + 1) / 2).cast("int")) + F.element_at(v, F.floor(n / 2).cast("int") + 1)) / 2
     vol = F.when(F.col("volume") > 0, F.col("volume"))
     x = (
         ev.withColumn("abs_decline", F.abs("raw_return")).withColumn("hl_range", (F.col("high") - F.col("low")) / F.col("prev_close"))
         .withColumn("volume", vol).withColumn("log_volume", F.log("volume"))
-        .withColumn("med_volume_60", F.when(n >= max(20, vol_window // 3), mid)).withColumn("avol", F.log("volume") - F.log("med_volume_60"))
+        .withColumn("med_volume_60", F.when(n >= F.greatest(F.lit(20), F.floor(window / 3)), mid)).withColumn("avol", F.log("volume") - F.log("med_volume_60"))
     )
     for w in MOMENTA:
         x = x.withColumn(f"mom_{w}", F.col("prev_close") / F.col(f"close_m{w}") - 1)

@@ -52,8 +52,8 @@ def at_offset(value: str, offset: int) -> Column:
 
 
 def with_returns(panel: DataFrame) -> DataFrame:
-    """Adds `ret`: close over the close one calendar row before, less one; null across a hole."""
-    return panel.withColumn("ret", F.col("close") / at_offset("close", -1) - 1)
+    """Adds `prev_close`, the close one calendar row before, and `ret`, the close over it less one; null across a hole."""
+    return panel.withColumn("prev_close", at_offset("close", -1)).withColumn("ret", F.col("close") / F.col("prev_close") - 1)
 
 
 def prior(window: int):

@@ -427,16 +427,15 @@ def grid_events(s: Study) -> DataFrame:
     s.stored = True
     g = s.config.get
     thresholds, windows, cooldowns = g("robustness.z_thresholds"), g("robustness.vol_windows"), g("robustness.cooldowns")
-    by = {}
-    for w in windows:
-        wide = ep.with_event_windows(s.panel, g("robustness.horizons"), H, 1, w).drop("way", "episode_min_return")
-        by[w] = s.candidates(max(thresholds), w, wide)
-    kept = ep.cooldown(gr.grid_candidates(by, thresholds, cooldowns), "cooldown", [*gr.SPEC, "ticker"])
-    kept = kept.withColumnRenamed("z", "crash_z").withColumn("raw_return", F.col("ret")).withColumnRenamed("date", "event_date").withColumn("way", F.array().cast("array<struct<pos:int,close:double>>"))
-    out = ep.with_outcomes(kept, s.market, s.calendar, g("robustness.horizons"), H)
-    # The median of prior volumes asks for a third of each specification's own window.
-    parts = [ep.with_features(out.where(F.col("vol_window") == w), s.market, s.calendar, s.sectors, s.sector_rets, *s.cuts, w) for w in windows]
-    return written(reduce(DataFrame.unionByName, parts).drop("prior_volumes", "way"), "grid-events")
+    by = {w: s.candidates(max(thresholds), w) for w in windows}
+    kept = written(ep.cooldown(gr.grid_candidates(by, thresholds, cooldowns), "cooldown", [*gr.SPEC, "ticker"]), "grid-episodes")
+    # An event has the same surroundings in every specification.
+    around = ep.surroundings(kept.select("ticker", "pos", "close", "prev_close").distinct(), s.panel, g("robustness.horizons"), H, 1, windows).drop("episode_min_return")
+    volumes = reduce(lambda x, w: x.when(F.col("vol_window") == w, F.col(f"prior_volumes_{w}")), windows, F)
+    x = kept.join(around, ["ticker", "pos"]).withColumn("prior_volumes", volumes).drop(*[f"prior_volumes_{w}" for w in windows])
+    x = x.withColumnRenamed("z", "crash_z").withColumn("raw_return", F.col("ret")).withColumnRenamed("date", "event_date")
+    x = ep.with_outcomes(x, s.market, s.calendar, g("robustness.horizons"), H)
+    return written(ep.with_features(x, s.market, s.calendar, s.sectors, s.sector_rets, *s.cuts, "vol_window").drop("prior_volumes"), "grid-events")
 
 
 def _grid(s: Study) -> DataFrame:

@@ -19,9 +19,9 @@ from tidemark.sources import read_table
 class Study:
     """Builds the panel once; events for any overridden specification.
 
-    With `stored` (set by the first call for features) the prices as last
-    delivered, the market and the sector series are written to the shared folder
-    and read from there: the event table needs them several times over.
+    With `stored` (set by the first call for events and what surrounds them) the
+    prices as last delivered, the returns, the market and the sector series are written to the
+    shared folder and read from there: the event table needs them several times over.
     """
 
     def __init__(self, spark: SparkSession, folder: str, config: Config | None = None):
@@ -48,7 +48,7 @@ class Study:
 
     @cached_property
     def panel(self) -> DataFrame:
-        return pn.with_returns(self.prices)
+        return self._kept(pn.with_returns(self.prices), "panel")
 
     @cached_property
     def market(self) -> DataFrame:
@@ -91,9 +91,14 @@ class Study:
         c = self.config
         k = cooldown or c.get("events.cooldown")
         w = window or c.get("events.vol_window")
-        panel = ep.with_event_windows(self.panel, c.get("outcomes.horizons"), c.get("outcomes.primary"), k, w) if wide else self.panel
-        kept = ep.cooldown(self.candidates(z, window, panel), k).withColumnRenamed("z", "crash_z")
-        kept = kept.withColumn("event_id", F.concat_ws("_", "ticker", F.date_format("date", "yyyy-MM-dd"))).withColumnRenamed("date", "event_date").withColumn("raw_return", F.col("ret"))
+        if wide:
+            self.stored = True
+        kept = ep.cooldown(self.candidates(z, window), k)
+        if wide:
+            kept = written(kept, "episodes")  # few rows beside the panel, asked for twice
+            around = ep.surroundings(kept, self.panel, c.get("outcomes.horizons"), c.get("outcomes.primary"), k, [w])
+            kept = kept.join(around.withColumnRenamed(f"prior_volumes_{w}", "prior_volumes"), ["ticker", "pos"])
+        kept = kept.withColumnRenamed("z", "crash_z").withColumn("event_id", F.concat_ws("_", "ticker", F.date_format("date", "yyyy-MM-dd"))).withColumnRenamed("date", "event_date").withColumn("raw_return", F.col("ret"))
         last = self.calendar.agg(F.max("pos").alias("top"))
         ends = self.calendar.select(F.col("pos").alias("end_pos"), F.col("date").alias("episode_end_date"))
         kept = kept.crossJoin(F.broadcast(last)).withColumn("end_pos", F.least(F.col("pos") + (k - 1), F.col("top"))).drop("top")  # one row
