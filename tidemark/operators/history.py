@@ -3,8 +3,8 @@
 Each stream is stored co-partitioned by entity and sorted by (entity, time), in
 blocks of rows. One task per partition merges the k streams as iterators with a
 heap of cursors and emits a version whenever the payload changes. At any moment
-it holds at most the current block of each stream and the open version, never
-an entity's history.
+it holds one Arrow batch of packed blocks (Spark bounds it in rows and bytes),
+the unpacked block each stream is at and the open version, never an entity's history.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BLOCK_ROWS = 4096
+BLOCK_ROWS = 512
 _BLOCK = "bucket int, stream int, k0 string, t0 long, k array<string>, t array<long>, o array<long>, v array<string>"
 _VERSION = "k string, v string, valid_from long, valid_to long"
 
@@ -126,21 +126,22 @@ def version_history(
     `o`, then by the later stream in the list. `before_first` may give (time,
     payload) of what held before a key's first update that counts. Rows without key or time
     are left out. Streams should hold at most one row per key, time and payload
-    (aggregate before), so a key's rows are bounded by its distinct times.
+    (aggregate before), so a key's rows are bounded by its distinct times. Keys
+    are dealt to `partitions` buckets, by default as many as shuffles have.
     """
     spark = streams[0].sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     blocks = [
         s.where("k IS NOT NULL AND t IS NOT NULL")
         .select(F.pmod(F.xxhash64("k"), F.lit(n)).cast("int").alias("bucket"), "k", "t", F.coalesce("o", F.lit(0)).alias("o"), "v")
-        .repartition(n, "bucket")
+        .repartitionById(n, F.col("bucket"))
         .sortWithinPartitions("bucket", "k", "t", "o")
         .mapInPandas(_to_blocks(i), _BLOCK)
         for i, s in enumerate(streams)
     ]
     return (
         reduce(DataFrame.unionByName, blocks)
-        .repartition(n, "bucket")
+        .repartitionById(n, F.col("bucket"))
         .sortWithinPartitions("bucket", "k0", "t0", "stream")
         .mapInPandas(_versions(before_first, open_end), _VERSION)
     )

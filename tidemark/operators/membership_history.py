@@ -13,6 +13,8 @@ from tidemark.operators.history import version_history
 EPOCH = datetime.date(1970, 1, 1)
 FLOOR = datetime.date(2005, 6, 1)
 OPEN = datetime.date(9999, 12, 31)
+#: Log entries that one task merges, if shuffles have tasks enough.
+ROWS_A_TASK = 10_000
 
 
 def last_deliveries(log: DataFrame) -> DataFrame:
@@ -44,9 +46,12 @@ def status_history(log: DataFrame, floor: datetime.date = FLOOR) -> DataFrame:
         )
 
     since = (floor - EPOCH).days
+    # Few rows need few tasks: every entry has at most two sides.
+    most = int(log.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(1, min(most, -(-log.count() // ROWS_A_TASK)))
     found = version_history(
         [stream("removed", "out"), stream("added", "member")], (OPEN - EPOCH).days,
-        lambda status: (since, "member") if status == "out" else None,
+        lambda status: (since, "member") if status == "out" else None, buckets,
     )
     day = lambda c: F.date_from_unix_date(F.col(c).cast("int")).alias(c)
     return found.select(F.col("k").alias("ticker"), F.col("v").alias("status"), day("valid_from"), day("valid_to"))
