@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 
-from tidemark.llm.truncation import Closings, ends_inside, features, fit, length_limits, score, source_rates, truncated
+from tidemark.llm.truncation import Closings, ends_inside, features, fit, length_limits, own_rows, score, source_rates, truncated
 
 SCHEMA = "doc_id bigint, source string, text string, raw binary, declared_charset string, tail string, n int, score double, fold int"
 WORDS = "market harbour quiet ledger auction narrow table report steady index keeper river cement group window early volatile spread".split()
@@ -88,7 +88,7 @@ def test_held_out_accuracy_of_the_classifier():
         y.append(1.0)
     y, n, gap = np.array(y), np.array([len(t) for t in tails]), np.full(len(tails), -1)
     c = Closings([t for t, v in zip(tails[:2000], y, strict=False) if v == 0])
-    w = fit(tails[:2000], n[:2000], gap[:2000], y[:2000], c)
-    p = score((w, c), tails[2000:], n[2000:], gap[2000:])
+    own = own_rows(tails, n, gap)
+    p = score((fit(own[:2000], y[:2000], c), c), own[2000:])
     assert ((p > 0.5) == (y[2000:] > 0.5)).mean() > 0.95
     assert features("", 0, -1, c) and features("\ud800", 1, 0, c)

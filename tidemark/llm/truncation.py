@@ -124,8 +124,16 @@ class Closings:
         return self._level(self.words[0, w], self.words[1, w]), self._level(self.signs[0, c], self.signs[1, c])
 
 
-def features(tail: str, n_chars: int, limit_gap: int, closings: Closings) -> list[int]:
-    """Hashed features of one record. `limit_gap`: characters below a limit, -1 if none is near."""
+_MASK = (1 << BITS) - 1
+
+
+def _hashed(names: list[str]) -> list[int]:
+    return [zlib.crc32(x.encode("utf-8", "surrogatepass")) & _MASK for x in names]
+
+
+def own_features(tail: str, n_chars: int, limit_gap: int) -> tuple[list[int], tuple]:
+    """Hashed features of one record that need nothing but the record, and what
+    `closing_features` needs. `limit_gap`: characters below a limit, -1 if none is near."""
     bare = _DOTS.sub("", tail.rstrip())
     dots = len(bare) < len(tail.rstrip())
     line = bare.rsplit("\n", 1)[-1]
@@ -139,15 +147,25 @@ def features(tail: str, n_chars: int, limit_gap: int, closings: Closings) -> lis
         "bias", f"end={end}", f"kind={kind}", f"dots={dots}", f"dots={dots},{gap}", f"gap={gap}", f"gap={gap},{kind}", f"space={tail[-1:].isspace()}",
         f"word={last}", f"size={min(len(letters), 12)},{kind}", f"words={min(len(words), 14)},{kind}", f"short={n_chars < 60}",
         f"inner={any(w[-1] in '.!?。؟' for w in words[:-1])},{kind}", f"sign={'·' in line},{'|' in line},{'—' in line},{'%' in line}",
-        f"first={words[0][:1].isupper() if words else ''},{kind},{min(len(words), 9)}",
+        f"first={words[0][:1].isupper() if words else ''},{kind},{min(len(words), 9)}", f"tag={'<' in bare[-12:]}", f"broken={'\ufffd' in bare[-2:]}",
     ]
     f += _structure(bare, line, words, kind)
-    word_level, sign_level = closings.levels(last.strip(_PUNCT), bare[-3:])
-    f += [f"known={word_level},{kind}", f"known={word_level},{gap}", f"signs={sign_level},{kind}", f"both={word_level},{sign_level},{kind}", f"tag={'<' in bare[-12:]}", f"broken={'\ufffd' in bare[-2:]}"]
     f += [f"c{k}={bare[-k:]}" for k in (2, 3, 4, 5, 6, 8)]
     f += [f"w2={' '.join(words[-2:])}", f"w3={' '.join(words[-3:])}"] if len(words) > 1 else []
-    mask = (1 << BITS) - 1
-    return [zlib.crc32(x.encode("utf-8", "surrogatepass")) & mask for x in f]
+    return _hashed(f), (last.strip(_PUNCT), bare[-3:], kind, gap)
+
+
+def closing_features(ends: tuple, closings: Closings) -> list[int]:
+    """Hashed features of how often a record's last word and signs close a line."""
+    word, signs, kind, gap = ends
+    word_level, sign_level = closings.levels(word, signs)
+    return _hashed([f"known={word_level},{kind}", f"known={word_level},{gap}", f"signs={sign_level},{kind}", f"both={word_level},{sign_level},{kind}"])
+
+
+def features(tail: str, n_chars: int, limit_gap: int, closings: Closings) -> list[int]:
+    """All hashed features of one record."""
+    own, ends = own_features(tail, n_chars, limit_gap)
+    return own + closing_features(ends, closings)
 
 
 def _structure(bare: str, line: str, words: list[str], kind: str) -> list[str]:
@@ -170,15 +188,19 @@ def _structure(bare: str, line: str, words: list[str], kind: str) -> list[str]:
     ]
 
 
-def feature_rows(tails: list[str], n_chars: np.ndarray, gaps: np.ndarray, closings: Closings) -> tuple[np.ndarray, np.ndarray]:
-    """All features end to end, and the row of each."""
-    rows = [features(t, int(n), int(g), closings) for t, n, g in zip(tails, n_chars, gaps, strict=True)]
+def feature_rows(own: list[tuple[list[int], tuple]], closings: Closings) -> tuple[np.ndarray, np.ndarray]:
+    """All features end to end, and the row of each, from the records' own ones."""
+    rows = [f + closing_features(ends, closings) for f, ends in own]
     return np.fromiter((x for r in rows for x in r), np.int64), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
 
 
-def fit(tails: list[str], n_chars: np.ndarray, gaps: np.ndarray, y: np.ndarray, closings: Closings, epochs: int = 12, rate: float = 0.15, l2: float = 1e-5, seed: int = 7) -> np.ndarray:
+def own_rows(tails: list[str], n_chars: np.ndarray, gaps: np.ndarray) -> list[tuple[list[int], tuple]]:
+    return [own_features(t, int(n), int(g)) for t, n, g in zip(tails, n_chars, gaps, strict=True)]
+
+
+def fit(own: list[tuple[list[int], tuple]], y: np.ndarray, closings: Closings, epochs: int = 12, rate: float = 0.15, l2: float = 1e-5, seed: int = 7) -> np.ndarray:
     """Logistic regression by Adagrad over shuffled minibatches."""
-    idx, row = feature_rows(tails, n_chars, gaps, closings)
+    idx, row = feature_rows(own, closings)
     start = np.searchsorted(row, np.arange(len(y) + 1))
     w, g2 = np.zeros(1 << BITS), np.full(1 << BITS, 1e-6)
     rng = np.random.default_rng(seed)
@@ -197,10 +219,10 @@ def fit(tails: list[str], n_chars: np.ndarray, gaps: np.ndarray, y: np.ndarray,
     return w
 
 
-def score(model: tuple[np.ndarray, Closings], tails: list[str], n_chars: np.ndarray, gaps: np.ndarray) -> np.ndarray:
+def score(model: tuple[np.ndarray, Closings], own: list[tuple[list[int], tuple]]) -> np.ndarray:
     w, closings = model
-    idx, row = feature_rows(tails, n_chars, gaps, closings)
-    return 1 / (1 + np.exp(-np.bincount(row, w[idx], len(tails)))) if len(tails) else np.zeros(0)
+    idx, row = feature_rows(own, closings)
+    return 1 / (1 + np.exp(-np.bincount(row, w[idx], len(own)))) if own else np.zeros(0)
 
 
 def fit_folds(made: pd.DataFrame) -> list[tuple[np.ndarray, Closings]] | None:
@@ -209,6 +231,8 @@ def fit_folds(made: pd.DataFrame) -> list[tuple[np.ndarray, Closings]] | None:
     first round finds the records taken for intact that look cut; the second
     does without them."""
     tails, n, gap, y, fold = made["tail"].to_numpy(), made["n"].to_numpy(), made["limit_gap"].to_numpy(), made["y"].to_numpy(float), made["fold"].to_numpy()
+    own = own_rows(tails.tolist(), n, gap)
+    pick = lambda at: [own[i] for i in at]
     keep = np.ones(len(made), bool)
     models: list[tuple[np.ndarray, Closings]] = []
     for _ in range(2):
@@ -218,10 +242,10 @@ def fit_folds(made: pd.DataFrame) -> list[tuple[np.ndarray, Closings]] | None:
             if len(np.unique(y[use])) < 2:
                 return None
             closings = Closings(tails[use][y[use] == 0].tolist())
-            models.append((fit(tails[use].tolist(), n[use], gap[use], y[use], closings), closings))
+            models.append((fit(pick(use), y[use], closings), closings))
         for k in (0, 1):
-            own = np.flatnonzero((fold == k) & (y == 0))
-            keep[own] = score(models[k], tails[own].tolist(), n[own], gap[own]) < 0.5
+            whole = np.flatnonzero((fold == k) & (y == 0))
+            keep[whole] = score(models[k], pick(whole)) < 0.5
     return models
 
 
@@ -330,7 +354,7 @@ def scored_records(docs: DataFrame, sample_rows: int = 12_000) -> DataFrame:
             s = np.zeros(len(b))
             for k, model in enumerate(fitted):
                 at = np.flatnonzero((b["n"] > 0) & (b["fold"] == k))
-                s[at] = score(model, b["tail"].iloc[at].tolist(), b["n"].to_numpy()[at], b["limit_gap"].to_numpy()[at])
+                s[at] = score(model, own_rows(b["tail"].iloc[at].tolist(), b["n"].to_numpy()[at], b["limit_gap"].to_numpy()[at]))
             yield pd.DataFrame({"doc_id": b["doc_id"], "source": b["source"], "h": b["h"], "score": s})
 
     rows = docs.select(
