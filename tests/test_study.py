@@ -4,6 +4,7 @@ import datetime as dt
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -201,3 +202,36 @@ def test_coverage_and_sectors(spark):
     s = lambda rows: spark.createDataFrame(rows, "ticker string, sector string")
     got = {r.ticker: r.sector for r in un.resolve_sectors(s([("a.b", None), ("C", " ")]), s([("A-B", "tech "), ("C", "Oil"), (None, "X")]), relabel={"OIL": "ENERGY"}).collect()}
     assert got == {"A-B": "TECH", "C": "ENERGY"}
+
+
+def test_lenient_dates_and_clean_log(spark):
+    raw = spark.createDataFrame([("2012-01-10", " ccc ", None), ("June 1, 2018", "aaa", "CCC"), ("Mar 2, 2020", "nan", "ddd.b"), ("03/02/2020", "", "x"), ("2 March 2020", "y", " "), ("2015-05-05 10:11:12", "z", None), ("soon", "a", "b"), (None, "a", "b"), ("13/45/2020", "a", "b")], "date string, added string, removed string")
+    got = [(str(r.date), r.added, r.removed) for r in un.clean_changes(raw).collect()]
+    key = lambda t: tuple("" if v is None else v for v in t)
+    assert sorted(got, key=key) == sorted([("2012-01-10", "CCC", None), ("2015-05-05", "Z", None), ("2018-06-01", "AAA", "CCC"), ("2020-03-02", None, "DDD-B"), ("2020-03-02", None, "X"), ("2020-03-02", "Y", None)], key=key)
+    assert un.clean_changes(raw.limit(0)).count() == 0
+
+
+def test_first_row_of_a_symbol(spark):
+    rows = spark.createDataFrame([("a.b", 2, "later"), (" A-B", 1, "first"), ("A.B", None, "never"), (None, 0, "none"), ("nan", 0, "none"), ("c", None, "only")], "ticker string, n int, _order string")
+    assert sorted((r.ticker, r.n, r._order) for r in un.first_by_symbol(rows, "n").collect()) == [("A-B", 1, "first"), ("C", None, "only")]
+
+
+def test_folders_are_made_once(spark, tmp_path):
+    from tidemark.sources import ensure_folders
+
+    for _ in range(2):
+        assert len(ensure_folders(spark, f"file://{tmp_path}", "results/tables", "results/metrics")) == 2
+    assert (tmp_path / "results" / "tables").is_dir()
+
+
+def test_regression_cells_without_a_solution_have_nulls(spark):
+    from tidemark.operators import grid as gr
+
+    rng = np.random.default_rng(0)
+    rows = [(-3.0, 60, c, 20, float(rng.normal()), float(rng.normal()) if c != 10 else 1.0, float(rng.normal()) if c != 20 or i < 2 else None) for c, n in ((5, 40), (10, 40), (20, 40), (40, 5)) for i in range(n)]
+    df = spark.createDataFrame(rows, "z_threshold double, vol_window int, cooldown int, horizon int, car double, x1 double, x2 double")
+    got = {r.cooldown: r for r in gr.grid_regressions(df, ("x1", "x2"), ("x1",), 20).collect()}
+    assert set(got) == {5, 10, 20}  # the gate counts outcomes, not complete rows
+    assert got[5].beta_x1 is not None and 0 <= got[5].p_x1 <= 1
+    assert got[10].beta_x1 is None and got[10].ols_adj_r2 is None and got[20].p_x1 is None

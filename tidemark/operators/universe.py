@@ -32,8 +32,9 @@ def first_by_symbol(rows: DataFrame, order: str, ticker: str = "ticker") -> Data
     """One row per symbol, the first by `order` (nulls last; of equals the least
     row), its symbol in normal form. Rows that name no symbol are left out."""
     others = [c for c in rows.columns if c != ticker]
-    x = rows.select(symbol(ticker).alias(ticker), F.struct(F.col(order).isNull().alias("_none"), F.col(order).alias("_order"), *others).alias("_x")).where(F.col(ticker).isNotNull())
-    return x.groupBy(ticker).agg(F.min("_x").alias("_x")).select(ticker, *[F.col(f"_x.{c}").alias(c) for c in others])
+    row = F.struct(F.struct(F.col(order).isNull(), F.col(order)).alias("first"), F.struct(*others).alias("row"))
+    x = rows.select(symbol(ticker).alias("k"), row.alias("x")).where("k IS NOT NULL").groupBy("k").agg(F.min("x").alias("x"))
+    return x.select(F.col("k").alias(ticker), *[F.col("x.row")[c].alias(c) for c in others])
 
 
 def membership_windows(current: DataFrame, changes: DataFrame, floor: datetime.date, ceiling: datetime.date) -> DataFrame:
