@@ -7,7 +7,7 @@ the days around it is gathered for events alone, by a join on (ticker, pos).
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -180,9 +180,10 @@ def car_path(ev: DataFrame, panel: DataFrame, market: DataFrame, calendar: DataF
     return x.select("event_id", "tau", ((F.col("pt") / F.col("p0") - 1) - (F.col("bt") / F.col("b0") - 1)).alias("car"))
 
 
-def percentile_cuts(market: DataFrame, sector_rets: DataFrame, pctile: float, min_periods: int) -> tuple[DataFrame, DataFrame]:
-    """(`pos, market_cut`, `sector, pos, sector_cut`): expanding low percentiles of strictly prior returns."""
+def percentile_cuts(market: DataFrame, sector_rets: DataFrame, pctile: float, min_periods: int, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> tuple[DataFrame, DataFrame]:
+    """(`pos, market_cut`, `sector, pos, sector_cut`): expanding low percentiles of
+    strictly prior returns. `keep` may store the table both are read from."""
     one = market.select(F.lit("market").alias("k"), "pos", "market_ret")
     both = one.unionByName(sector_rets.select(F.concat(F.lit("s:"), "sector").alias("k"), "pos", F.col("sector_ret").alias("market_ret")))
-    cuts = expanding_percentile(both, "k", "market_ret", pctile / 100, min_periods)
+    cuts = keep(expanding_percentile(both, "k", "market_ret", pctile / 100, min_periods))
     return cuts.where("k = 'market'").select("pos", F.col("cut").alias("market_cut")), cuts.where("k <> 'market'").select(F.expr("substring(k, 3)").alias("sector"), "pos", F.col("cut").alias("sector_cut"))

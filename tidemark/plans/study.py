@@ -20,7 +20,7 @@ class Study:
     """Builds the panel once; events for any overridden specification.
 
     With `stored` (set by the first call for events and what surrounds them) the
-    prices as last delivered, the returns, the market and the sector series are written to the
+    prices as last delivered with their returns, the market and the sector series are written to the
     shared folder and read from there: the event table needs them several times over.
     """
 
@@ -40,15 +40,17 @@ class Study:
 
     @cached_property
     def _split(self) -> tuple[DataFrame, DataFrame]:
-        return pn.split_market(self._kept(pn.observed(self.table("prices"), self.calendar), "observed"), self.config.get("benchmarks.market"))
+        # One table of all symbols with their returns; who needs only prices has the windows pruned.
+        rows = pn.with_returns(pn.observed(self.table("prices"), self.calendar))
+        return pn.split_market(self._kept(rows, "panel"), self.config.get("benchmarks.market"))
 
     @cached_property
     def prices(self) -> DataFrame:
-        return self._split[0]
+        return self._split[0].drop("prev_close", "ret")
 
     @cached_property
     def panel(self) -> DataFrame:
-        return self._kept(pn.with_returns(self.prices), "panel")
+        return self._split[0]
 
     @cached_property
     def market(self) -> DataFrame:
@@ -77,7 +79,7 @@ class Study:
     @cached_property
     def cuts(self) -> tuple[DataFrame, DataFrame]:
         c = self.config
-        return ep.percentile_cuts(self.market, self.sector_rets, c.get("crash_type.benchmark_pctile"), c.get("crash_type.min_periods"))
+        return ep.percentile_cuts(self.market, self.sector_rets, c.get("crash_type.benchmark_pctile"), c.get("crash_type.min_periods"), lambda df: self._kept(df, "cuts"))
 
     def candidates(self, z: float | None = None, window: int | None = None, panel: DataFrame | None = None) -> DataFrame:
         c = self.config
