@@ -14,6 +14,7 @@ from tidemark.operators.membership_history import status_history
 from tidemark.operators.quality_profile import ValueCountStore, damaged_columns, profile
 from tidemark.operators.regular_grid import regular_grid, session_readings
 from tidemark.operators.spikes import implausible_readings
+from tidemark.plans.profile_sql import damaged
 from tidemark.sources import read_table
 
 
@@ -74,6 +75,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 _TICKER = "upper(replace(trim({0}),'.','-'))"
 
+_NUMBERS = (
+    "pos", "crash_z", "raw_return", "abs_decline", "hl_range", "volume", "log_volume", "med_volume_60", "avol", "mom_5", "mom_20", "mom_60", "mom_252", "rv_20", "rv_60", "rv_ratio",
+    "spy_ret_event", "spy_mom_20", "vix", "vix_chg", "sector_ret_event", "excess_vs_sector", "fwd_ret_20", "bench_ret_20", "car_20",
+)
+
 SQL: dict[str, str] = {
     "p1_found": f"""
 WITH w AS (SELECT {_TICKER.format('ticker')} ticker, "start" s, coalesce("end", DATE '9999-12-31') e FROM membership),
@@ -117,6 +123,7 @@ f AS (SELECT m.*, s.pos p, (s.pos - x) / h t FROM m JOIN s ON s.pos > x AND s.po
 g AS (SELECT ticker, p pos, CASE WHEN h <= 11 THEN y * (1 + 2 * t) * (1 - t) * (1 - t) + h * mb * t * (1 - t) * (1 - t) + yc * t * t * (3 - 2 * t) + h * mc * t * t * (t - 1) END y, CASE WHEN h <= 11 THEN 'filled' ELSE 'marked' END status FROM f),
 a AS (SELECT ticker, pos, y, 'observed' status FROM r WHERE y IS NOT NULL UNION ALL SELECT * FROM g)
 SELECT b.ticker, strftime(s.d, '%Y-%m-%d') session, round(a.y, 4) "close", coalesce(a.status, 'marked') status FROM b JOIN s ON s.pos BETWEEN lo AND hi LEFT JOIN a ON a.ticker = b.ticker AND a.pos = s.pos""",
+    "p4_found": damaged(_NUMBERS, ("event_date",), ("event_id", "ticker", "sector", "crash_type", "complete_20")),
     "p4_profile": """
 WITH u AS (UNPIVOT (SELECT load_id, COLUMNS(lambda c: c NOT IN ('load_id', 'loaded_at'))::VARCHAR FROM crash_events) ON COLUMNS(* EXCLUDE (load_id)) INTO NAME column_name VALUE v0),
 k AS (SELECT load_id, count(*) n FROM crash_events GROUP BY 1),
