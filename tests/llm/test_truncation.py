@@ -46,6 +46,8 @@ def test_finds_cut_texts(spark):
     assert len(got - cut) <= 0.05 * len(cut)
     alone = {r.doc_id for r in truncated(df, check_body=False).where("truncated").collect()}
     assert len(alone & cut) >= 0.93 * len(cut) and len(alone - cut) <= 0.1 * len(cut) and got <= alone
+    again = truncated(df.repartition(7, "text"), check_body=False)
+    assert {r.doc_id for r in again.where("truncated").collect()} == alone
     limits = {(r.source, r.measure, r.limit) for r in length_limits(df).collect()}
     assert ("a", "chars", 500) in limits and not [x for x in limits if x[0] == "b"]
     rates = {r.source: r for r in source_rates(out).collect()}

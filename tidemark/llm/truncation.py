@@ -84,28 +84,45 @@ class Closings:
     SIZE = 1 << 18
 
     def __init__(self, tails: list[str]):
-        self.words, self.signs = np.zeros((2, self.SIZE), np.int32), np.zeros((2, self.SIZE), np.int32)
-        for t in tails:
-            for line in t.split("\n")[:-1]:  # what the last line ends with is what is to be judged
-                self._count(line, True)
-            self._count(t.rsplit("\n", 1)[-1], False)
+        self._add([self.places(t) for t in tails])
 
-    def _count(self, line: str, whole: bool) -> None:
+    @classmethod
+    def from_places(cls, places: list[tuple[np.ndarray, np.ndarray]]) -> Closings:
+        out = cls.__new__(cls)
+        out._add(places)
+        return out
+
+    def _add(self, places: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        self.words, self.signs = (
+            np.bincount(np.concatenate([p[i] for p in places]) if places else np.zeros(0, np.int64), minlength=2 * self.SIZE).reshape(2, self.SIZE).astype(np.int32) for i in (0, 1)
+        )
+
+    @classmethod
+    def places(cls, tail: str) -> tuple[np.ndarray, np.ndarray]:
+        """Where one tail counts: of its words and of its groups of signs the slots, plus SIZE where they close."""
+        words: list[int] = []
+        signs: list[int] = []
+        *lines, last = tail.split("\n")
+        for line in lines:  # what the last line ends with is what is to be judged
+            cls._count(line, True, words, signs)
+        cls._count(last, False, words, signs)
+        return np.array(words, np.int64), np.array(signs, np.int64)
+
+    @classmethod
+    def _count(cls, line: str, whole: bool, words: list[int], signs: list[int]) -> None:
         found = _WORD.findall(line)
         for i, w in enumerate(found[1:] if whole else found[1:-1], 1):
-            bare = w.strip(_PUNCT)
-            last = i == len(found) - 1 if whole else False
-            self.words[int(last or w[-1] in ENDS), self._slot(bare)] += 1
+            last = whole and i == len(found) - 1
+            words.append(cls._slot(w.strip(_PUNCT)) + cls.SIZE * (last or w[-1] in ENDS))
         body = line.rstrip()
         if len(body) > 3:
-            for i in range(3, len(body)):
-                self.signs[int(body[i] in ENDS), self._slot(body[i - 3 : i])] += 1
+            signs += [cls._slot(body[i - 3 : i]) + cls.SIZE * (body[i] in ENDS) for i in range(3, len(body))]
             if whole:
-                self.signs[1, self._slot(body[-3:])] += 1
+                signs.append(cls._slot(body[-3:]) + cls.SIZE)
 
     @classmethod
     def of(cls, words: np.ndarray, signs: np.ndarray) -> Closings:
-        out = cls([])
+        out = cls.__new__(cls)
         out.words, out.signs = words, signs
         return out
 
@@ -233,6 +250,7 @@ def fit_folds(made: pd.DataFrame) -> list[tuple[np.ndarray, Closings]] | None:
     tails, n, gap, y, fold = made["tail"].to_numpy(), made["n"].to_numpy(), made["limit_gap"].to_numpy(), made["y"].to_numpy(float), made["fold"].to_numpy()
     own = own_rows(tails.tolist(), n, gap)
     pick = lambda at: [own[i] for i in at]
+    places = [Closings.places(t) if v == 0 else None for t, v in zip(tails, y, strict=True)]
     keep = np.ones(len(made), bool)
     models: list[tuple[np.ndarray, Closings]] = []
     for _ in range(2):
@@ -241,7 +259,7 @@ def fit_folds(made: pd.DataFrame) -> list[tuple[np.ndarray, Closings]] | None:
             use = np.flatnonzero(keep & (fold != k))
             if len(np.unique(y[use])) < 2:
                 return None
-            closings = Closings(tails[use][y[use] == 0].tolist())
+            closings = Closings.from_places([places[i] for i in use if y[i] == 0])
             models.append((fit(pick(use), y[use], closings), closings))
         for k in (0, 1):
             whole = np.flatnonzero((fold == k) & (y == 0))
@@ -302,7 +320,8 @@ def training_records(docs: DataFrame, limits: DataFrame, sample_rows: int) -> Da
     # Copies of a text are drawn together and then count once, so a text that makes up a third of all rows can't fill the sample.
     text = (
         docs.where(F.length("text") >= 20).select("doc_id", F.coalesce("source", F.lit("")).alias("source"), "text")
-        .where(F.pmod(F.xxhash64("text", F.lit("sample")), F.lit(1_000_003)) / 1_000_003.0 < share).dropDuplicates(["text"])
+        .where(F.pmod(F.xxhash64("text", F.lit("sample")), F.lit(1_000_003)) / 1_000_003.0 < share)
+        .groupBy("text").agg(F.min(F.struct("doc_id", "source")).alias("x")).select("x.*", "text")
         .withColumn("n", F.length("text")).withColumn("bytes", F.octet_length("text"))
     )
     # A limit in bytes is taken at the character where it would fall if all were of equal width.
@@ -344,7 +363,9 @@ def scored_records(docs: DataFrame, sample_rows: int = 12_000) -> DataFrame:
     """`doc_id, source, h, score` of every record by the classifier alone: `h`
     is a hash of the text. Only the last TAIL characters and the lengths reach Python."""
     limits = written(length_limits(docs), "length-limits")  # a few rows a limit, asked for several times
-    models = fit_folds(training_records(docs, limits, sample_rows).toPandas())
+    made = training_records(docs, limits, sample_rows).toPandas()
+    # In an order of its own, so the models don't depend on how tasks ran.
+    models = fit_folds(made.sort_values(["tail", "n", "limit_gap", "y"], kind="stable", ignore_index=True))
     # Arrays only: what is broadcast must load where this package isn't installed.
     shared = docs.sparkSession.sparkContext.broadcast([(w, c.words, c.signs) for w, c in models] if models else None)
 
