@@ -1,0 +1,26 @@
+"""Queries run where workers can't import the package."""
+
+import os
+import subprocess
+import sys
+
+import pytest
+
+REPO = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+CODE = """
+import importlib.util, sys
+spec = importlib.util.spec_from_file_location("__spark_entry__", "{repo}/__spark_entry__.py")
+e = importlib.util.module_from_spec(spec)
+spec.loader.exec_module(e)
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").getOrCreate()
+for name in {names}:
+    print("ROWS", name, e.queries()[name](spark, "/root/testdata/{sf}").count())
+"""
+
+
+@pytest.mark.parametrize(("sf", "names"), [("sf0.001", ["p2_found", "p4_found", "p5_found"]), ("sf0.01", ["model_comparison", "shap_importance", "permutation_importance", "bootstrap_mean"])])
+def test_runs_from_another_folder_without_a_path(sf, names, tmp_path):
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    ran = subprocess.run([sys.executable, "-c", CODE.format(repo=REPO, names=names, sf=sf)], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert ran.stdout.count("ROWS") == len(names), ran.stderr[-2000:]

@@ -19,7 +19,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.session import broadcast_within, hadoop_path, shared_folder, written
+from tidemark.session import broadcast_within, hadoop_path, scratch, written
 
 #: Cells on whose edges distributions are compared, placed at quantiles of the pooled values.
 GRID = 40
@@ -82,7 +82,7 @@ def value_counts(table: DataFrame, columns: list[str], by: str, sign: int = 1) -
 
 
 class ValueCountStore:
-    """Maintained value counts per load and column, in a folder.
+    """Maintained value counts per load and column, in a folder; without one given, in a scratch folder of this application.
 
     Opened on a folder that holds a store, it continues at the newest manifest.
     A batch is written whole before the manifest that names it, and manifests
@@ -92,7 +92,7 @@ class ValueCountStore:
 
     def __init__(self, spark: SparkSession, by: str, folder: str | None = None):
         self.spark, self.by = spark, by
-        self.folder = folder or f"{shared_folder(spark)}/tidemark/counts-{uuid.uuid4().hex}"
+        self.folder = folder or scratch(spark, "counts")
         self.version, self.batches, self.loads, self.kind = 0, [], [], "string"
         fs, path = hadoop_path(spark, f"{self.folder}/manifests")
         if fs.exists(path):

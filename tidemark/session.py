@@ -37,23 +37,27 @@ def hadoop_path(spark: SparkSession, folder: str):
     return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cuts lineage: writes `df` as a table in the shared folder and reads it
-    back. The table is deleted when the driver ends, or by `drop_written`."""
-    spark = df.sparkSession
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one, deleted when the driver ends, or by `drop_written`."""
     folder = f"{shared_folder(spark)}/tidemark/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(folder)
     fs, path = hadoop_path(spark, folder)
     fs.deleteOnExit(path)
     _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(folder)
-    return spark.read.schema(df.schema).parquet(folder)
+    return folder
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Cuts lineage: writes `df` as a table in a scratch folder and reads it back."""
+    folder = scratch(df.sparkSession, name)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
 _WRITTEN: dict[str, list[str]] = {}
 
 
 def drop_written(spark: SparkSession) -> int:
-    """Deletes the tables `written` made in this application; how many there
+    """Deletes the scratch folders of this application; how many there
     were. Only for when no DataFrame built on them is needed any more."""
     folders = _WRITTEN.pop(spark.sparkContext.applicationId, [])
     for folder in folders:
