@@ -72,14 +72,17 @@ def surroundings(events: DataFrame, panel: DataFrame, horizons: Sequence[int], p
     """`ticker, pos` of `events` (also `close, prev_close`; one row each) and all
     they take from their own series: forward closes, extremes, the first day the
     close is back, pre-event closes, volatility, prior volumes per window. Only
-    the days asked for are looked up; a day without a row gives nulls."""
+    the days asked for are looked up; a day without a row gives nulls. Days of
+    more than `FEW` events are shuffled: the planner guesses them by the events'
+    compressed size, as if nothing were exploded, and the driver would hold them all."""
     lags = [-1 - w for w in MOMENTA]
     longest = max(60, *vol_windows)
     days = sorted({*range(-longest, cooldown_days), *range(1, primary + 1), *horizons, *lags})
     pre = F.when(F.col("pos") > 0, F.col("prev_close")).otherwise(F.col("close"))
     asked = events.select("ticker", "pos", pre.alias("_pre"), F.explode(F.array(*map(F.lit, days))).alias("_off")).withColumn("_at", F.col("pos") + F.col("_off"))
     there = panel.select("ticker", F.col("pos").alias("_at"), F.col("close").alias("_close"), F.col("ret").alias("_ret"), F.col("volume").alias("_volume"))
-    x = there.join(broadcast_within(asked, FEW * len(days)), ["ticker", "_at"])
+    few = events.limit(FEW + 1).count() <= FEW
+    x = there.join(F.broadcast(asked) if few else asked.hint("merge"), ["ticker", "_at"])
     off = F.col("_off")
     at = lambda k: F.max(F.when(off == k, F.col("_close")))
     ahead, after = off.between(1, primary), off.between(0, cooldown_days - 1)

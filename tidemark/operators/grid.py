@@ -31,8 +31,9 @@ def grid_candidates(by_window: dict[int, DataFrame], thresholds: Sequence[float]
 
 def long_by_horizon(events: DataFrame, horizons: Sequence[int]) -> DataFrame:
     """One row per event and horizon with a known `car`; quartile labels are of all the specification's events."""
+    # One row per specification.
     edges = events.groupBy(*SPEC).agg(F.percentile("avol", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("_e"))
-    x = events.join(edges, list(SPEC)).withColumn("q1", F.col("avol") <= F.col("_e")[0]).withColumn("q4", F.col("avol") > F.col("_e")[2]).drop("_e")
+    x = events.join(F.broadcast(edges), list(SPEC)).withColumn("q1", F.col("avol") <= F.col("_e")[0]).withColumn("q4", F.col("avol") > F.col("_e")[2]).drop("_e")
     cars = F.explode(F.array(*[F.struct(F.lit(h).alias("h"), F.col(f"car_{h}").alias("c")) for h in horizons])).alias("_x")
     keep = [c for c in x.columns if not c.startswith(("car_", "fwd_ret", "bench_ret", "close_"))]
     return x.select(*keep, cars).select(*keep, F.col("_x.h").alias("horizon"), F.col("_x.c").alias("car")).where("car IS NOT NULL")
@@ -51,9 +52,10 @@ def robustness_grid(events: DataFrame, horizons: Sequence[int], quantiles: Seque
         mean(F.col("q4")).alias("mean_car_avol_q4"), mean(F.col("q1")).alias("mean_car_avol_q1"),
         F.percentile("vix", F.array(*map(F.lit, quantiles))).alias("cuts"),
     )
+    # One row per cell of the grid and quantile.
     cuts = plain.select(*cell, F.posexplode("cuts").alias("i", "cut"))
     qs = F.array(*map(F.lit, quantiles))
-    vix = long.join(cuts, cell).groupBy(*cell, F.get(qs, F.col("i")).alias("vix_high_quantile")).agg(mean(F.col("vix") >= F.col("cut")).alias("mean_car_high_vix"), mean(F.col("vix") < F.col("cut")).alias("mean_car_low_vix"))
+    vix = long.join(F.broadcast(cuts), cell).groupBy(*cell, F.get(qs, F.col("i")).alias("vix_high_quantile")).agg(mean(F.col("vix") >= F.col("cut")).alias("mean_car_high_vix"), mean(F.col("vix") < F.col("cut")).alias("mean_car_low_vix"))
     x = base.join(plain.drop("cuts"), cell).join(vix, cell)
     return x.select(
         *cell, "vix_high_quantile", F.col("n").alias("n_events"), F.col("n_clusters").alias("n_dates"), F.col("mean").alias("mean_car"), F.col("se").alias("se_clustered"), "ci_lo", "ci_hi", "p_value",

@@ -432,7 +432,8 @@ def grid_events(s: Study) -> DataFrame:
     # An event has the same surroundings in every specification.
     around = ep.surroundings(kept.select("ticker", "pos", "close", "prev_close").distinct(), s.panel, g("robustness.horizons"), H, 1, windows).drop("episode_min_return")
     volumes = reduce(lambda x, w: x.when(F.col("vol_window") == w, F.col(f"prior_volumes_{w}")), windows, F)
-    x = kept.join(around, ["ticker", "pos"]).withColumn("prior_volumes", volumes).drop(*[f"prior_volumes_{w}" for w in windows])
+    # Neither side is small; the episodes of all specifications only look so, compressed.
+    x = kept.join(around.hint("merge"), ["ticker", "pos"]).withColumn("prior_volumes", volumes).drop(*[f"prior_volumes_{w}" for w in windows])
     x = x.withColumnRenamed("z", "crash_z").withColumn("raw_return", F.col("ret")).withColumnRenamed("date", "event_date")
     x = ep.with_outcomes(x, s.market, s.calendar, g("robustness.horizons"), H)
     return written(ep.with_features(x, s.market, s.calendar, s.sectors, s.sector_rets, *s.cuts, "vol_window").drop("prior_volumes"), "grid-events")
