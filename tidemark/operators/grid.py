@@ -1,6 +1,6 @@
 """The robustness grid: every specification's events and statistics in one job.
 
-Specifications are a column. The panel is windowed once per volatility window;
+Specifications are a column. The panel is windowed once for all volatility windows;
 candidates at the loosest threshold are exploded over the stricter ones and the
 cooldowns (a parameter table of fixed size), folded per specification and
 ticker, and every statistic is a conditional aggregate of one grouping.
@@ -22,10 +22,12 @@ from tidemark.operators.inference import clustered_sums, with_t_interval
 SPEC = ("z_threshold", "vol_window", "cooldown")
 
 
-def grid_candidates(by_window: dict[int, DataFrame], thresholds: Sequence[float], cooldowns: Sequence[int]) -> DataFrame:
-    """Candidates of all specifications; `by_window`: candidates at the loosest threshold, with their windows, per volatility window."""
-    all_ = reduce(DataFrame.unionByName, [c.withColumn("vol_window", F.lit(w)) for w, c in by_window.items()])
-    x = all_.withColumn("z_threshold", F.explode(F.array(*[F.lit(float(t)) for t in thresholds]))).where("z <= z_threshold")
+def grid_candidates(rows: DataFrame, windows: Sequence[int], thresholds: Sequence[float], cooldowns: Sequence[int]) -> DataFrame:
+    """Candidates of all specifications; `rows`: those at the loosest threshold in any volatility window, with `z_<w>` of each."""
+    scores = F.explode(F.array(*[F.struct(F.lit(w).alias("w"), F.col(f"z_{w}").alias("z")) for w in windows])).alias("_x")
+    keep = [c for c in rows.columns if c != "z" and c not in [f"z_{w}" for w in windows]]
+    x = rows.select(*keep, scores).select(*keep, F.col("_x.w").alias("vol_window"), F.col("_x.z").alias("z"))
+    x = x.withColumn("z_threshold", F.explode(F.array(*[F.lit(float(t)) for t in thresholds]))).where("z <= z_threshold")
     return x.withColumn("cooldown", F.explode(F.array(*[F.lit(int(k)) for k in cooldowns])))
 
 

@@ -8,6 +8,9 @@ them share one partitioning by ticker and one order by pos: one exchange, one so
 from __future__ import annotations
 
 import bisect
+import math
+from collections.abc import Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -72,6 +75,26 @@ def with_zscore(panel: DataFrame, window: int, min_obs: int, z: str = "z") -> Da
     return with_moments(panel, window, min_obs).withColumn(z, F.when(F.col("sigma") > 0, (F.col("ret") - F.col("mu")) / F.col("sigma")))
 
 
+def with_zscores(panel: DataFrame, windows: Sequence[int]) -> DataFrame:
+    """Adds `z_<w>` for every window, as `with_zscore` does with `w` returns asked
+    for. Such windows have no holes, so their sums are those of blocks that end
+    some blocks before, of the length that divides all windows: a return is summed
+    once a block, not once per window and moment. A window has no deviation if the
+    return hasn't changed in it; of sums that need not come out as zero."""
+    step = math.gcd(*windows)
+    block, past = series().rangeBetween(-step, -1), series().rowsBetween(Window.unboundedPreceding, -1)
+    x = panel.withColumns({"_n": F.count("ret").over(block), "_s": F.sum("ret").over(block), "_q": F.sum(F.col("ret") * F.col("ret")).over(block), "_p": F.lag("ret").over(series())})
+    back = range(0, max(windows), step)
+    lags = {f"_{k}{b}": F.lag(f"_{k}", b).over(series()) if b else F.col(f"_{k}") for b in back for k in "nsq"} | {f"_at{w}": F.lag("pos", w).over(series()) for w in windows}
+    x = x.withColumns(lags | {"_changed": F.max(F.when(~F.col("ret").eqNullSafe(F.col("_p")), F.col("pos"))).over(past)})
+    out = {}
+    for w in windows:
+        n, s, q = (reduce(Column.__add__, [F.col(f"_{k}{b}") for b in back if b < w]) for k in "nsq")
+        whole = (F.col(f"_at{w}") == F.col("pos") - w) & (n == w) & (F.col("_changed") > F.col("pos") - w)
+        out[f"z_{w}"] = F.when(whole, (F.col("ret") - s / w) / F.sqrt(F.greatest(q - s * s / w, F.lit(1e-300)) / max(w - 1, 1)))
+    return x.withColumns(out).drop("_n", "_s", "_q", "_p", "_changed", *lags)
+
+
 def with_median_volume(panel: DataFrame, window: int, name: str = "med_volume") -> DataFrame:
     """Median of the prior volumes above zero, with at least max(20, window // 3) of them."""
     traded = F.when(F.col("volume") > 0, F.col("volume"))

@@ -427,8 +427,10 @@ def grid_events(s: Study) -> DataFrame:
     s.stored = True
     g = s.config.get
     thresholds, windows, cooldowns = g("robustness.z_thresholds"), g("robustness.vol_windows"), g("robustness.cooldowns")
-    by = {w: s.candidates(max(thresholds), w) for w in windows}
-    kept = written(ep.cooldown(gr.grid_candidates(by, thresholds, cooldowns), "cooldown", [*gr.SPEC, "ticker"]), "grid-episodes")
+    scored = pn.with_zscores(s.panel, windows).withColumn("z", F.array_min(F.array(*[f"z_{w}" for w in windows])))
+    # Membership grows with the tickers; the candidates lie by ticker already.
+    low = ep.candidates(scored, s.windows.hint("merge"), max(thresholds), g("study.start"), g("study.end"))
+    kept = written(ep.cooldown(gr.grid_candidates(low, windows, thresholds, cooldowns), "cooldown", [*gr.SPEC, "ticker"]), "grid-episodes")
     # An event has the same surroundings in every specification.
     around = ep.surroundings(kept.select("ticker", "pos", "close", "prev_close").distinct(), s.panel, g("robustness.horizons"), H, 1, windows).drop("episode_min_return")
     volumes = reduce(lambda x, w: x.when(F.col("vol_window") == w, F.col(f"prior_volumes_{w}")), windows, F)
