@@ -98,13 +98,19 @@ def surroundings(events: DataFrame, panel: DataFrame, horizons: Sequence[int], p
     return x.groupBy("ticker", "pos").agg(*aggs)
 
 
-def with_outcomes(ev: DataFrame, market: DataFrame, calendar: DataFrame, horizons: Sequence[int], primary: int) -> DataFrame:
-    """Forward returns, those of the market, their difference, and the path statistics of the primary horizon."""
+def with_cars(ev: DataFrame, market: DataFrame, calendar: DataFrame, horizons: Sequence[int]) -> DataFrame:
+    """Forward returns, those of the market, their difference, from `close` and `close_p<h>`."""
     m = market.select(F.col("pos"), F.col("market").alias("b0"), *[F.lead("market", h).over(Window.orderBy("pos")).alias(f"b{h}") for h in horizons])
     x = ev.join(broadcast_within(m, MAX_DAYS, calendar), "pos", "left")
     for h in horizons:
         x = x.withColumn(f"fwd_ret_{h}", F.col(f"close_p{h}") / F.col("close") - 1).withColumn(f"bench_ret_{h}", F.col(f"b{h}") / F.col("b0") - 1)
         x = x.withColumn(f"car_{h}", F.col(f"fwd_ret_{h}") - F.col(f"bench_ret_{h}"))
+    return x.drop("b0", *[f"b{h}" for h in horizons])
+
+
+def with_outcomes(ev: DataFrame, market: DataFrame, calendar: DataFrame, horizons: Sequence[int], primary: int) -> DataFrame:
+    """Adds those of `with_cars`, and the path statistics of the primary horizon."""
+    x = with_cars(ev, market, calendar, horizons)
     known = F.col(f"car_{primary}").isNotNull()
     pre = F.when(F.col("pos") > 0, F.col("prev_close")).otherwise(F.col("close"))
     return (
@@ -114,7 +120,6 @@ def with_outcomes(ev: DataFrame, market: DataFrame, calendar: DataFrame, horizon
         .withColumn("days_to_recovery", (F.col("regained_pos") - F.col("pos")).cast("int"))
         .withColumn(f"recovered_{primary}d", F.when(known, (F.col(f"car_{primary}") > 0).cast("double")))
         .withColumn(f"complete_{primary}", known)
-        .drop("b0", *[f"b{h}" for h in horizons])
     )
 
 

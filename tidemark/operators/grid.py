@@ -67,6 +67,15 @@ def robustness_grid(events: DataFrame, horizons: Sequence[int], quantiles: Seque
     )
 
 
+def grid_means(events: DataFrame, horizons: Sequence[int], min_events: int) -> DataFrame:
+    """`spec, horizon, mean_car, recovery_rate` of the cells of `robustness_grid`,
+    one row each: what asks for no more than an event's `car_<h>`."""
+    known = lambda h: F.nanvl(F.col(f"car_{h}").cast("double"), F.lit(None).cast("double"))
+    cell = lambda h: F.struct(F.lit(h).alias("horizon"), F.count(known(h)).alias("n"), F.avg(known(h)).alias("mean_car"), F.avg((F.col(f"car_{h}") > 0).cast("double")).alias("recovery_rate"))
+    x = events.groupBy(*SPEC).agg(F.array(*map(cell, horizons)).alias("_x")).select(*SPEC, F.explode("_x").alias("_x"))
+    return x.where(F.col("_x.n") >= min_events).select(*SPEC, "_x.horizon", "_x.mean_car", "_x.recovery_rate")
+
+
 def _pairs(k: int) -> list[tuple[int, int]]:
     return [(i, j) for i in range(k) for j in range(i, k)]
 

@@ -422,14 +422,20 @@ def shap_dependence(s: Study) -> DataFrame:
 
 # --- robustness grid --------------------------------------------------------------
 
+def _lowest(s: Study, scored: DataFrame) -> DataFrame:
+    """Candidates at the loosest threshold in any volatility window."""
+    g = s.config.get
+    z = F.array_min(F.array(*[f"z_{w}" for w in g("robustness.vol_windows")]))
+    # Membership grows with the tickers; the candidates lie by ticker already.
+    return ep.candidates(scored.withColumn("z", z), s.windows.hint("merge"), max(g("robustness.z_thresholds")), g("study.start"), g("study.end"))
+
+
 def grid_events(s: Study) -> DataFrame:
     """Events of all specifications, with outcomes, features and crash types, written once."""
     s.stored = True
     g = s.config.get
     thresholds, windows, cooldowns = g("robustness.z_thresholds"), g("robustness.vol_windows"), g("robustness.cooldowns")
-    scored = pn.with_zscores(s.panel, windows).withColumn("z", F.array_min(F.array(*[f"z_{w}" for w in windows])))
-    # Membership grows with the tickers; the candidates lie by ticker already.
-    low = ep.candidates(scored, s.windows.hint("merge"), max(thresholds), g("study.start"), g("study.end"))
+    low = _lowest(s, pn.with_zscores(s.panel, windows))
     kept = written(ep.cooldown(gr.grid_candidates(low, windows, thresholds, cooldowns), "cooldown", [*gr.SPEC, "ticker"]), "grid-episodes")
     # An event has the same surroundings in every specification.
     around = ep.surroundings(kept.select("ticker", "pos", "close", "prev_close").distinct(), s.panel, g("robustness.horizons"), H, 1, windows).drop("episode_min_return")
@@ -446,6 +452,20 @@ def _grid(s: Study) -> DataFrame:
     return gr.robustness_grid(grid_events(s), g("robustness.horizons"), g("robustness.vix_high_quantiles"), g("robustness.min_events"))
 
 
+def _means(s: Study) -> DataFrame:
+    """Mean and recovery rate of the grid's cells. They ask for the closes at the
+    horizons only: windows beside the score's, in the same pass. No features,
+    sectors or crash types, and no table is written or read again: what the
+    driver holds is one plan and the market."""
+    g = s.config.get
+    windows, horizons = g("robustness.vol_windows"), g("robustness.horizons")
+    scored = pn.with_zscores(s.panel.select("ticker", "date", "pos", "close", "ret"), windows)
+    low = _lowest(s, scored.withColumns({f"close_p{h}": pn.at_offset("close", h) for h in horizons}))
+    low = ep.with_cars(low, s.market, s.calendar, horizons).select("ticker", "pos", *[f"z_{w}" for w in windows], *[f"car_{h}" for h in horizons])
+    found = ep.cooldown(gr.grid_candidates(low, windows, g("robustness.z_thresholds"), g("robustness.cooldowns")), "cooldown", [*gr.SPEC, "ticker"])
+    return gr.grid_means(found, horizons, g("robustness.min_events"))
+
+
 _CELL = ["mean_car", "se_clustered", "recovery_rate", "median_car", "mean_car_broad", "mean_car_sector", "mean_car_idio", "diff_broad_minus_idio", "mean_car_avol_q4",
          "mean_car_avol_q1", "diff_avol_q4_minus_q1", "mean_car_high_vix", "mean_car_low_vix", "diff_high_minus_low_vix"]
 
@@ -504,7 +524,7 @@ _CDS = CONFIG.get("robustness.cooldowns")
 
 @query("SELECT z_threshold, " + ", ".join(f"round(max(CASE WHEN cooldown = {k} THEN mean_car END), 6) cooldown_{k}" for k in _CDS) + f" FROM c1 WHERE horizon = {H} AND vol_window = 60 GROUP BY z_threshold", grid_chain)
 def grid_pivot(s: Study) -> DataFrame:
-    one = _grid(s).where((F.col("horizon") == H) & (F.col("vol_window") == 60)).dropDuplicates(list(gr.SPEC))
+    one = _means(s).where((F.col("horizon") == H) & (F.col("vol_window") == 60))
     wide = one.groupBy("z_threshold").pivot("cooldown", _CDS).agg(F.first("mean_car"))
     return wide.select("z_threshold", *[F.round(str(k), 6).alias(f"cooldown_{k}") for k in _CDS])
 
