@@ -67,3 +67,10 @@ def test_grid_pivot(cells):
     got = {r.z_threshold: tuple(r)[1:] for r in q.grid_pivot(None).collect()}
     want = {t: tuple(None if (t, k) == (-3.0, 40) else pytest.approx(t * 60 / 100 + k / 10 + q.H, abs=1e-6) for k in q._CDS) for t in (-2.5, -3.0)}
     assert got == want
+
+
+def test_grid_summary(cells):
+    r, = q.grid_summary(None).collect()
+    means = sorted(t * w / 100 + k / 10 + q.H for t in (-2.5, -3.0) for w in (60, 120) for k in q._CDS if (t, k) != (-3.0, 40))
+    assert (r.n, r.share_negative, r.min_recovery, r.max_recovery, r.share_below_half) == (14, 0.0, 0.3, 0.65, round(12 / 14, 6))
+    assert (r.min_mean, r.max_mean, r.median_mean) == pytest.approx((means[0], means[-1], (means[6] + means[7]) / 2), abs=1e-6)

@@ -133,13 +133,15 @@ def grid_regressions(long: DataFrame, xs: Sequence[str], reported: Sequence[str]
 
 
 def grid_summary(grid: DataFrame, horizon: int) -> DataFrame:
-    """One row over the distinct builds at `horizon`: range and median of the mean and of the recovery rate, shares of signs."""
+    """One row over the distinct builds at `horizon`: range and median of the mean
+    and of the recovery rate, shares of signs; of significant ones if there is a `p_value`."""
     one = grid.where(F.col("horizon") == horizon).dropDuplicates(list(SPEC))
     share = lambda c: F.avg(c.cast("double"))
     neg = F.col("mean_car") < 0
+    sure = {"share_negative_significant": neg & (F.col("p_value") < 0.05), "share_positive_significant": ~neg & (F.col("mean_car") > 0) & (F.col("p_value") < 0.05)} if "p_value" in grid.columns else {}
     return one.agg(
         F.count(F.lit(1)).alias("n"), F.min("mean_car").alias("min_mean"), F.max("mean_car").alias("max_mean"), F.percentile("mean_car", F.lit(0.5)).alias("median_mean"),
-        share(neg).alias("share_negative"), share(neg & (F.col("p_value") < 0.05)).alias("share_negative_significant"), share(~neg & (F.col("mean_car") > 0) & (F.col("p_value") < 0.05)).alias("share_positive_significant"),
+        share(neg).alias("share_negative"), *[share(c).alias(k) for k, c in sure.items()],
         F.min("recovery_rate").alias("min_recovery"), F.max("recovery_rate").alias("max_recovery"), F.percentile("recovery_rate", F.lit(0.5)).alias("median_recovery"), share(F.col("recovery_rate") < 0.5).alias("share_below_half"),
     )
 

@@ -499,7 +499,7 @@ def grid_regressions(s: Study) -> DataFrame:
 @query(f"""SELECT count(*) n, round(min(mean_car), 6) min_mean, round(max(mean_car), 6) max_mean, round(median(mean_car), 6) median_mean, round(avg(CASE WHEN mean_car < 0 THEN 1.0 ELSE 0.0 END), 6) share_negative,
   round(min(recovery_rate), 6) min_recovery, round(max(recovery_rate), 6) max_recovery, round(median(recovery_rate), 6) median_recovery, round(avg(CASE WHEN recovery_rate < 0.5 THEN 1.0 ELSE 0.0 END), 6) share_below_half FROM c1 WHERE horizon = {H}""", grid_chain)
 def grid_summary(s: Study) -> DataFrame:
-    t = gr.grid_summary(_grid(s), H).drop("share_negative_significant", "share_positive_significant")
+    t = gr.grid_summary(_means(s), H)
     return t.select("n", *r6(*[c for c in t.columns if c != "n"]))
 
 
