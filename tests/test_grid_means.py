@@ -74,3 +74,12 @@ def test_grid_summary(cells):
     means = sorted(t * w / 100 + k / 10 + q.H for t in (-2.5, -3.0) for w in (60, 120) for k in q._CDS if (t, k) != (-3.0, 40))
     assert (r.n, r.share_negative, r.min_recovery, r.max_recovery, r.share_below_half) == (14, 0.0, 0.3, 0.65, round(12 / 14, 6))
     assert (r.min_mean, r.max_mean, r.median_mean) == pytest.approx((means[0], means[-1], (means[6] + means[7]) / 2), abs=1e-6)
+
+
+def test_severity_gradient(cells):
+    got = {r.z_threshold: r.median_mean_car for r in q.severity_gradient(None).collect()}
+    for t in (-2.5, -3.0):
+        means = sorted(t * w / 100 + k / 10 + q.H for w in (60, 120) for k in q._CDS if (t, k) != (-3.0, 40))
+        n = len(means)
+        assert got[t] == pytest.approx((means[(n - 1) // 2] + means[n // 2]) / 2, abs=1e-6)
+    assert len(got) == 2

@@ -515,7 +515,7 @@ def sign_consistency(s: Study) -> DataFrame:
 
 @query(f"SELECT z_threshold, round(median(mean_car), 6) median_mean_car FROM c1 WHERE horizon = {H} GROUP BY z_threshold", grid_chain)
 def severity_gradient(s: Study) -> DataFrame:
-    one = _grid(s).where(F.col("horizon") == H).dropDuplicates(list(gr.SPEC))
+    one = _means(s).where(F.col("horizon") == H)
     return one.groupBy("z_threshold").agg(F.round(F.percentile("mean_car", F.lit(0.5)), 6).alias("median_mean_car"))
 
 
