@@ -83,3 +83,8 @@ def test_severity_gradient(cells):
         n = len(means)
         assert got[t] == pytest.approx((means[(n - 1) // 2] + means[n // 2]) / 2, abs=1e-6)
     assert len(got) == 2
+
+
+def test_grid_horizon_pivot(cells):
+    got = {r.z_threshold: tuple(r)[1:] for r in q.grid_horizon_pivot(None).collect()}
+    assert got == {t: tuple(pytest.approx(t * 60 / 100 + 0.5 + h, abs=1e-6) for h in q._HZS) for t in (-2.5, -3.0)}

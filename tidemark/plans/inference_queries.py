@@ -536,7 +536,7 @@ _FIRST_CD = min(_CDS)
 @query("SELECT z_threshold, " + ", ".join(f"round(max(CASE WHEN horizon = {h} THEN mean_car END), 6) horizon_{h}" for h in _HZS) + f" FROM c1 WHERE vol_window = 60 AND cooldown = {_FIRST_CD} GROUP BY z_threshold", grid_chain)
 def grid_horizon_pivot(s: Study) -> DataFrame:
     """Mean by threshold and horizon of the first cooldown, as a grid's rows come."""
-    one = _grid(s).where((F.col("vol_window") == 60) & (F.col("cooldown") == _FIRST_CD)).dropDuplicates([*gr.SPEC, "horizon"])
+    one = _means(s).where((F.col("vol_window") == 60) & (F.col("cooldown") == _FIRST_CD))
     wide = one.groupBy("z_threshold").pivot("horizon", _HZS).agg(F.first("mean_car"))
     return wide.select("z_threshold", *[F.round(str(h), 6).alias(f"horizon_{h}") for h in _HZS])
 
